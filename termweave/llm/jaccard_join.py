@@ -3,23 +3,27 @@
 Jaccard distance, one less the similarity, is a metric. Documents of the same
 shingle set form a class; classes are joined in rounds:
 
-* Every active class posts its ``KEYS`` smallest shingle hashes (all, if it has
-  fewer). Two classes within the radius share one of any ``COOL`` of these but for a
-  chance below 1e-13, and for certain if all hashes are posted.
-* Keys of at most ``most`` classes are cool: the classes of such a region are
-  compared with each other.
-* A key of more classes has a pivot, its class of the smallest hash. Classes most of
-  whose keys are hot join the regions of their keys' pivots, with the distance to
-  each. All distances below are exact.
-* Triangle inequality: what lies within radius r of a class at distance a <= r
-  from pivot p lies within r + a of p. If no class of p's region lies between r and
-  r + a, all such neighbours are linked to p, and the class needs no further
-  comparison. The classes on both sides of that window, which a boundary would cut,
-  go on to the next round together, with pivots of their own and a larger ``most``,
-  until no class is left.
-
-So a group of near copies costs one comparison each, and a common passage none
-between documents that share nothing else. Links are joined to groups by the
+* Every class posts its ``KEYS`` smallest shingle hashes (all, if it has fewer).
+  Two linked classes share one of any ``COOL`` of these but for a chance below
+  1e-13, and for certain where both post all.
+* Keys of at most ``most`` classes are cool: the classes of such a cell are compared
+  with each other. A class with enough cool keys is done; one without is busy.
+* Busy classes post all their hashes. A class that has more cool ones than a linked
+  class can lack is done in the same way, for certain; the others are the core.
+* The core falls into regions, chained by hot shingles; a link never leaves one. The
+  region's pivot is the set of the shingles that most of it have. By the triangle
+  inequality two sets differ in no more than both differ from the pivot, so all that
+  are close to it are linked without a comparison; their star is one link each.
+* What lies further out is compared with the classes in its own ring around the
+  pivot and the next ones, each as wide as the radius, since by the same inequality
+  a link spans no more: the window replicates a class to its boundary rings. Blocks
+  of at most about ``BLOCK`` classes meet in cells, each cell its own group of a task.
+
+Near copies cost a distance to the pivot each, and a common passage costs nothing
+between documents that share nothing else. All comparisons are exact. Distances to
+documents as pivots hardly separate texts, whose distance is nearly always 1; hence
+the keys, which find the regions, and pivots that are sets rather than documents.
+Links are joined to groups by the
 alternating star method.
 
 Defined cases: words are separated by ASCII white space and compared with A-Z
@@ -42,6 +46,8 @@ from pyspark.sql import functions as F
 from termweave.llm import store
 
 KEYS, COOL = 48, 34
+#: Documents of a block.
+BLOCK = 512
 #: Rows of a table that is broadcast, at 16 bytes and the hash table each.
 MOST_BROADCAST = 500_000
 
@@ -110,16 +116,31 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_id long, n_shingles long, class long, keys array<long>")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """class and its sorted hashes, for rows of ``docs`` (text)."""
+def _texts(of: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """A text of each class in ``of`` (class); more than one where rows repeat an id."""
+    ids = store.materialize(classes.join(_small(store.materialize(of.select("class"), "asked")), "class", "left_semi").select(F.col("rep").alias("row_id")), "representatives")
+    return docs.where(F.col("text").isNotNull()).join(_small(ids), "row_id", "left_semi").select("text")
+
+
+def _sets(texts: DataFrame, n: int, rows: bool = False) -> DataFrame:
+    """class and its sorted hashes; or, as ``rows``, class, n_shingles, posted and key for each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n)
         for batch in batches:
             found = [make.hashes(t) for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([class_of(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["class", "hashes"])
+            names = [class_of(h) for h in found]
+            if not rows:
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["class", "hashes"])
+                continue
+            for at in range(0, len(found), 256):
+                some = found[at : at + 256]
+                sizes = np.array([len(h) for h in some], np.int64)
+                cols = [np.repeat(np.array(names[at : at + 256], np.int64), sizes), np.repeat(sizes, sizes), np.repeat(sizes, sizes), np.concatenate(some).view(np.int64)]
+                yield pa.record_batch([pa.array(c) for c in cols], names=["class", "n_shingles", "posted", "key"])
 
-    return docs.select("text").mapInArrow(run, "class long, hashes binary")
+    made = texts.mapInArrow(run, "class long, n_shingles long, posted long, key long" if rows else "class long, hashes binary")
+    return store.materialize(made, "everything").distinct() if rows else made
 
 
 def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,70 +169,149 @@ def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> D
     The hashes of the classes in question are made again from one text each, which
     is cheaper than keeping the hashes of all.
     """
-    pairs = pairs.select("a", "b").distinct()
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    ids = store.materialize(classes.join(needed, "class", "left_semi").select(F.col("rep").alias("row_id")), "representatives")
-    rows = docs.where(F.col("text").isNotNull()).join(_small(ids), "row_id", "left_semi")
-    sets = store.materialize(_sets(rows, n).dropDuplicates(["class"]), "sets")
+    sets = store.materialize(_sets(_texts(needed, classes, docs), n).dropDuplicates(["class"]), "sets")
     both = pairs.join(sets.withColumnsRenamed({"class": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "hashes": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_intersections, "a long, b long, common long, total long")
 
 
+def _posted(postings: DataFrame, most: int) -> DataFrame:
+    """``postings`` (class, n_shingles, posted, key) with the number of members of each key and its pivot; lone keys are left out."""
+    stats = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("pivot")).where("members > 1")
+    return store.materialize(postings.join(_small(store.materialize(stats, "keys")), "key"), "posted")
+
+
+def _cool_pairs(posted: DataFrame, most: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of structs that share keys of at most ``most`` members, with the number of those, ``shared``."""
+    row = F.struct("class", "n_shingles", "cool")
+    groups = posted.where(F.col("members") <= most).groupBy("key").agg(F.collect_list(row).alias("g"))  # at most `most` each
+    pairs = groups.select("g", F.explode("g").alias("x")).select("x", F.explode(F.filter("g", lambda y: (y["class"] > F.col("x.class")) & (F.least(y["n_shingles"], F.col("x.n_shingles")) * 100 >= percent * F.greatest(y["n_shingles"], F.col("x.n_shingles"))))).alias("y"))
+    return pairs.groupBy("x", "y").agg(F.count("*").alias("shared"))
+
+
+def _with_cool(posted: DataFrame, most: int) -> DataFrame:
+    """``posted`` with the number of its class's keys that are cool."""
+    hot = posted.where(F.col("members") > most).groupBy("class").agg(F.count("*").alias("hot"))
+    joined = posted.join(_small(store.materialize(hot, "hot")), "class", "left")
+    return joined.withColumn("cool", F.col("posted") - F.coalesce("hot", F.lit(0))).drop("hot")
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    pairs = store.materialize(pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), "pairs")
+    return compared(pairs, classes, docs, n).where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
+
+
 def links(classes: DataFrame, docs: DataFrame, n: int, percent: int, most: int = 32) -> DataFrame:
     """Pairs (a, b) of classes that connect all classes whose similarity is at least ``percent``.
 
     ``classes`` has class, n_shingles, rep and keys; ``docs`` row_id and text.
     """
-    least = percent / 100
-    radius = 1 - least
     size = F.col("n_shingles")
-    active, found = classes, []
-    while True:
-        posted = active.select("class", "n_shingles", F.size("keys").alias("posted"), F.explode("keys").alias("key"))
-        stats = posted.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("pivot")).where("members > 1")
-        stats = store.materialize(stats, "keys")
-        posted = store.materialize(posted.join(_small(stats), "key"), "posted")
-        cool, hot = posted.where(F.col("members") <= most), posted.where(F.col("members") > most)
-
-        group = cool.groupBy("key").agg(F.collect_list(F.struct("n_shingles", "class", "posted")).alias("g"))  # at most `most` each
-        pairs = group.select("g", F.explode("g").alias("x")).select("x", F.explode("g").alias("y")).where("x.class < y.class")
-        pairs = pairs.where(F.least("x.n_shingles", "y.n_shingles") * 100 >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
-        pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.least("x.n_shingles", "y.n_shingles").alias("n")).count()
-        pairs = pairs.where((F.col("count") >= 3) | (F.col("n") <= KEYS)).select("a", "b")
-
-        # Where a class and all its neighbours post every hash, so many must be cool that not all can differ.
-        enough = F.when(size * 100 <= KEYS * percent, F.floor(size * (100 - percent) / 100) + 1).otherwise(COOL)
-        busy = hot.groupBy("class", "n_shingles", "posted").agg(F.count("*").alias("hot")).where(F.col("posted") - F.col("hot") < enough)
-        busy = store.materialize(busy.select("class"), "busy")
-        n_busy = busy.count()
-        if n_busy:
-            rays = hot.join(_small(busy), "class", "left_semi").groupBy(F.col("class").alias("x"), "pivot").agg(F.first("n_shingles").alias("n"))
-            rays = store.materialize(rays, "rays")
-            pairs = pairs.union(rays.where("x <> pivot").select(F.least("x", "pivot"), F.greatest("x", "pivot")))
-        near = store.materialize(compared(store.materialize(pairs.distinct(), "pairs"), classes, docs, n), "compared")
-        found.append(near.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
-        if not n_busy:
-            break
-
-        far = near.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
-        far = far.union(far.select("b", "a", "d")).withColumnsRenamed({"a": "x", "b": "pivot"})
-        region = rays.join(far, ["x", "pivot"], "left").withColumn("d", F.when(F.col("x") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-        region = store.materialize(region, "region")
-        # A pivot speaks for a region if it is the pivot of so many keys that nothing within 2 r can miss all.
-        whole = hot.where("class = pivot").groupBy("pivot", "n_shingles").agg(F.count("*").alias("keys")).where((F.col("keys") >= 24) | (F.col("keys") > 2 * radius * size)).select("pivot")
-        ring = region.groupBy("pivot").agg(F.min(F.when(F.col("d") > radius + 1e-9, F.col("d"))).alias("ring")).join(whole, "pivot", "left_semi")
-        ring = store.materialize(ring, "rings")
-        done = region.where(F.col("d") <= radius + 1e-9).join(_small(ring), "pivot").where(F.col("ring").isNull() | (F.col("ring") > radius + F.col("d") + 1e-9))
-        left = busy.join(done.select(F.col("x").alias("class")).distinct(), "class", "left_anti")
-        active = store.materialize(classes.join(_small(store.materialize(left, "left")), "class", "left_semi"), "active")
-        n_left = active.count()
-        if not n_left:
-            break
-        most *= 2 if n_left < n_busy / 2 else 8
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return store.materialize(out.distinct(), "links")
+    sure = F.floor(size * (100 - percent) / 100) + 1  # so many shingles of a class can't all be missing from a linked one
+    first = _with_cool(_posted(classes.select("class", "n_shingles", F.size("keys").alias("posted"), F.explode("keys").alias("key")), most), most)
+    pairs = _cool_pairs(first, most, percent).where((F.col("shared") >= 3) | (F.least("x.n_shingles", "y.n_shingles") <= KEYS))
+    found = _similar(pairs, classes, docs, n, percent)
+    enough = F.when(size * 100 <= KEYS * percent, sure).otherwise(F.least(F.lit(COOL), F.col("posted")))
+    busy = store.materialize(first.where(F.col("cool") < enough).select("class").distinct(), "busy")
+    if not busy.count():
+        return store.materialize(found, "links")
+
+    everything = _sets(_texts(busy, classes, docs), n, rows=True)
+    second = _with_cool(_posted(everything, most), most)
+    slack = lambda x: F.col(f"{x}.cool") - F.floor(F.col(f"{x}.n_shingles") * (100 - percent) / 100)
+    pairs = _cool_pairs(second, most, percent).where(F.col("shared") >= F.greatest(slack("x"), slack("y")))
+    found = found.union(_similar(pairs, classes, docs, n, percent))
+    core = store.materialize(second.where(F.col("cool") < sure), "core")
+    if core.limit(1).count():
+        found = found.union(_regions(core, classes, docs, n, percent, most))
+    return store.materialize(found.distinct(), "links")
+
+
+def _regions(core: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, most: int) -> DataFrame:
+    """Links among classes that consist of hot shingles but for what a linked class may lack.
+
+    ``core`` has class, n_shingles, key, members and pivot of all their shared shingles.
+    """
+    radius = 1 - percent / 100
+    # Linked classes share hot shingles, so a region holds whole links. It starts as the classes that hot shingles chain.
+    rays = core.where(F.col("members") > most).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
+    chained = store.materialize(components(rays), "chained")
+    chained = chained.union(chained.select("root", "root")).distinct().withColumnsRenamed({"node": "class"})
+    core = store.materialize(core.join(_small(store.materialize(chained, "regions")), "class").select("class", "n_shingles", "key", "root"), "core")
+    members = core.select("root", "class").distinct().groupBy("root").agg(F.count("*").alias("members"))
+    # The pivot of a region is the set of the shingles that most of it have.
+    pivot = core.groupBy("root", "key").agg(F.count("*").alias("have")).join(_small(store.materialize(members, "sizes")), "root").where("have * 2 > members").select("root", "key")
+    pivot = store.materialize(pivot, "pivots")
+    of = store.materialize(pivot.groupBy("root").agg(F.count("*").alias("pivot_size")), "pivot_sizes")
+    near = core.join(_small(pivot.withColumn("both", F.lit(1))), ["root", "key"], "left").groupBy("root", "class", "n_shingles").agg(F.sum(F.coalesce("both", F.lit(0))).alias("common"))
+    near = near.join(_small(of), "root", "left").fillna(0, ["pivot_size"])
+    apart = F.col("n_shingles") + F.col("pivot_size") - 2 * F.col("common")
+    # Two sets differ in no more than both differ from the pivot. If the excesses over what a link allows add up to at most 0, they are linked.
+    near = near.withColumn("excess", apart * (100 + percent) - F.col("n_shingles") * (100 - percent))
+    near = store.materialize(near.withColumn("distance", apart / (apart + F.col("common"))), "near")
+    best = store.materialize(near.groupBy("root").agg(F.min(F.struct("excess", "class")).alias("best")), "best")
+    near = near.join(_small(best), "root").withColumn("linked", F.col("excess") + F.col("best.excess") <= 0)
+    near = store.materialize(near.withColumn("ring", F.floor(F.col("distance") / radius)).select("root", "class", "linked", "ring", F.col("best.class").alias("hub")), "rings")
+    stars = near.where("linked and class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+
+    # The others are compared with what lies in their ring or a neighbouring one, in cells of bounded blocks.
+    counts = near.groupBy("root", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count(F.when(~F.col("linked"), 1)) / BLOCK).alias("open_blocks"))
+    counts = _small(store.materialize(counts, "blocks").withColumnRenamed("ring", "other"))
+    near = near.withColumn("other", F.explode(F.sequence(F.col("ring") - 1, F.col("ring") + 1))).join(counts, ["root", "other"])
+    sets = store.materialize(_sets(_texts(near.select("class").distinct(), classes, docs), n).dropDuplicates(["class"]), "sets")
+    own = lambda blocks: F.pmod(F.xxhash64("class"), blocks)
+    mine = counts.select("root", F.col("other").alias("ring"), F.col("blocks").alias("own_blocks"), F.col("open_blocks").alias("own_open"))
+    near = near.join(F.broadcast(mine) if counts.count() <= MOST_BROADCAST else mine, ["root", "ring"])
+    asks = near.where("not linked").select("class", "root", F.col("ring").alias("r1"), own(F.col("own_open")).alias("b1"), F.col("other").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b2"))
+    told = near.where("open_blocks > 0").select("class", "root", F.col("other").alias("r1"), F.explode(F.sequence(F.lit(0), F.col("open_blocks") - 1)).alias("b1"), F.col("ring").alias("r2"), own(F.col("own_blocks")).alias("b2"))
+    cell = ["root", "r1", "b1", "r2", "b2"]
+    grid = [rows.join(sets, "class").select(*(F.col(c).alias(c) for c in [*cell, "class", "hashes"])).groupBy(*cell) for rows in (asks, told)]
+
+    def compare(x, y):
+        return _cell(x, y, percent)
+
+    return stars.union(grid[0].cogroup(grid[1]).applyInPandas(compare, "a long, b long"))
+
+
+def _cell(x, y, percent: int):
+    """A forest of the links between the documents of two blocks."""
+    import pandas as pd
+
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    left, right = ([np.frombuffer(h, np.uint64) for h in side["hashes"]] for side in (x, y))
+    sizes = [np.array([len(h) for h in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    common = np.zeros((len(left), len(right)), np.float32)
+    at = [np.searchsorted(both, f) for f in flat]
+    row = [np.repeat(np.arange(len(s)), s) for s in sizes]
+    known = [(a < len(both)) & (both[np.minimum(a, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool) for a, f in zip(at, flat)]
+    at, row = [a[k] for a, k in zip(at, known)], [r[k] for r, k in zip(row, known)]
+    for low in range(0, len(both), 4096):
+        m = []
+        for a, r, s in zip(at, row, sizes):
+            some = (a >= low) & (a < low + 4096)
+            one = np.zeros((len(s), 4096), np.float32)
+            one[r[some], a[some] - low] = 1
+            m.append(one)
+        common += m[0] @ m[1].T
+    total = sizes[0][:, None] + sizes[1][None, :] - common
+    a, b = x["class"].to_numpy(), y["class"].to_numpy()
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    out = []
+    for i, j in zip(*np.nonzero(common * 100 >= total * percent)):
+        u, v = int(a[i]), int(b[j])
+        if (ru := root(u)) != (rv := root(v)):
+            parent[ru] = rv
+            out.append((min(u, v), max(u, v)))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -140,14 +140,15 @@ def scan(docs: DataFrame, model: MarkovRatio, text_col: str = "text", keep: tupl
     return rows.mapInArrow(run, f"{schema}, spans {SPANS}")
 
 
-def redact(docs: DataFrame, model: MarkovRatio, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
-    """The same rows and columns; secrets in the text give way to ``mask``. A text without any is untouched."""
+def redact(docs: DataFrame, model: MarkovRatio, text_col: str = "text", mask: str = "[REDACTED]", size_col: str | None = None) -> DataFrame:
+    """The same rows and columns; secrets in the text give way to ``mask``, and ``size_col`` is the new length. A text without any is untouched."""
     at = docs.columns.index(text_col)
+    size_at = docs.columns.index(size_col) if size_col else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text in batch.column(at).to_pylist():
+            texts, sizes = [], batch.column(size_at).to_pylist() if size_col else []
+            for row, text in enumerate(batch.column(at).to_pylist()):
                 spans = find(text, model) if text else []
                 parts, done = [], 0
                 for _, _, end, start in spans:
@@ -155,8 +156,12 @@ def redact(docs: DataFrame, model: MarkovRatio, text_col: str = "text", mask: st
                         parts += [text[done : max(done, start)], mask]
                         done = end
                 texts.append("".join([*parts, text[done:]]) if parts else text)
+                if parts and size_col:
+                    sizes[row] = len(texts[-1])
             cols = list(batch.columns)
             cols[at] = pa.array(texts, pa.string())
+            if size_col:
+                cols[size_at] = pa.array(sizes, cols[size_at].type)
             yield pa.record_batch(cols, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

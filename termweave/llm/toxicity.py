@@ -119,7 +119,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (1
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and ``score`` (0 to 1) of every document, in one pass without a shuffle."""
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
+    at = rows.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[st
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             out = []
-            for text in batch.column(len(keep)).to_pylist():
+            for text in batch.column(at).to_pylist():
                 bag = words_of(text)
                 for w in bag.difference(known):
                     known[w] = tuple(f for f in features({w}) if f in weights)
