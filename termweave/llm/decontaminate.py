@@ -39,44 +39,42 @@ def _seed(mask: str, tokens: Column, at: Column) -> Column:
     return F.xxhash64(F.lit(mask), *(F.get(tokens, at + F.lit(i)) for i, bit in enumerate(mask) if bit == "1"))
 
 
-def _seeds(rows: DataFrame, masks: list[str], short: bool) -> DataFrame:
-    """``rows`` (with w, n) for each place ``p`` and mask: seed, span. A short mask fits only items of its length."""
-    rows = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - min(map(len, masks)))))
-    fits = lambda m: F.col("p") + len(m) <= F.col("n")
-    if short:
-        fits = lambda m, wide=max(map(len, MASKS)): (F.col("p") + len(m) <= F.col("n")) & (F.lit("0" in m) | ((F.col("n") == len(m)) & F.lit(len(m) < wide)))
-    found = [F.when(fits(m), F.struct(_seed(m, F.col("w"), F.col("p")).alias("seed"), F.lit(len(m)).alias("span"))) for m in masks]
-    return rows.withColumn("s", F.explode(F.array(*found))).where("s is not null").select("*", "s.seed", "s.span").drop("s")
+def _places(shortest: int) -> Column:
+    """The places of a row of words ``w`` that a mask may start at."""
+    last = F.size("w") - shortest
+    return F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, similarity: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", most_seeds: int = MOST_SEEDS) -> DataFrame:
     """doc_id, item_id, the most equal words of a window (best), its length (of), and the first word of a hit (first_word)."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= FEWEST)
-    spans = sorted(map(len, MASKS))
-    lengths = sorted(r.n for r in items.where(F.col("n") < spans[-1]).select("n").distinct().collect())  # a few lengths at most
+    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("item_w")).withColumn("item_n", F.size("item_w")).where(F.col("item_n") >= FEWEST)
+    wide = max(map(len, MASKS))
+    lengths = sorted(r.item_n for r in items.where(F.col("item_n") < wide).select("item_n").distinct().collect())  # a few lengths at most
     masks = [*MASKS, *("1" * n for n in lengths)]
-    item_seeds = _seeds(items, masks, short=True).select("item_id", F.col("p").alias("j"), "seed", "span", F.col("w").alias("item_w"), F.col("n").alias("item_n"))
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= FEWEST)
-    rows = rows.where(F.col("n") >= min(map(len, masks)))
-    doc_seeds = _seeds(rows, masks, short=False).drop("span")
-    blocks = -(-item_seeds.count() // most_seeds) or 1  # a pass over the documents for each block of the benchmark's seeds
-    parts = [doc_seeds.join(F.broadcast(item_seeds.where(F.pmod("seed", F.lit(blocks)) == b) if blocks > 1 else item_seeds), "seed") for b in range(blocks)]
+    shortest = min(map(len, masks))
+    seeds = items.withColumn("w", F.col("item_w")).withColumn("j", _places(shortest))
+    fits = [(F.col("j") + len(m) <= F.col("item_n")) & (F.lit("0" in m) | (F.col("item_n") == len(m))) for m in masks]
+    made = [F.when(fit, F.struct(_seed(m, F.col("w"), F.col("j")).alias("seed"), F.lit(len(m)).alias("span"))) for m, fit in zip(masks, fits)]
+    seeds = seeds.withColumn("s", F.explode(F.array(*made))).where("s is not null").select("item_id", "item_w", "item_n", "j", "s.seed", "s.span")
+
+    # A document's hash over its end covers fewer words, so no item's seed equals it; the comparison below would not let it pass either.
+    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", "w", _places(shortest).alias("p"))
+    rows = rows.select("doc_id", "w", "p", F.explode(F.array(*(_seed(m, F.col("w"), F.col("p")) for m in masks))).alias("seed"))
+    blocks = -(-seeds.count() // most_seeds) or 1  # a pass over the documents for each block of the benchmark's seeds
+    parts = [rows.join(F.broadcast(seeds.where(F.pmod("seed", F.lit(blocks)) == b) if blocks > 1 else seeds), "seed") for b in range(blocks)]
     hits = reduce(DataFrame.unionByName, parts)
 
     of = F.least(F.lit(window), F.col("item_n"))
     at = F.col("p") - F.col("j")  # item word k lies over document word at + k
 
     def equal(start: Column) -> Column:
-        same = (F.coalesce((F.get("w", at + start + F.lit(k)) == F.get("item_w", start + F.lit(k))).cast("int"), F.lit(0)) for k in range(window))
-        total = next(same)
-        for one in same:
-            total = total + one
-        return total
+        # A loop rather than 13 terms: those would make the generated method too long for the JVM to compile, and all rows slow.
+        return F.aggregate(F.sequence(F.lit(0), of - 1), F.lit(0), lambda n, k: n + F.when(F.get("w", at + start + k) == F.get("item_w", start + k), 1).otherwise(0))
 
     ahead = F.least(F.col("j"), F.col("item_n") - of)
     behind = F.greatest(F.lit(0), F.col("j") + F.col("span") - of)
-    hits = hits.withColumn("best", F.greatest(equal(ahead), equal(behind))).withColumn("of", of)
+    # Generated, so that the comparison neither enters the join's condition nor its compiled loop.
+    hits = hits.withColumn("best", F.explode(F.array(F.greatest(equal(ahead), equal(behind))))).withColumn("of", of)
     enough = F.lit(similarity) * F.col("of") <= F.col("best") + F.lit(1e-9)
     return hits.where(enough).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"), F.max("of").alias("of"), F.min("p").alias("first_word"))
 
