@@ -36,6 +36,7 @@ Columns besides id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,12 @@ class Shingler:
         return np.unique(self._mix(h))
 
 
+@lru_cache(maxsize=2)
+def shingler(n: int) -> Shingler:
+    """One for each Python worker, which lives on from task to task."""
+    return Shingler(n)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -98,7 +105,7 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
     rows = docs.select("doc_id", "row_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(n)
+        make = shingler(n)
         for batch in batches:
             sizes, classes, keys, cuts = [], [], [], [0]
             for text in batch.column(2).to_pylist():
@@ -126,7 +133,7 @@ def _sets(texts: DataFrame, n: int, rows: bool = False) -> DataFrame:
     """class and its sorted hashes; or, as ``rows``, class, n_shingles, posted and key for each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(n)
+        make = shingler(n)
         for batch in batches:
             found = [make.hashes(t) for t in batch.column(0).to_pylist()]
             names = [class_of(h) for h in found]
