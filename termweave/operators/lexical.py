@@ -32,10 +32,8 @@ def corpus_stats(docs: DataFrame, text: str = "concept_name") -> DataFrame:
 
 def term_stats(docs: DataFrame, text: str = "concept_name") -> DataFrame:
     """Documents (df) and occurrences (cf) for each token."""
-    # A document counts its own tokens first, so the shuffle is by token alone and starts from partial sums.
-    found = docs.select(tokens(F.col(text)).alias("w")).select("w", F.explode(F.array_distinct("w")).alias("token"))
-    times = F.size("w") - F.size(F.array_remove("w", F.col("token")))
-    return found.select("token", times.alias("tf")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    found = docs.select("concept_id", F.explode(tokens(F.col(text))).alias("token"))
+    return found.groupBy("concept_id", "token").agg(F.count("*").alias("tf")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @dataclass(frozen=True)
@@ -45,10 +43,14 @@ class LexicalIndex:
     docs: DataFrame
 
     def postings(self, terms: DataFrame) -> DataFrame:
-        """concept_id, token, tf for the tokens in ``terms`` (token)."""
-        words = self.docs.select("concept_id", F.explode(tokens(F.col("concept_name"))).alias("token"))
+        """concept_id, domain_id, len (the document's tokens), token, tf for the tokens in ``terms`` (token).
+
+        One scan gives all that scoring needs of a document, so none is joined again.
+        """
+        words = self.docs.select("concept_id", "domain_id", tokens(F.col("concept_name")).alias("w"))
+        words = words.select("concept_id", "domain_id", F.size("w").alias("len"), F.explode("w").alias("token"))
         few = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
-        return words.join(few, "token", "left_semi").groupBy("concept_id", "token").agg(F.count("*").cast("double").alias("tf"))
+        return words.join(few, "token", "left_semi").groupBy("concept_id", "domain_id", "len", "token").agg(F.count("*").cast("double").alias("tf"))
 
 
 def _asked(entities: DataFrame) -> DataFrame:
@@ -66,9 +68,8 @@ def match_scores(entities: DataFrame, docs: DataFrame, share: float | None = 0.6
     found = LexicalIndex(docs).postings(terms.select("token").distinct())
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     stats = F.broadcast(corpus_stats(docs))  # one row
-    weight = df.join(stats).select("token", idf(F.col("n"), F.col("df")).alias("idf"))
-    size = docs.select("concept_id", "domain_id", F.size(tokens(F.col("concept_name"))).alias("len")).join(stats).select("concept_id", "domain_id", "len", "mean")
-    rows = terms.join(weight, "token").join(found, "token").join(size, "concept_id")
+    weight = df.join(stats).select("token", "mean", idf(F.col("n"), F.col("df")).alias("idf"))
+    rows = terms.join(weight, "token").join(found, "token")
     rows = rows.where(F.col("asked_domain").isNull() | (F.col("asked_domain") == F.col("domain_id")))
     part = F.col("idf") * tf_norm(F.col("tf"), F.col("len"), F.col("mean"))
     scored = rows.groupBy("entity_id", "concept_id", "n_terms").agg(F.sum(part).alias("bm25"), F.count("*").alias("matched"))
