@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.workers import slices
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -81,7 +83,7 @@ def generated(n: int = 3000, seed: int = 7) -> list[str]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = {0: Counter(), 1: Counter()}
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             text = text or ""
             spans = base_spans(text)
@@ -102,10 +104,13 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
 
     Labelled samples: the values that the fixed patterns find and generated strings
     are random; the words outside them are ordinary. They come from the
-    ``sample_docs`` documents whose ids hash lowest; only counts of letter pairs, at
-    most ``2 * 69 * 68`` rows, reach the driver.
+    ``sample_docs`` documents whose ids hash lowest: the ids alone are sorted, and the
+    texts are counted where they are. Only counts of letter pairs, at most
+    ``2 * 69 * 68`` rows, reach the driver.
     """
-    sample = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, F.length(text_col)).alias("h")).orderBy("h").limit(sample_docs).select("text")
+    lowest = F.xxhash64(id_col)
+    cut = docs.select(lowest.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    sample = docs.where(lowest <= F.lit(cut).cast("long")).select(F.col(text_col).cast("string").alias("text"))
     counts = {0: Counter(), 1: Counter()}
     for r in sample.mapInArrow(_count, "kind long, gram string, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")).collect():
         counts[r.kind][r.gram[0], r.gram[1]] += r.n
@@ -132,7 +137,7 @@ def scan(docs: DataFrame, model: MarkovRatio, text_col: str = "text", keep: tupl
     names = [*keep, "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[dict(zip(("kind", "start", "end", "secret_start"), s)) for s in find(t or "", model)] for t in batch.column(len(keep)).to_pylist()]
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(spans, kind)], names=names)
 
@@ -146,7 +151,7 @@ def redact(docs: DataFrame, model: MarkovRatio, text_col: str = "text", mask: st
     size_at = docs.columns.index(size_col) if size_col else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, sizes = [], batch.column(size_at).to_pylist() if size_col else []
             for row, text in enumerate(batch.column(at).to_pylist()):
                 spans = find(text, model) if text else []
