@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Features of a text: its distinct words and their beginnings of three to five
-letters. A logistic regression learns their weights; for each labelled sentence
+Features of a text: its distinct words, their beginnings of four to seven letters,
+and the beginnings that several of its words share. A logistic regression learns their weights; for each labelled sentence
 that names an identity, a copy with the term swapped is made, and a change of the
 score between the two is penalised, so that neutral mentions of a group don't
 raise a score.
@@ -14,6 +14,7 @@ any label of either class all documents score 0. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.workers import memory, slices
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Identity terms, in sets of terms that may stand for one another. Fixed values.
 IDENTITIES = (
@@ -39,22 +42,25 @@ IDENTITIES = (
     ("disabled", "blind", "deaf"),
 )
 SWAPS = {t: [x for x in group if x != t] for group in IDENTITIES for t in group}
-PREFIXES = (3, 4, 5)
+PREFIXES = (4, 5, 6, 7)
+
+
+def parts(word: str) -> list[str]:
+    """The word, and with a trailing ``*`` its beginnings if it is longer. An identity term has no beginnings."""
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)] if word not in SWAPS else [word]
 
 
 def features(words: set[str]) -> set[str]:
-    """Words, and with a trailing ``*`` the beginnings of longer ones. An identity term has no beginnings."""
-    out = set(words)
-    for n in PREFIXES:
-        out.update(w[:n] + "*" for w in words if len(w) > n and w not in SWAPS)
-    return out
+    """The parts of all words; a beginning that two and more words share also counts with ``**``."""
+    seen = Counter(p for w in words for p in parts(w))
+    return seen.keys() | {p + "*" for p, n in seen.items() if n > 1}
 
 
 def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def fit(rows: list[tuple[str, int]], most_features: int = 3000, l2: float = 1.0, swap_weight: float = 5.0, steps: int = 400) -> tuple[dict[str, float], float]:
+def fit(rows: list[tuple[str, int]], most_features: int = 800, least_z: float = 5.0, l2: float = 0.2, swap_weight: float = 5.0, steps: int = 300) -> tuple[dict[str, float], float]:
     """Weights by feature and the bias, from (text, label) rows.
 
     The loss is the mean log loss, its classes weighted alike, plus ``l2`` on the
@@ -76,6 +82,7 @@ def fit(rows: list[tuple[str, int]], most_features: int = 3000, l2: float = 1.0,
             p = (a + b) / len(rows)
             rank[f] = abs(a / n_pos - b / n_neg) / math.sqrt(p * (1 - p) * (1 / n_pos + 1 / n_neg) + 1e-9)
     chosen = sorted(rank, key=lambda f: (-rank[f], f))[:most_features]
+    chosen = [f for i, f in enumerate(chosen) if i < 20 or rank[f] >= least_z]  # chance alone gives some of many words a z of 4
     chosen += sorted(t for t in SWAPS if t not in set(chosen))  # a swap must have a weight on either side
     index = {f: i for i, f in enumerate(chosen)}
 
@@ -102,7 +109,7 @@ def fit(rows: list[tuple[str, int]], most_features: int = 3000, l2: float = 1.0,
     return {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(bias)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (1500, 3000), longest: int = 100_000) -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (1500, 3000), longest: int = 20_000) -> list[tuple[str, int]]:
     """The bounded labelled sample: the ``most`` toxic and clean rows whose ids hash lowest.
 
     Rows whose ``crc32(doc_id) % 3`` is 1 are held out. Documents over ``longest``
@@ -123,20 +130,19 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[st
     at = rows.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
 
+    name = hashlib.sha256(repr((sorted(model[0].items()), model[1])).encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model
-        known: dict[str, tuple[str, ...]] = {}
-        for batch in batches:
+        known = memory(f"toxicity/{name}")  # the weighted parts of words seen
+        for batch in slices(batches):
             out = []
             for text in batch.column(at).to_pylist():
                 bag = words_of(text)
                 for w in bag.difference(known):
-                    known[w] = tuple(f for f in features({w}) if f in weights)
-                active = set()
-                for found in map(known.__getitem__, bag):
-                    if found:
-                        active.update(found)
-                z = bias + math.fsum(weights[f] for f in active)
+                    known[w] = tuple(p for p in parts(w) if p in weights or p + "*" in weights)
+                seen = Counter(p for found in map(known.__getitem__, bag) if found for p in found)
+                z = bias + math.fsum(weights.get(p, 0.0) + (weights.get(p + "*", 0.0) if n > 1 else 0.0) for p, n in seen.items())
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
                 if len(known) > 300_000:
                     known.clear()
