@@ -14,9 +14,11 @@ file and no row.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,40 +28,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm import store
+from termweave.llm.workers import memory, slices
 
 MANIFEST = "part int, file string, doc_id long, offset long, n_tokens long"
 #: Sequences in a record batch.
 BATCH_ROWS = 256
 
 
+#: ASCII punctuation but the apostrophe, which may begin a contraction. Fixed values.
+PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
 class ChunkEncoder:
-    """Ids of texts by a ``tokenizers`` file whose pre-tokens never hold white space.
+    """Ids of texts by a ``tokenizers`` file.
 
-    Blanks and line feeds separate pre-tokens and are themselves dropped, so a
+    Where blanks and line feeds separate pre-tokens and are themselves dropped, a
     text's ids are those of its chunks in order, and a chunk seen before need not be
-    encoded again. At most ``keep`` chunks are remembered.
+    encoded again. Where the file lower-cases and marks word ends, new chunks of
+    letters with punctuation behind are encoded as word and punctuation, the words
+    many at a time. At most ``keep`` chunks and as many words are remembered.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.tok.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list(set().union(*split).difference(known)) if split else []
-        for at in range(0, len(new), 4096):
-            block = new[at : at + 4096]
-            for chunk, e in zip(block, self.tok.encode_batch(block, add_special_tokens=False)):
-                known[chunk] = np.asarray(e.ids, self.dtype).tobytes()
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        if len(known) > self.keep:
-            self.known = {"": b""}
-        return out
+        self.words: dict[str, bytes] = {"": b""}
+        # The ids that end a word. One word gives one such id, so that words can be told apart in a joined text.
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.drops_space = ids("ab \ncd") == ids("ab") + ids("cd")
+        self.split_words = self.drops_space and ids("Ab.") == ids("ab") + ids(".") and bool(self.ends.any())
+
+    def _one_by_one(self, texts: list[str], into: dict[str, bytes]) -> None:
+        for text, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            into[text] = array(self.code, e.ids).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        if not self.split_words:
+            return self._one_by_one(chunks, self.known)
+        parts, odd = [], []
+        for c in chunks:
+            word = c.rstrip(PUNCTUATION)
+            # Letters below U+0130 are composed and lower-case one by one.
+            if word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+                parts.append((c, word.lower(), c[len(word) :]))
+            else:
+                odd.append(c)
+        new = list({w for _, w, _ in parts}.difference(self.words))
+        if new:
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            raw, size = ids.tobytes(), ids.itemsize
+            if len(cuts) == len(new) + 1:
+                self.words.update((w, raw[a * size : b * size]) for w, a, b in zip(new, cuts, cuts[1:]))
+            else:
+                self._one_by_one(new, self.words)
+        tails = list({t for _, _, t in parts}.difference(self.words))
+        self._one_by_one(tails, self.words)
+        self.known.update((c, self.words[w] + self.words[t]) for c, w, t in parts)
+        self._one_by_one(odd, self.known)
+        if len(self.words) > self.keep:
+            self.words = {"": b""}
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        if not self.drops_space:
+            for t in texts:
+                yield array(self.code, self.tok.encode(t or "", add_special_tokens=False).ids).tobytes()
+            return
+        for at in range(0, len(texts), 32):
+            split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 32]]
+            if new := list(set().union(*split).difference(self.known)):
+                self._learn(new)
+            known = self.known
+            for chunks in split:
+                yield b"".join(map(known.__getitem__, chunks))
+            if len(known) > self.keep:
+                self.known = {"": b""}
+
+
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One for each Python worker; it lives on from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    known = memory("token_files")
+    if path not in known:
+        known[path] = ChunkEncoder(path)
+    return known[path]
 
 
 class SequenceFile:
@@ -144,9 +202,9 @@ def _writer(folder: str, tokenizer: str, end_id: int, seq_len: int):
         part = TaskContext.get().partitionId()
         uri = f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.arrow"
         enc = out = sink = None
-        for batch in batches:
+        for batch in slices(batches):
             if enc is None:
-                enc = ChunkEncoder(tokenizer)
+                enc = chunk_encoder(tokenizer)
                 where, path = fs.FileSystem.from_uri(uri)
                 where.create_dir(posixpath.dirname(path), recursive=True)
                 sink = where.open_output_stream(path)

@@ -29,6 +29,13 @@ def test_chunks_give_the_ids_of_the_whole(text):
     assert np.frombuffer(next(ENC.encode([text])), "<u2").tolist() == TOK.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts():
+    other = token_files.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("Two  words.\nand more", "", "x"):
+        assert np.frombuffer(next(other.encode([text])), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_round_trip_of_a_table(spark, data):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op9_token_files(spark, data).collect())
