@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions.text import least_matches, normalize_query, tokens
@@ -46,11 +46,13 @@ class LexicalIndex:
         """concept_id, domain_id, len (the document's tokens), token, tf for the tokens in ``terms`` (token).
 
         One scan gives all that scoring needs of a document, so none is joined again.
+        The filter drops nothing; it keeps tf in every use of the postings, so that the
+        planner sees one and the same shuffle and reuses it.
         """
         words = self.docs.select("concept_id", "domain_id", tokens(F.col("concept_name")).alias("w"))
         words = words.select("concept_id", "domain_id", F.size("w").alias("len"), F.explode("w").alias("token"))
         few = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
-        return words.join(few, "token", "left_semi").groupBy("concept_id", "domain_id", "len", "token").agg(F.count("*").cast("double").alias("tf"))
+        return words.join(few, "token", "left_semi").groupBy("concept_id", "domain_id", "len", "token").agg(F.count("*").cast("double").alias("tf")).where("tf > 0")
 
 
 def _asked(entities: DataFrame) -> DataFrame:
@@ -58,35 +60,52 @@ def _asked(entities: DataFrame) -> DataFrame:
     return entities.select("entity_id", name.alias("asked"), F.col("domain_id").alias("asked_domain"), tokens(name).alias("asked_tokens"))
 
 
+def _terms(entities: DataFrame) -> DataFrame:
+    """entity_id, asked_domain, token, n_terms for each distinct term of a query."""
+    distinct = F.array_distinct("asked_tokens")
+    return _asked(entities).select("entity_id", "asked_domain", F.explode(distinct).alias("token"), F.size(distinct).alias("n_terms"))
+
+
+def _weighted(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of the terms; token, df, idf and mean of those that the corpus has."""
+    found = LexicalIndex(docs).postings(terms.select("token").distinct())
+    stats = F.broadcast(corpus_stats(docs))  # one row
+    weight = found.groupBy("token").agg(F.count("*").alias("df")).join(stats)
+    return found, weight.select("token", "df", "mean", idf(F.col("n"), F.col("df")).alias("idf"))
+
+
 def match_scores(entities: DataFrame, docs: DataFrame, share: float | None = 0.6) -> DataFrame:
-    """entity_id, concept_id, bm25, matched: pairs with enough matching terms in the asked domain.
+    """entity_id, concept_id, n_terms, bm25, matched: pairs with enough matching terms in the asked domain.
 
     A null asked domain admits all. The statistics are the corpus's, not the domain's.
+    If m of n terms must match, one of any n - m + 1 does; so only the rarest so many
+    look for candidates, and common terms are never joined to all their documents.
     """
-    asked = _asked(entities)
-    terms = asked.select("entity_id", "asked_domain", F.explode(F.array_distinct("asked_tokens")).alias("token"), F.size(F.array_distinct("asked_tokens")).alias("n_terms"))
-    found = LexicalIndex(docs).postings(terms.select("token").distinct())
-    df = found.groupBy("token").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(docs))  # one row
-    weight = df.join(stats).select("token", "mean", idf(F.col("n"), F.col("df")).alias("idf"))
-    rows = terms.join(weight, "token").join(found, "token")
-    rows = rows.where(F.col("asked_domain").isNull() | (F.col("asked_domain") == F.col("domain_id")))
-    part = F.col("idf") * tf_norm(F.col("tf"), F.col("len"), F.col("mean"))
-    scored = rows.groupBy("entity_id", "concept_id", "n_terms").agg(F.sum(part).alias("bm25"), F.count("*").alias("matched"))
-    if share is not None:
-        scored = scored.where(F.col("matched") >= least_matches(F.col("n_terms"), share))
-    return scored
+    terms = _terms(entities)
+    found, weight = _weighted(docs, terms)
+    in_domain = F.col("asked_domain").isNull() | (F.col("asked_domain") == F.col("domain_id"))
+    part = F.sum(F.col("idf") * tf_norm(F.col("tf"), F.col("len"), F.col("mean"))).alias("bm25")
+    keys = ["entity_id", "concept_id", "n_terms"]
+    if share is None:
+        return terms.join(weight, "token").join(found, "token").where(in_domain).groupBy(*keys).agg(part, F.count("*").alias("matched"))
+    known = terms.join(weight, "token", "left")
+    order = Window.partitionBy("entity_id").orderBy(F.coalesce("df", F.lit(0)), "token")
+    needed = least_matches(F.col("n_terms"), share)
+    known = known.withColumn("place", F.row_number().over(order)).withColumn("needed", needed)
+    rare = known.where((F.col("place") <= F.col("n_terms") - F.col("needed") + 1) & F.col("df").isNotNull())
+    pairs = rare.join(found, "token").where(in_domain).select("entity_id", "concept_id").distinct()
+    scored = pairs.join(known.where("df is not null").drop("asked_domain", "place"), "entity_id").join(found, ["concept_id", "token"])
+    return scored.groupBy(*keys, "needed").agg(part, F.count("*").alias("matched")).where("matched >= needed").drop("needed")
 
 
 def phrase_scores(entities: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """entity_id, concept_id, phrase: BM25 of the query as a phrase, for those of ``pairs`` that hold it."""
+    _, weight = _weighted(docs, _terms(entities))
     asked = _asked(entities).select("entity_id", "asked_tokens", F.explode("asked_tokens").alias("token"))
-    df = LexicalIndex(docs).postings(asked.select("token").distinct()).groupBy("token").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(docs))
-    weight = asked.join(df, "token").join(stats).groupBy("entity_id", "asked_tokens").agg(F.sum(idf(F.col("n"), F.col("df"))).alias("idf"), F.count("*").alias("known"))
-    weight = weight.where(F.col("known") == F.size("asked_tokens"))
-    whole = pairs.where(F.col("matched") == F.col("n_terms")).select("entity_id", "concept_id")
-    rows = whole.join(weight, "entity_id").join(docs.select("concept_id", tokens(F.col("concept_name")).alias("words")), "concept_id").join(stats)
+    whole = asked.join(weight, "token").groupBy("entity_id", "asked_tokens", "mean").agg(F.sum("idf").alias("idf"), F.count("*").alias("known"))
+    whole = whole.where(F.col("known") == F.size("asked_tokens"))
+    full = pairs.where(F.col("matched") == F.col("n_terms")).select("entity_id", "concept_id")
+    rows = full.join(whole, "entity_id").join(docs.select("concept_id", tokens(F.col("concept_name")).alias("words")), "concept_id")
     m = F.size("asked_tokens")
     last = F.size("words") - m
     times = F.when(last >= 0, F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice("words", i + 1, m) == F.col("asked_tokens")))).otherwise(0)
