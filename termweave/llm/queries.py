@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS rules(host, path, action)")
     return url_rules.judge(_table(spark, sf_dir, "pages"), rules)
 
 
@@ -132,6 +132,14 @@ h AS (SELECT DISTINCT doc_id, item_id, ds.p AS p, si.p AS j, si.span AS span FRO
 s AS (SELECT h.doc_id, h.item_id, h.p, h.p - h.j AS off, least(13, i.n) AS wide, least(h.j, i.n - least(13, i.n)) AS ahead, greatest(0, h.j + h.span - least(13, i.n)) AS behind FROM h JOIN i USING (item_id)),
 v AS (SELECT doc_id, item_id, p, wide, greatest({equal("ahead")}, {equal("behind")}) AS best FROM s JOIN d USING (doc_id) JOIN i USING (item_id))
 SELECT doc_id, item_id, CAST(max(best) AS INTEGER) AS best, CAST(max(wide) AS INTEGER) AS "of", CAST(min(p) AS INTEGER) AS first_word FROM v WHERE best + 1e-9 >= 0.8 * wide GROUP BY doc_id, item_id""",
+        "op5_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 85 * (nx.n + ny.n - common)),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON r.doc_id = l.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least AS component_id FROM (SELECT doc_id, min(root) AS least FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
         "op7_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
