@@ -5,7 +5,8 @@ shingle set form a class; classes are joined in rounds:
 
 * Every class posts its ``KEYS`` smallest shingle hashes (all, if it has fewer).
   Two linked classes share one of any ``COOL`` of these but for a chance below
-  1e-13, and for certain where both post all.
+  1e-13, and for certain where both post all. Pairs that share fewer than three of
+  48 are not compared; a linked one is among them with a chance below 1e-11.
 * Keys of at most ``most`` classes are cool: the classes of such a cell are compared
   with each other. A class with enough cool keys is done; one without is busy.
 * Busy classes post all their hashes. A class that has more cool ones than a linked
@@ -23,8 +24,7 @@ Near copies cost a distance to the pivot each, and a common passage costs nothin
 between documents that share nothing else. All comparisons are exact. Distances to
 documents as pivots hardly separate texts, whose distance is nearly always 1; hence
 the keys, which find the regions, and pivots that are sets rather than documents.
-Links are joined to groups by the
-alternating star method.
+Links are joined to groups by the alternating star method.
 
 Defined cases: words are separated by ASCII white space and compared with A-Z
 lower-cased; a text of fewer than ``n`` words is one shingle; a null, empty or blank
@@ -36,7 +36,7 @@ Columns besides id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm import store
+from termweave.llm.workers import memory, slices
 
 KEYS, COOL = 48, 34
 #: Documents of a block.
@@ -75,7 +76,7 @@ class Shingler:
         known = self.known
         if len(known) > self.keep:
             known.clear()
-        for w in set(words).difference(known):
+        for w in set(filterfalse(known.__contains__, words)):
             known[w] = xxhash.xxh64_intdigest(w)
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         size = len(words) - self.n + 1
@@ -85,10 +86,12 @@ class Shingler:
         return np.unique(self._mix(h))
 
 
-@lru_cache(maxsize=2)
 def shingler(n: int) -> Shingler:
-    """One for each Python worker, which lives on from task to task."""
-    return Shingler(n)
+    """One for each Python worker; it lives on from task to task."""
+    known = memory("jaccard_join")
+    if n not in known:
+        known[n] = Shingler(n)
+    return known[n]
 
 
 def _signed(x: int) -> int:
@@ -106,7 +109,7 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = shingler(n)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, classes, keys, cuts = [], [], [], [0]
             for text in batch.column(2).to_pylist():
                 h = make.hashes(text)
@@ -134,7 +137,7 @@ def _sets(texts: DataFrame, n: int, rows: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = shingler(n)
-        for batch in batches:
+        for batch in slices(batches):
             found = [make.hashes(t) for t in batch.column(0).to_pylist()]
             names = [class_of(h) for h in found]
             if not rows:
@@ -151,7 +154,7 @@ def _sets(texts: DataFrame, n: int, rows: bool = False) -> DataFrame:
 
 
 def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 4096):
         common, union = [], []
         for x, y in zip(batch.column(2), batch.column(3)):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))

@@ -23,8 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders that this process has made and not released.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the tables made so far, but for those that ``keep`` reads. For callers that have written their results."""
+    held = keep.inputFiles() if keep is not None else []
+    for path in list(_made):
+        if not any(path.rsplit("/", 1)[-1] in f for f in held):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _made.remove(path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -20,6 +20,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +103,9 @@ class ChunkEncoder:
             return
         for at in range(0, len(texts), 32):
             split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 32]]
-            if new := list(set().union(*split).difference(self.known)):
-                self._learn(new)
             known = self.known
+            if new := set(filterfalse(known.__contains__, chain.from_iterable(split))):
+                self._learn(list(new))
             for chunks in split:
                 yield b"".join(map(known.__getitem__, chunks))
             if len(known) > self.keep:
