@@ -240,15 +240,10 @@ def ordered_run_lists(spark, d):
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def streaming_ingest_final(spark, d):
     """The table that a resumable stream over ``events`` leaves."""
-    import tempfile
-
-    from termweave.sources.sinks import KeyedTable
+    from termweave.sources.sinks import KeyedTable, shared_folder
     from termweave.streaming.ingest import ingest
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = f"{shared or tempfile.mkdtemp()}/ingest-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     target = KeyedTable(spark, f"{base}/table", "user_id", "event_id")
     schema = table(spark, d, "events").schema
     ingest(spark, d, schema, target, f"{base}/progress", lambda rows: rows.select("user_id", "event_id", "event_type"), pathGlobFilter="events.parquet").awaitTermination()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,21 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; one of its own for a local session without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or tempfile.mkdtemp(prefix="termweave-")).rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written in the shared folder and read again, so that later uses neither repeat the work nor depend on an executor."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class KeyedTable:
     """A Parquet table that holds one row, the last written, for each key.
 
