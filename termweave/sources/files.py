@@ -67,7 +67,7 @@ class DelimitedSource:
         return self.read(name).count()
 
 
-#: Mapping inputs: the columns of each kind, by preference, and its filters.
+#: Mapping inputs: the columns of each kind of file, by preference. Fixed values.
 INPUTS = {
     "snuh": {"entity_name": ("source_name", "source_value"), "domain_id": ("domain", "domain_id"), "row_id": ("snuh_id", "row_id"), "truth_id": ("omop_concept_id", "concept_id"), "truth_name": ("concept_name",), "vocabulary": ("vocabulary",)},
     "snomed": {"entity_name": ("entity_name",), "domain_id": ("domain_id",), "row_id": ("note_id",), "truth_id": ("concept_id",), "truth_name": ("concept_name",), "vocabulary": ("vocabulary",)},
