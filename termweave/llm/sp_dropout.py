@@ -2,11 +2,13 @@
 
 Pieces and merge order come from a merge-type (BPE) model file. A text is cut into
 units, a run of blanks with what is behind it; no piece of such a model reaches across
-units. In each unit candidate merges wait on an agenda; when one is taken,
-a hash keyed by seed, variant, unit and place says whether it is skipped. Skipped
-merges stay skipped, so a unit has one segmentation for a key. A document's key
-chooses among ``variants`` keys for each of its units in turn. Words are also cut
-before punctuation, where the model's pieces show that none reaches over that place.
+units. In each unit candidate merges wait on an agenda; when one is taken, it is
+skipped with the chance ``dropout``. Skipped merges stay skipped. The draws are hashes
+of seed, document id, the unit's place in the document and their number, so each
+occurrence of a word and each copy of a text has its own. Draws say how many merges
+pass until the next skip; a segmentation is remembered by the unit and the merges
+skipped, which it follows from. Words are also cut before punctuation, where the
+model's pieces show that none reaches over that place.
 
 Defined cases: a null text gives null ids and decodes to null, an empty text gives
 no ids. A letter without a piece, and the blank mark itself where a text has it,
@@ -17,14 +19,14 @@ with the same id and text get the same ids; other columns are kept.
 from __future__ import annotations
 
 import heapq
+import math
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain, repeat
+from operator import add, itemgetter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,10 +35,23 @@ from termweave.llm.workers import memory, slices
 
 MARK = "▁"
 ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_M32 = (1 << 32) - 1
-#: Numbers that places in a unit are mixed with.
-_PLACES = 64
-_START, _END = ([xxhash.xxh32_intdigest(b"%d" % i, seed=s) for i in range(_PLACES)] for s in (1, 2))
+_M64 = (1 << 64) - 1
+#: A gap between skips that no unit is long enough for, and a rank behind all others.
+_NEVER = 1 << 50
+#: Remembered segmentations have at most so many skips, and letters.
+_SKIPS, _LETTERS = 2, 64
+#: Units up to so many letters are searched for the next merge; longer ones have an agenda.
+_SHORT = 24
+#: Stands for a unit not met before: any gap is shorter.
+_NEW = (_NEVER + 1, b"")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finishing steps of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
 
 def unit_pattern(pieces: list[str]) -> re.Pattern:
@@ -54,10 +69,22 @@ def unit_pattern(pieces: list[str]) -> re.Pattern:
     return re.compile(f"{MARK}*{letters}+(?=[{re.escape(ASCII_MARKS)}{MARK}\\n]|\\Z)|{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
 
 
+class _Ids(dict):
+    """Ids of a piece, little-endian; byte pieces for anything else."""
+
+    def __init__(self, ids: dict[str, int], bytes_at: list[int], dtype: str):
+        super().__init__((p, np.array([i], dtype).tobytes()) for p, i in ids.items())
+        self.bytes_at, self.dtype = bytes_at, dtype
+
+    def __missing__(self, piece: str) -> bytes:
+        return np.array([self.bytes_at[b] for b in piece.encode()], self.dtype).tobytes()
+
+
 class DropoutEncoder:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 2, keep: int = 300_000):
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, variants: int | None = None, keep: int = 300_000):
+        """With ``variants`` keys count modulo that number; without, every key has its own draws."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -78,19 +105,58 @@ class DropoutEncoder:
                 self.ids[p] = i
                 self.rank[p] = -sp.get_score(i)
                 self.out.append(p.replace(MARK, " ").encode())
-        self.dtype, self.code = ("<u2", "H") if n <= 1 << 16 else ("<u4", "I")
+        self.dtype = "<u2" if n <= 1 << 16 else "<u4"
+        self.bytes_of = _Ids(self.ids, self.bytes_at, self.dtype)
         self.dropout, self.seed, self.variants, self.keep = dropout, seed, variants, keep
-        self.limit = int(dropout * (1 << 32))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.log_pass = math.log1p(-dropout) if dropout < 1 else -math.inf
+        self.whole: dict[str, tuple[int, bytes]] = {}  # unit: its merges, and its ids without a skip
+        self.skipped: dict[tuple, tuple[int, bytes]] = {}  # (unit, skips): merges taken or skipped, ids
         self.unit = unit_pattern(list(self.ids))
 
-    def pieces(self, unit: str, variant: int) -> list[str]:
-        """The unit's segmentation. Merges go by rank, then from the left."""
+    def _base(self, key: int) -> int:
+        key = key if self.variants is None else key % self.variants
+        return ((key & _M64) ^ (self.seed * 0x9E3779B97F4A7C15)) & _M64
+
+    def _gaps(self, base: int, rounds: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """How many merges pass before the next skip, for numbers of draws and places of units."""
+        if not self.dropout:
+            return np.full(np.broadcast(rounds, places).shape, _NEVER)
+        x = _mix(np.array([base], np.uint64) + rounds.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        x = _mix(x + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        u = ((x >> np.uint64(11)) + 0.5) * 2.0**-53
+        return np.minimum(np.log(u) / self.log_pass, _NEVER).astype(np.int64)
+
+    def _later(self, base: int, place: int, number: int) -> Iterator[int]:
+        """The gaps of a unit from draw ``number`` on."""
+        block = 16
+        while True:
+            yield from self._gaps(base, np.arange(number, number + block), np.array([place])).tolist()
+            number, block = number + block, min(2 * block, 4096)
+
+    def _segment(self, unit: str, gaps: Iterator[int]) -> tuple[list[str], int, list[int]]:
+        """Pieces, the number of merges taken or skipped, and the numbers of those skipped. Merges go by rank, then from the left."""
         rank, n = self.rank, len(unit)
         if n == 1:
-            return [unit]
-        key = xxhash.xxh32_intdigest(unit.encode(), seed=(self.seed * 1_000_003 + variant) & _M32)
-        limit = self.limit
+            return [unit], 0, []
+        done, skip, skips = 0, next(gaps), []
+        if n <= _SHORT:
+            parts, get = list(unit), rank.get
+            ranks = list(map(get, map(add, parts, parts[1:]), repeat(_NEVER)))
+            while ranks and (least := min(ranks)) != _NEVER:
+                i = ranks.index(least)
+                done += 1
+                if done > skip:
+                    skips.append(skip)
+                    skip = done + next(gaps)
+                    ranks[i] = _NEVER
+                    continue
+                p = parts[i] = parts[i] + parts.pop(i + 1)
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = get(p + parts[i + 1], _NEVER)
+                if i:
+                    ranks[i - 1] = get(parts[i - 1] + p, _NEVER)
+            return parts, done, skips
         ends = list(range(1, n + 1))  # end of the piece that starts here; 0: no piece starts here
         before = list(range(-1, n - 1))
         agenda = [(rank[p], i, i + 2) for i in range(n - 1) if (p := unit[i : i + 2]) in rank]
@@ -100,10 +166,11 @@ class DropoutEncoder:
             mid = ends[i]
             if not mid or mid >= j or ends[mid] != j:
                 continue  # one of its parts has been merged otherwise
-            if limit:
-                x = key ^ _START[i % _PLACES] ^ _END[j % _PLACES]
-                if ((x ^ (x >> 15)) * 0x2C1B3C6D & _M32) < limit:
-                    continue
+            done += 1
+            if done > skip:
+                skips.append(skip)
+                skip = done + next(gaps)
+                continue
             ends[i], ends[mid] = j, 0
             if j < n:
                 before[j] = i
@@ -115,38 +182,61 @@ class DropoutEncoder:
         while i < n:
             out.append(unit[i : ends[i]])
             i = ends[i]
-        return out
+        return out, done, skips
 
-    def _unit(self, unit: str, variant: int) -> bytes:
-        ids = []
-        for p in self.pieces(unit, variant):
-            if p in self.ids:
-                ids.append(self.ids[p])
-            else:
-                ids += [self.bytes_at[b] for b in p.encode()]
-        return array(self.code, ids).tobytes()
+    def pieces(self, unit: str, key: int, place: int = 0) -> list[str]:
+        """The segmentation of the unit that stands at ``place`` of a text with that key."""
+        return self._segment(unit, self._later(self._base(key), place, 0))[0]
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, pieces))
 
     def encode(self, text: str, key: int) -> bytes:
-        """Ids, little-endian, of a text; ``key`` chooses the variants."""
+        """Ids, little-endian, of a text; ``key`` stands for its document."""
         if not text:
             return b""
+        base = self._base(key)
         if MARK in text:  # rare: the mark itself goes out as bytes
             mark = np.asarray([self.bytes_at[b] for b in MARK.encode()], self.dtype).tobytes()
-            parts = text.split(MARK)
-            return mark.join([self._plain(MARK + parts[0].replace(" ", MARK), key), *(self._plain(p.replace(" ", MARK), key) for p in parts[1:])])
-        return self._plain(MARK + text.replace(" ", MARK), key)
-
-    def _plain(self, text: str, key: int) -> bytes:
-        units = self.unit.findall(text)
-        out: list = [b""] * len(units)
-        k = self.variants
-        for v in range(k):
-            known, own = self.known[(key + v) % k], units[v::k]
-            for u in set(filterfalse(known.__contains__, own)):
-                known[u] = self._unit(u, (key + v) % k)
-            out[v::k] = map(known.__getitem__, own)
+            out, first = [], 0
+            for i, part in enumerate(text.split(MARK)):
+                units = self.unit.findall((MARK if not i else "") + part.replace(" ", MARK))
+                out.append(self._plain(units, base, first))
+                first += len(units)
+            return mark.join(out)
+        return self._plain(self.unit.findall(MARK + text.replace(" ", MARK)), base, 0)
+
+    def _plain(self, units: list[str], base: int, first: int) -> bytes:
+        """Ids of the units at the places from ``first`` on."""
+        whole, skipped = self.whole, self.skipped
+        for known in (whole, skipped):
             if len(known) > self.keep:
                 known.clear()
+        if not units:
+            return b""
+        found = list(map(whole.get, units, repeat(_NEW)))
+        out = list(map(itemgetter(1), found))
+        places = np.arange(first, first + len(units))
+        gap = self._gaps(base, np.array([0]), places)
+        todo = np.flatnonzero(gap < np.fromiter(map(itemgetter(0), found), np.int64, len(units)))
+        if not len(todo):
+            return b"".join(out)
+        later = self._gaps(base, np.array([[1], [2]]), places[todo]).tolist()
+        for i, a, g1, g2 in zip(todo.tolist(), gap[todo].tolist(), *later):
+            u, b = units[i], a + 1 + g1
+            got = whole.get(u, _NEW)
+            if a < got[0]:
+                got = skipped.get((u, a))
+                if got is None or b < got[0]:
+                    got = skipped.get((u, a, b))
+                    if got is None or b + 1 + g2 < got[0]:
+                        pieces, done, skips = self._segment(u, chain((a, g1, g2), self._later(base, first + i, 3)))
+                        got = done, self._ids(pieces)
+                        if not skips:
+                            whole[u] = got
+                        elif len(skips) <= _SKIPS and len(u) <= _LETTERS:
+                            skipped[u, *skips] = got
+            out[i] = got[1]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -155,12 +245,12 @@ class DropoutEncoder:
         return b"".join(map(self.out.__getitem__, np.frombuffer(ids, self.dtype).tolist())).decode()[1:]
 
 
-def encoder(path: str, dropout: float = 0.0, seed: int = 0, variants: int = 1) -> DropoutEncoder:
+def encoder(path: str, dropout: float = 0.0, seed: int = 0) -> DropoutEncoder:
     """One for each Python worker and setting; it lives on from task to task."""
     known = memory("sp_dropout")
-    key = (path, dropout, seed, variants)
+    key = (path, dropout, seed)
     if key not in known:
-        known[key] = DropoutEncoder(path, dropout, seed, variants)
+        known[key] = DropoutEncoder(path, dropout, seed)
     return known[key]
 
 
@@ -168,15 +258,14 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, variants: int = 2, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the ids as little-endian integers of 16 bits (32 for over 65,536 pieces) in ``out_col``."""
-    key = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(variants))
-    rows = docs.withColumn("_key", key)
+    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.lit(seed)))
     at = docs.columns.index(text_col)
     names = [*docs.columns, out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model_path, dropout, seed, variants)
+        enc = encoder(model_path, dropout, seed)
         for batch in slices(batches):
             ids = [None if t is None else enc.encode(t, k) for t, k in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             yield pa.record_batch([*batch.columns[:-1], pa.array(ids, pa.binary())], names=names)

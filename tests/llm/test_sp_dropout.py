@@ -50,3 +50,23 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r.text == r.decoded for r in rows)
     assert {c for c in odd_docs.columns} <= set(done.columns)
     assert sp_dropout.encode(no_docs, PATH).collect() == []
+
+
+def test_every_occurrence_and_document_has_its_own_draws(spark):
+    enc = sp_dropout.DropoutEncoder(PATH, dropout=0.1, seed=17)
+    word = "extraordinarily"
+    alone = [enc.pieces("▁" + word, 4, i) for i in range(3000)]
+    assert len(set(map(tuple, alone))) > 20
+    flat = [i for p in alone for i in ids(enc._ids(p))]
+    assert ids(enc.encode(" ".join([word] * 3000), 4)) == flat  # remembered segmentations change nothing
+    docs = spark.createDataFrame([(i, "the same sentence stands in each of several documents") for i in range(200)], "doc_id long, text string")
+    rows = sp_dropout.encode(docs, PATH, dropout=0.1, seed=17).collect()
+    assert len({r.ids for r in rows}) > 100
+
+
+def test_share_of_skips():
+    """The first merge is skipped in a share of ``dropout``, whatever stands around it."""
+    enc = sp_dropout.DropoutEncoder(PATH, dropout=0.25, seed=3)
+    n = 20_000
+    first = sum(enc._segment("▁the", enc._later(enc._base(k % 100), k // 100, 0))[2][:1] == [0] for k in range(n))
+    assert abs(first / n - 0.25) < 0.015
