@@ -3,9 +3,9 @@
 A seed mask is laid over every run of words; only the words under its ones are
 hashed, so a substituted word under a zero costs nothing. Hashes of documents and
 of benchmark items are joined. Around each hit the words of document and item are
-compared, over ``window`` words from where the hit starts and over those up to
-where it ends; a pair counts if either has at least ``similarity`` of its words
-equal. Items shorter than that are compared whole.
+compared, over every run of ``window`` words of the item that holds the hit; a pair
+counts if one has at least ``similarity`` of its words equal. Items shorter than
+that are compared whole.
 
 Words are the runs of letters and digits of the lower-cased text. All is
 whole-stage compiled; documents are never shuffled, only verified hits are. The
@@ -71,10 +71,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, similarity:
         # A loop rather than 13 terms: those would make the generated method too long for the JVM to compile, and all rows slow.
         return F.aggregate(F.sequence(F.lit(0), of - 1), F.lit(0), lambda n, k: n + F.when(F.get("w", at + start + k) == F.get("item_w", start + k), 1).otherwise(0))
 
-    ahead = F.least(F.col("j"), F.col("item_n") - of)
-    behind = F.greatest(F.lit(0), F.col("j") + F.col("span") - of)
+    starts = F.sequence(F.greatest(F.lit(0), F.col("j") + F.col("span") - of), F.least(F.col("j"), F.col("item_n") - of))
     # Generated, so that the comparison neither enters the join's condition nor its compiled loop.
-    hits = hits.withColumn("best", F.explode(F.array(F.greatest(equal(ahead), equal(behind))))).withColumn("of", of)
+    hits = hits.withColumn("best", F.explode(F.array(F.array_max(F.transform(starts, equal))))).withColumn("of", of)
     enough = F.lit(similarity) * F.col("of") <= F.col("best") + F.lit(1e-9)
     return hits.where(enough).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"), F.max("of").alias("of"), F.min("p").alias("first_word"))
 

@@ -71,3 +71,37 @@ def test_empty_tables(spark, odd_docs, no_docs):
 def test_plan_is_native(spark, data):
     plan = queries.op4_decontaminate(spark, data)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def all_windows(docs, items, window=13, similarity=0.8):
+    """Best of every window of every item over every place of every document, without masks."""
+    out = {}
+    for i, text in docs:
+        w = re.findall(r"[^\W_]+", text.lower())
+        for j, item in items:
+            b = re.findall(r"[^\W_]+", item.lower())
+            of = min(window, len(b))
+            for off in range(-len(b), len(w)):
+                for s in range(len(b) - of + 1):
+                    same = sum(0 <= off + s + k < len(w) and w[off + s + k] == b[s + k] for k in range(of))
+                    if same + 1e-9 >= similarity * of:
+                        out[i, j] = max(out.get((i, j), 0), same)
+    return out
+
+
+def test_every_window_placement(spark):
+    """Runs of 13 words of a longer item, any two substituted."""
+    draw = random.Random(9)
+    vocab = [f"{a}{i}" for a in WORDS for i in range(20)]
+    item = draw.sample(vocab, 30)
+    docs = []
+    for a in range(13):
+        for b in range(a):
+            run = item[8:21]
+            run[a], run[b] = "other", "another"
+            docs.append((len(docs), " ".join(draw.choices(vocab, k=9) + run + draw.choices(vocab, k=9))))
+    items = [(1, " ".join(item))]
+    want = all_windows(docs, items)
+    assert len(want) == 78
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.best for r in got} == want
