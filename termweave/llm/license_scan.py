@@ -6,9 +6,11 @@ and the gaps between anchors are aligned in the same way. The share of the
 template's words that are matched is its coverage.
 
 A hit of coverage c lacks at most ``(1 - c) * words`` of the template, so at least
-one of any more words than that is in it; windows around the places of the rarest
-such words therefore miss none. Texts without enough of a template's words are
-passed over, by the same count.
+one of any more words than that is in it; alignments start from the places of the
+rarest such words. Each has a window of the template's length, so that neighbouring
+notices don't hide one another, and wider ones on either side: by up to a quarter of
+the template, and on as long as doubling that brings in matched words. Texts without
+enough of a template's words are passed over, by the same count.
 
 Defined cases: null and empty texts have no hit; hits of a template don't overlap,
 the better and then the earlier one stays; offsets count code points; repeated rows
@@ -108,6 +110,23 @@ class Template:
                     return False
         return True
 
+    def _around(self, words: list[str], start: int, done: dict[tuple[int, int], list]) -> None:
+        """Alignments by window: the template's length from ``start``, then more words on either side and on both.
+
+        They double up to a quarter of the template, and on as long as that matches further words.
+        """
+        n, best, more = len(self.words), 0, 0
+        while best < n:
+            before = best
+            for left, right in ((more, 0), (0, more), (more, more)) if more else ((0, 0),):
+                window = max(0, start - left), min(len(words), start + n + right)
+                if window not in done:
+                    done[window] = patience(words[slice(*window)], self.words)
+                best = max(best, len(done[window]))
+            if more >= n // 4 + 2 and best == before or more > len(words):
+                break
+            more = 2 * more or 1
+
     def find(self, words: list[str], where: dict[str, list[int]]) -> list[tuple[float, int, int]]:
         """(coverage, first word, last word) of each hit."""
         rare = sorted(self.places, key=lambda w: (len(where.get(w, ())), w))
@@ -117,11 +136,10 @@ class Template:
             held += len(self.places[w])
             if held > self.spare:
                 break
-        slack = len(self.words) // 4 + 2
-        windows = {(max(0, p - t - slack), min(len(words), p - t + len(self.words) + slack)) for w in chosen for p in where.get(w, ()) for t in self.places[w]}
-        hits = []
-        for a, b in sorted(windows):
-            matched = patience(words[a:b], self.words)
+        hits, done = [], {}
+        for start in sorted({p - t for w in chosen for p in where.get(w, ()) for t in self.places[w]}):
+            self._around(words, start, done)
+        for (a, _), matched in done.items():
             if len(matched) >= self.need:
                 hits.append((len(matched) / len(self.words), a + matched[0][0], a + matched[-1][0]))
         kept: list[tuple[float, int, int]] = []

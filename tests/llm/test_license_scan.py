@@ -60,3 +60,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert license_scan.scan(odd_docs).collect() == [] and license_scan.scan(no_docs).collect() == []
     more = spark.createDataFrame([(None, license_scan.TEMPLATES["MIT"]), (1, license_scan.TEMPLATES["MIT"]), (1, license_scan.TEMPLATES["MIT"])], "doc_id long, text string")
     assert sorted(repr(r.doc_id) for r in license_scan.scan(more).collect()) == ["1", "1", "None"]
+
+
+def test_adjacent_notices_are_all_found():
+    for name in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0", "ISC-text"):
+        for k in (2, 3, 4, 9):
+            assert names("\n".join([license_scan.TEMPLATES[name]] * k)).count(name) == k
+    line = license_scan.TEMPLATES["MIT"]
+    assert names(" ".join([line, line, "Released under the old MIT License.", line, line])) == ["MIT"] * 5
+
+
+def test_notices_with_many_inserted_words():
+    for name in ("MIT-text", "GPL-3.0-header", "BSD-2-Clause-text"):
+        words = license_scan.TEMPLATES[name].split()
+        for each in (1, 2, 3):
+            body = " ".join(f"{w} " + " ".join(f"in{i}x{k}" for k in range(each)) for i, w in enumerate(words))
+            assert names(f"text before {body} text after") == [name], (name, each)
+        middle = words[:30] + [f"new{i}" for i in range(len(words) // 2)] + words[30:]
+        assert names(" ".join(middle)) == [name]
