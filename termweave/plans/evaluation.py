@@ -116,7 +116,7 @@ def coverage_recall(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "labels").select("doc_id", F.col("quality").alias("hits"), F.lit(1).alias("cells"))
-    return evaluate.bootstrap(rows, "doc_id", "hits", "cells", replicates=200)
+    return evaluate.bootstrap(rows, "doc_id", "hits", "cells")
 
 
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.score, a.score) AS score FROM (SELECT doc_id, quality AS score FROM labels WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, toxic + 10 AS score FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")

@@ -33,3 +33,16 @@ def test_bootstrap_holds_the_mean(spark):
     low, high = catalogue.QUERIES["bootstrap_ci"](spark, d).first()
     mean = spark.read.parquet(f"{d}/labels.parquet").selectExpr("avg(quality)").first()[0]
     assert 0 < low < mean < high < 1 and high - low < 0.2
+
+
+def test_bootstrap_runs_the_replicates_of_the_reference(spark, data, monkeypatch):
+    asked, run = [], catalogue.QUERIES["bootstrap_ci"].__globals__["evaluate"].bootstrap
+
+    def seen(*args, replicates=1000, **options):
+        asked.append(replicates)
+        return run(*args, replicates=replicates, **options)
+
+    monkeypatch.setattr(catalogue.QUERIES["bootstrap_ci"].__globals__["evaluate"], "bootstrap", seen)
+    low, high = catalogue.QUERIES["bootstrap_ci"](spark, data).first()
+    rows = spark.read.parquet(f"{data}/labels.parquet").selectExpr("doc_id", "quality as hits", "1 as cells")
+    assert asked == [1000] and (low, high) == tuple(run(rows, "doc_id", "hits", "cells", replicates=1000).first())
