@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from termweave.llm.workers import memory, slices
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Identity terms, in sets of terms that may stand for one another. Fixed values.
+#: Identity terms, in sets of terms of a language that may stand for one another; none is in two. Fixed values.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -40,6 +40,32 @@ IDENTITIES = (
     ("gay", "lesbian", "bisexual", "straight", "heterosexual"),
     ("young", "old", "elderly"),
     ("disabled", "blind", "deaf"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann", "junge"),
+    ("christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("christen", "muslime", "juden", "hinduisten", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiatische", "arabische"),
+    ("afrikaner", "europäer", "amerikaner", "mexikaner", "chinesen", "inder", "türken"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("behindert", "taub"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("africains", "européens", "américains", "mexicains", "chinois", "indiens"),
+    ("homosexuel", "lesbienne", "bisexuel", "hétérosexuel"),
+    ("jeune", "vieux", "âgé"),
+    ("handicapé", "aveugle", "sourd"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "latinos", "árabes"),
+    ("africanos", "europeos", "americanos", "mexicanos", "chinos", "indios"),
+    ("lesbiana", "homosexual"),
+    ("joven", "viejo", "anciano"),
+    ("discapacitado", "ciego", "sordo"),
 )
 SWAPS = {t: [x for x in group if x != t] for group in IDENTITIES for t in group}
 PREFIXES = (4, 5, 6, 7)
@@ -93,15 +119,27 @@ def fit(rows: list[tuple[str, int]], most_features: int = 800, least_z: float =
         return x
 
     x, y = matrix(bags), np.array([y for _, y in rows], np.float32)
-    pairs = [(i, (bag - {t}) | {other}) for i, bag in enumerate(bags) for t in sorted(bag & SWAPS.keys()) for other in SWAPS[t]][:20_000]
-    change = x[[i for i, _ in pairs]] - matrix([b for _, b in pairs]) if pairs else np.zeros((1, len(index)), np.float32)
+    # A term has no beginnings, so a swap takes one feature away and adds one at most: the squared changes are sums over term pairs.
+    pairs = Counter((t, other, other in bag) for bag in bags for t in bag & SWAPS.keys() for other in SWAPS[t])
+    changes = np.zeros((len(SWAPS), len(SWAPS)))
+    row = {t: k for k, t in enumerate(sorted(SWAPS))}
+    terms = [index[t] for t in row]
+    for (t, other, held), n in sorted(pairs.items()):
+        i, j = row[t], row[other]
+        changes[i, i] += n
+        if not held:
+            changes[j, j] += n
+            changes[i, j] -= n
+            changes[j, i] -= n
+    changes = (swap_weight * 2 / max(1, pairs.total()) * changes).astype(np.float32)
     share = np.where(y == 1, 0.5 / n_pos, 0.5 / n_neg).astype(np.float32)
     w, bias = np.zeros(len(index), np.float32), 0.0
     m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
         err = share * (p - y)
-        grad_w = x.T @ err + l2 * w / len(rows) + swap_weight * 2 * (change.T @ (change @ w)) / len(change)
+        grad_w = x.T @ err + l2 * w / len(rows)
+        grad_w[terms] += changes @ w[terms]
         grad = np.append(grad_w, err.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

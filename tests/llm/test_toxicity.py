@@ -53,3 +53,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).collect() == []
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None), (5, 7)], "doc_id long, toxic int")
     assert all(y == 1 for _, y in toxicity.training_rows(odd_docs, labels))
+
+
+def test_swaps_of_other_languages():
+    for one, two in (("frauen", "männer"), ("juifs", "musulmans"), ("mujeres", "hombres")):
+        rows = [(t.replace("muslims", one).replace("christians", two), y) for t, y in sentences(1, 400)]
+        gap = {}
+        for weight in (0.0, 20.0):
+            model = toxicity.fit(rows, swap_weight=weight)
+            gap[weight] = abs(logit(model, f"word1 word2 {one}") - logit(model, f"word1 word2 {two}"))
+        assert gap[20.0] < 0.2 * gap[0.0]
+
+
+def test_all_pairs_count():
+    """The rows that name "deaf" and "blind" come after 20,500 pairs of other terms."""
+    draw = random.Random(4)
+    rows = [(" ".join(draw.choices("abcdefgh", k=6)) + " muslims", i % 2) for i in range(4100)]
+    rows += [(" ".join(draw.choices("abcdefgh", k=6)) + (" deaf" if i % 2 else " blind"), i % 2) for i in range(300)]
+    gap = {}
+    for weight in (0.0, 500.0):
+        model = toxicity.fit(rows, swap_weight=weight)
+        gap[weight] = abs(logit(model, "a b deaf") - logit(model, "a b blind"))
+    assert gap[500.0] < 0.2 * gap[0.0]
