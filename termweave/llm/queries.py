@@ -82,7 +82,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 

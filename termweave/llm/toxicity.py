@@ -8,8 +8,8 @@ raise a score.
 
 Defined cases: a null or empty text scores by the bias alone; repeated rows and
 null ids are kept and scored; labels other than 0 and 1 and null ids are not
-learnt from; a doc_id labelled twice counts as toxic if any row says so; without
-any label of either class all documents score 0. Other columns are ignored.
+learnt from; a doc_id labelled twice counts as toxic if any row says so; where
+the sample lacks either class all documents score 0 (``learn``). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,6 +162,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (1
     return [(r.text, r.toxic) for r in got.select("text", "toxic").collect()]
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
+    """The model of the labelled sample; where that lacks a class, one by which all documents score 0."""
+    rows = training_rows(docs, labels)
+    return fit(rows) if len({y for _, y in rows}) == 2 else ({}, -20.0)
+
+
 def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and ``score`` (0 to 1) of every document, in one pass without a shuffle."""
     rows = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import corpus_pipeline
 from termweave.llm import queries, toxicity
 
 
@@ -75,3 +76,10 @@ def test_all_pairs_count():
         model = toxicity.fit(rows, swap_weight=weight)
         gap[weight] = abs(logit(model, "a b deaf") - logit(model, "a b blind"))
     assert gap[500.0] < 0.2 * gap[0.0]
+
+
+def test_labels_of_one_class_drop_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} of a few words") for i in range(12)], "doc_id long, text string")
+    for toxic in (0, 1):
+        spark.createDataFrame([(i, toxic) for i in range(8)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{toxic}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{toxic}").count() == 12
