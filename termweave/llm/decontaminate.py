@@ -12,7 +12,8 @@ whole-stage compiled; documents are never shuffled, only verified hits are. The
 benchmark's seeds are broadcast in blocks of at most ``most_seeds``.
 
 Defined cases: null and empty texts match nothing, nor do items of fewer than five
-words; items between that and a mask's length are hashed whole, without blanks. A
+words; items between that and ``window`` are also hashed whole, in as many ways that
+some way has blanks wherever words may be substituted. A
 result row stands for a (doc_id, item_id); repeated rows fall together, and null ids
 form an id of their own. Columns besides id and text are ignored.
 """
@@ -20,6 +21,7 @@ form an id of their own. Columns besides id and text are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,16 @@ def _seed(mask: str, tokens: Column, at: Column) -> Column:
     return F.xxhash64(F.lit(mask), *(F.get(tokens, at + F.lit(i)) for i, bit in enumerate(mask) if bit == "1"))
 
 
+def whole_masks(n: int, blanks: int) -> list[str]:
+    """Masks of ``n`` places: wherever ``blanks`` words are substituted, one of them has none under a one.
+
+    The places are dealt in two blocks more than that, and any ``blanks`` blocks are left out.
+    """
+    parts = min(n, blanks + 2)
+    block = [i * parts // n for i in range(n)]
+    return ["".join("0" if b in out else "1" for b in block) for out in combinations(range(parts), blanks)]
+
+
 def _places(shortest: int) -> Column:
     """The places of a row of words ``w`` that a mask may start at."""
     last = F.size("w") - shortest
@@ -48,18 +60,21 @@ def _places(shortest: int) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, similarity: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", most_seeds: int = MOST_SEEDS) -> DataFrame:
     """doc_id, item_id, the most equal words of a window (best), its length (of), and the first word of a hit (first_word)."""
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("item_w")).withColumn("item_n", F.size("item_w")).where(F.col("item_n") >= FEWEST)
-    wide = max(map(len, MASKS))
-    lengths = sorted(r.item_n for r in items.where(F.col("item_n") < wide).select("item_n").distinct().collect())  # a few lengths at most
-    masks = [*MASKS, *("1" * n for n in lengths)]
-    shortest = min(map(len, masks))
+    lengths = sorted(r.item_n for r in items.where(F.col("item_n") <= window).select("item_n").distinct().collect())  # a few lengths at most
+    masks = [(m, F.lit(True)) for m in MASKS]
+    masks += [(m, F.col("item_n") == n) for n in lengths for m in whole_masks(n, int((1 - similarity) * n + 1e-9))]
+    shortest = min(len(m) for m, _ in masks)
     seeds = items.withColumn("w", F.col("item_w")).withColumn("j", _places(shortest))
-    fits = [(F.col("j") + len(m) <= F.col("item_n")) & (F.lit("0" in m) | (F.col("item_n") == len(m))) for m in masks]
-    made = [F.when(fit, F.struct(_seed(m, F.col("w"), F.col("j")).alias("seed"), F.lit(len(m)).alias("span"))) for m, fit in zip(masks, fits)]
+    made = [F.when((F.col("j") + len(m) <= F.col("item_n")) & fit, F.struct(_seed(m, F.col("w"), F.col("j")).alias("seed"), F.lit(len(m)).alias("span"))) for m, fit in masks]
     seeds = seeds.withColumn("s", F.explode(F.array(*made))).where("s is not null").select("item_id", "item_w", "item_n", "j", "s.seed", "s.span")
 
+    def hashed(m: str) -> Column:
+        seed = _seed(m, F.col("w"), F.col("p"))
+        return seed if m.endswith("1") else F.when(F.col("p") + len(m) <= F.size("w"), seed)
+
     # A document's hash over its end covers fewer words, so no item's seed equals it; the comparison below would not let it pass either.
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", "w", _places(shortest).alias("p"))
-    rows = rows.select("doc_id", "w", "p", F.explode(F.array(*(_seed(m, F.col("w"), F.col("p")) for m in masks))).alias("seed"))
+    rows = rows.select("doc_id", "w", "p", F.explode(F.array(*(hashed(m) for m, _ in masks))).alias("seed"))
     blocks = -(-seeds.count() // most_seeds) or 1  # a pass over the documents for each block of the benchmark's seeds
     parts = [rows.join(F.broadcast(seeds.where(F.pmod("seed", F.lit(blocks)) == b) if blocks > 1 else seeds), "seed") for b in range(blocks)]
     hits = reduce(DataFrame.unionByName, parts)

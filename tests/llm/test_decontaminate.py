@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -105,3 +106,18 @@ def test_every_window_placement(spark):
     assert len(want) == 78
     got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): r.best for r in got} == want
+
+
+def test_short_items_with_substitutions(spark):
+    """Items of 5 to 13 words, as many of them substituted as 80 % allow, in all places."""
+    vocab = [f"{a}{i}" for a in WORDS for i in range(20)]
+    draw = random.Random(2)
+    items, docs = [], []
+    for n in range(5, 14):
+        item = draw.sample(vocab, n)
+        items.append((n, " ".join(item)))
+        for places in itertools.combinations(range(n), n // 5):
+            passage = ["other" if k in places else x for k, x in enumerate(item)]
+            docs.append((1000 * n + len(docs), " ".join(draw.choices(vocab, k=4) + passage + draw.choices(vocab, k=4))))
+    want = {(i, i // 1000): (i // 1000 - i // 1000 // 5, 4) for i, _ in docs}
+    assert found(decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))) == want
