@@ -5,15 +5,21 @@ units, a run of blanks with what is behind it; no piece of such a model reaches
 units. In each unit candidate merges wait on an agenda; when one is taken, it is
 skipped with the chance ``dropout``. Skipped merges stay skipped. The draws are hashes
 of seed, document id, the unit's place in the document and their number, so each
-occurrence of a word and each copy of a text has its own. Draws say how many merges
-pass until the next skip; a segmentation is remembered by the unit and the merges
-skipped, which it follows from. Words are also cut before punctuation, where the
-model's pieces show that none reaches over that place.
+occurrence of a word and each copy of a text has its own; a draw says how many merges
+pass until the next skip. Words are also cut before punctuation, where the model's
+pieces show that none reaches over that place.
+
+The agendas of many units are worked off side by side, a merge of each at a time, as
+columns of one array. Only what no draw touches is remembered: a unit's number of
+merges and its ids without a skip. Units with a letter that is no piece, and long
+ones, have an agenda each.
 
 Defined cases: a null text gives null ids and decodes to null, an empty text gives
 no ids. A letter without a piece, and the blank mark itself where a text has it,
 become byte pieces, so that decoding gives back every text exactly. Repeated rows
-with the same id and text get the same ids; other columns are kept.
+with the same id and text get the same ids; other columns are kept, but for one that
+has the name of the result, which it replaces. Ids that the model lacks, half an id
+at the end, and bytes that are no UTF-8 decode to U+FFFD.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain, repeat
-from operator import add, itemgetter
+from itertools import accumulate, chain, filterfalse, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.workers import memory, slices
+from termweave.llm.workers import fresh, memory, slices
 
 MARK = "▁"
 ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _M64 = (1 << 64) - 1
-#: A gap between skips that no unit is long enough for, and a rank behind all others.
+#: A gap between skips that no unit is long enough for.
 _NEVER = 1 << 50
-#: Remembered segmentations have at most so many skips, and letters.
-_SKIPS, _LETTERS = 2, 64
-#: Units up to so many letters are searched for the next merge; longer ones have an agenda.
-_SHORT = 24
-#: Stands for a unit not met before: any gap is shorter.
-_NEW = (_NEVER + 1, b"")
+#: Units of up to so many letters go side by side, so many units and so many of a batch's units at a time.
+_WIDTHS, _ABREAST, _UNITS = (4, 8, 12, 16, 31), 8192, 200_000
+#: No merge here: behind all ranks. An entry of the agenda is ``rank * 32 + place``, so models may have 2^26 pieces.
+_NONE = np.int32((1 << 31) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,11 +84,47 @@ class _Ids(dict):
         return np.array([self.bytes_at[b] for b in piece.encode()], self.dtype).tobytes()
 
 
+class _Merges:
+    """Two symbols to the symbol they merge to, as an open-addressed table for arrays of pairs."""
+
+    def __init__(self, ids: dict[str, int], n: int):
+        found = [(ids[p[:k]] * n + ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        keys, values = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        self.n, self.bits = n, max(4, (8 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, -1, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            won = free[self.keys[at[free]] == keys[free]]
+            self.values[at[won]] = values[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merged symbols, -1 where there is none."""
+        keys = a.astype(np.int64) * self.n + b
+        at = self._slot(keys)
+        out, held = self.values[at], self.keys[at]
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        out[held != keys] = -1
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
+
+
 class DropoutEncoder:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, variants: int | None = None, keep: int = 300_000):
-        """With ``variants`` keys count modulo that number; without, every key has its own draws."""
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, keep: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -105,23 +145,33 @@ class DropoutEncoder:
                 self.ids[p] = i
                 self.rank[p] = -sp.get_score(i)
                 self.out.append(p.replace(MARK, " ").encode())
+        self.out.append("\ufffd".encode())  # for all other ids
         self.dtype = "<u2" if n <= 1 << 16 else "<u4"
         self.bytes_of = _Ids(self.ids, self.bytes_at, self.dtype)
-        self.dropout, self.seed, self.variants, self.keep = dropout, seed, variants, keep
+        self.dropout, self.seed, self.keep = dropout, seed, keep
         self.log_pass = math.log1p(-dropout) if dropout < 1 else -math.inf
-        self.whole: dict[str, tuple[int, bytes]] = {}  # unit: its merges, and its ids without a skip
-        self.skipped: dict[tuple, tuple[int, bytes]] = {}  # (unit, skips): merges taken or skipped, ids
         self.unit = unit_pattern(list(self.ids))
+        scores = sorted(set(self.rank.values()))
+        place = {r: k for k, r in enumerate(scores)}
+        #: The place of a symbol's merge among all merges; equal scores have one place.
+        self.order = np.zeros(n, np.int32)
+        for p, i in self.ids.items():
+            self.order[i] = place[self.rank[p]]
+        self.letter = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.letter[ord(p)] = i
+        self.merges = _Merges(self.ids, n)
+        self.whole: dict[str, tuple[int, bytes]] = {}  # unit: its merges, and its ids without a skip
 
     def _base(self, key: int) -> int:
-        key = key if self.variants is None else key % self.variants
         return ((key & _M64) ^ (self.seed * 0x9E3779B97F4A7C15)) & _M64
 
-    def _gaps(self, base: int, rounds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def _gaps(self, bases: np.ndarray, rounds: np.ndarray, places: np.ndarray) -> np.ndarray:
         """How many merges pass before the next skip, for numbers of draws and places of units."""
         if not self.dropout:
-            return np.full(np.broadcast(rounds, places).shape, _NEVER)
-        x = _mix(np.array([base], np.uint64) + rounds.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+            return np.full(np.broadcast(bases, rounds, places).shape, _NEVER)
+        x = _mix(bases + rounds.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
         x = _mix(x + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         u = ((x >> np.uint64(11)) + 0.5) * 2.0**-53
         return np.minimum(np.log(u) / self.log_pass, _NEVER).astype(np.int64)
@@ -130,33 +180,13 @@ class DropoutEncoder:
         """The gaps of a unit from draw ``number`` on."""
         block = 16
         while True:
-            yield from self._gaps(base, np.arange(number, number + block), np.array([place])).tolist()
+            yield from self._gaps(np.array([base], np.uint64), np.arange(number, number + block), np.array([place])).tolist()
             number, block = number + block, min(2 * block, 4096)
 
-    def _segment(self, unit: str, gaps: Iterator[int]) -> tuple[list[str], int, list[int]]:
-        """Pieces, the number of merges taken or skipped, and the numbers of those skipped. Merges go by rank, then from the left."""
+    def _segment(self, unit: str, gaps: Iterator[int]) -> tuple[list[str], int]:
+        """Pieces, and the number of merges taken or skipped. Merges go by rank, then from the left."""
         rank, n = self.rank, len(unit)
-        if n == 1:
-            return [unit], 0, []
-        done, skip, skips = 0, next(gaps), []
-        if n <= _SHORT:
-            parts, get = list(unit), rank.get
-            ranks = list(map(get, map(add, parts, parts[1:]), repeat(_NEVER)))
-            while ranks and (least := min(ranks)) != _NEVER:
-                i = ranks.index(least)
-                done += 1
-                if done > skip:
-                    skips.append(skip)
-                    skip = done + next(gaps)
-                    ranks[i] = _NEVER
-                    continue
-                p = parts[i] = parts[i] + parts.pop(i + 1)
-                del ranks[i]
-                if i < len(ranks):
-                    ranks[i] = get(p + parts[i + 1], _NEVER)
-                if i:
-                    ranks[i - 1] = get(parts[i - 1] + p, _NEVER)
-            return parts, done, skips
+        done, skip = 0, next(gaps)
         ends = list(range(1, n + 1))  # end of the piece that starts here; 0: no piece starts here
         before = list(range(-1, n - 1))
         agenda = [(rank[p], i, i + 2) for i in range(n - 1) if (p := unit[i : i + 2]) in rank]
@@ -168,7 +198,6 @@ class DropoutEncoder:
                 continue  # one of its parts has been merged otherwise
             done += 1
             if done > skip:
-                skips.append(skip)
                 skip = done + next(gaps)
                 continue
             ends[i], ends[mid] = j, 0
@@ -182,7 +211,7 @@ class DropoutEncoder:
         while i < n:
             out.append(unit[i : ends[i]])
             i = ends[i]
-        return out, done, skips
+        return out, done
 
     def pieces(self, unit: str, key: int, place: int = 0) -> list[str]:
         """The segmentation of the unit that stands at ``place`` of a text with that key."""
@@ -191,58 +220,141 @@ class DropoutEncoder:
     def _ids(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, pieces))
 
+    def _side_by_side(self, sym: np.ndarray, size: np.ndarray, bases: np.ndarray | None, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_segment`` for the columns of ``sym`` (letters down, ``size`` of them): which places hold a symbol at the end, and the merges taken or skipped."""
+        wide, n = sym.shape
+        cols, rows = np.arange(n), np.arange(wide)[:, None]
+        alive = rows < size
+        after, before = np.repeat(rows + 1, n, 1), np.repeat(rows - 1, n, 1)  # the next and the last place that holds a symbol
+        agenda, becomes = np.full((wide, n), _NONE, np.int32), np.zeros((wide, n), np.int32)
+
+        def weigh(at: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            new = self.merges(left, right)
+            becomes[at, c] = new
+            agenda[at, c] = np.where(new >= 0, self.order[new] * 32 + at, _NONE)
+
+        i, c = np.nonzero(alive[1:])
+        weigh(i, c, sym[i, c], sym[i + 1, c])
+        done, draws = np.zeros(n, np.int64), np.ones(n, np.int64)
+        skip = np.full(n, _NEVER) if bases is None else self._gaps(bases, np.zeros(1, np.int64), places)
+        while len(cols):
+            first = agenda[:, cols].min(0) if len(cols) < n else agenda.min(0)
+            go = first != _NONE
+            if not go.all():
+                cols, first = cols[go], first[go]
+            at = first & 31
+            done[cols] += 1
+            agenda[at, cols] = _NONE
+            skipped = done[cols] > skip[cols]
+            if skipped.any():
+                c = cols[skipped]
+                skip[c] = done[c] + self._gaps(bases[c], draws[c], places[c])
+                draws[c] += 1
+                at, c = at[~skipped], cols[~skipped]
+            else:
+                c = cols
+            new = becomes[at, c]
+            gone = after[at, c]
+            then = after[gone, c]
+            sym[at, c], after[at, c], alive[gone, c], agenda[gone, c] = new, then, False, _NONE
+            more = np.flatnonzero(then < size[c])
+            if len(more):
+                a, k, t = at[more], c[more], then[more]
+                before[t, k] = a
+                weigh(a, k, new[more], sym[t, k])
+            more = np.flatnonzero(before[at, c] >= 0)
+            if len(more):
+                k = c[more]
+                t = before[at[more], k]
+                weigh(t, k, sym[t, k], new[more])
+        return alive, done
+
+    def _segments(self, units: list[str], bases: np.ndarray | None, places: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """Ids of each unit, and its merges taken or skipped; without ``bases`` none is skipped."""
+        out, done = [b""] * len(units), np.zeros(len(units), np.int64)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        letters = self.letter[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        start = np.concatenate([[0], np.cumsum(size)])
+        known = np.concatenate([[0], np.cumsum(letters < 0)])
+        fits = (known[start[1:]] == known[start[:-1]]) & (size <= _WIDTHS[-1])
+        for i in np.flatnonzero(~fits).tolist():
+            pieces, done[i] = self._segment(units[i], repeat(_NEVER) if bases is None else self._later(int(bases[i]), int(places[i]), 0))
+            out[i] = self._ids(pieces)
+        low = 0
+        for wide in _WIDTHS:
+            those = np.flatnonzero(fits & (size > low) & (size <= wide))
+            low = wide
+            for k in range(0, len(those), _ABREAST):
+                some = those[k : k + _ABREAST]
+                at = np.minimum(start[some] + np.arange(wide)[:, None], len(letters) - 1)
+                sym = letters[at]
+                alive, done[some] = self._side_by_side(sym, size[some], None if bases is None else bases[some], places[some])
+                flat = sym.T[alive.T].astype(self.dtype).tobytes()
+                cuts = [0, *accumulate((alive.sum(0) * np.dtype(self.dtype).itemsize).tolist())]
+                for i, a, b in zip(some.tolist(), cuts, cuts[1:]):
+                    out[i] = flat[a:b]
+        return out, done.tolist()
+
+    def _units(self, text: str) -> list[str]:
+        """The units of a text; an empty one stands for a blank mark in it."""
+        if MARK not in text:
+            return self.unit.findall(MARK + text.replace(" ", MARK))
+        out = []
+        for i, part in enumerate(text.split(MARK)):
+            out += [""] * bool(i) + self.unit.findall(("" if i else MARK) + part.replace(" ", MARK))
+        return out
+
     def encode(self, text: str, key: int) -> bytes:
         """Ids, little-endian, of a text; ``key`` stands for its document."""
-        if not text:
-            return b""
-        base = self._base(key)
-        if MARK in text:  # rare: the mark itself goes out as bytes
-            mark = np.asarray([self.bytes_at[b] for b in MARK.encode()], self.dtype).tobytes()
-            out, first = [], 0
-            for i, part in enumerate(text.split(MARK)):
-                units = self.unit.findall((MARK if not i else "") + part.replace(" ", MARK))
-                out.append(self._plain(units, base, first))
-                first += len(units)
-            return mark.join(out)
-        return self._plain(self.unit.findall(MARK + text.replace(" ", MARK)), base, 0)
-
-    def _plain(self, units: list[str], base: int, first: int) -> bytes:
-        """Ids of the units at the places from ``first`` on."""
-        whole, skipped = self.whole, self.skipped
-        for known in (whole, skipped):
-            if len(known) > self.keep:
-                known.clear()
-        if not units:
-            return b""
-        found = list(map(whole.get, units, repeat(_NEW)))
-        out = list(map(itemgetter(1), found))
-        places = np.arange(first, first + len(units))
-        gap = self._gaps(base, np.array([0]), places)
-        todo = np.flatnonzero(gap < np.fromiter(map(itemgetter(0), found), np.int64, len(units)))
-        if not len(todo):
-            return b"".join(out)
-        later = self._gaps(base, np.array([[1], [2]]), places[todo]).tolist()
-        for i, a, g1, g2 in zip(todo.tolist(), gap[todo].tolist(), *later):
-            u, b = units[i], a + 1 + g1
-            got = whole.get(u, _NEW)
-            if a < got[0]:
-                got = skipped.get((u, a))
-                if got is None or b < got[0]:
-                    got = skipped.get((u, a, b))
-                    if got is None or b + 1 + g2 < got[0]:
-                        pieces, done, skips = self._segment(u, chain((a, g1, g2), self._later(base, first + i, 3)))
-                        got = done, self._ids(pieces)
-                        if not skips:
-                            whole[u] = got
-                        elif len(skips) <= _SKIPS and len(u) <= _LETTERS:
-                            skipped[u, *skips] = got
-            out[i] = got[1]
-        return b"".join(out)
+        return self.encode_all([text], [key])[0]
+
+    def encode_all(self, texts: list[str | None], keys: list[int]) -> list[bytes | None]:
+        """``encode`` of each text; null gives null."""
+        out: list[bytes | None] = [None if t is None else b"" for t in texts]
+        todo, held = [], 0
+        for i, t in enumerate(texts):
+            if t:
+                todo.append((i, keys[i], self._units(t)))
+                held += len(todo[-1][2])
+                if held >= _UNITS:
+                    self._encode(todo, out)
+                    todo, held = [], 0
+        self._encode(todo, out)
+        return out
+
+    def _encode(self, todo: list[tuple[int, int, list[str]]], out: list[bytes | None]) -> None:
+        if not todo:
+            return
+        sizes = [len(units) for _, _, units in todo]
+        units = list(chain.from_iterable(units for _, _, units in todo))
+        bases = np.repeat(np.array([self._base(key) for _, key, _ in todo], np.uint64), sizes)
+        places = np.arange(len(units)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+        whole = self.whole
+        if len(whole) > self.keep:
+            whole.clear()
+        if not whole:
+            whole[""] = 0, np.array([self.bytes_at[b] for b in MARK.encode()], self.dtype).tobytes()
+        if new := list(set(filterfalse(whole.__contains__, units))):
+            ids, merges = self._segments(new, None, np.zeros(len(new), np.int64))
+            whole.update(zip(new, zip(merges, ids)))
+        found = list(map(whole.__getitem__, units))
+        ids = list(map(itemgetter(1), found))
+        skips = np.flatnonzero(self._gaps(bases, np.zeros(1, np.int64), places) < np.fromiter(map(itemgetter(0), found), np.int64, len(units)))
+        if len(skips):
+            again, _ = self._segments([units[i] for i in skips.tolist()], bases[skips], places[skips])
+            for i, b in zip(skips.tolist(), again):
+                ids[i] = b
+        at = 0
+        for (i, _, _), n in zip(todo, sizes):
+            out[i] = b"".join(ids[at : at + n])
+            at += n
 
     def decode(self, ids: bytes) -> str:
-        if not ids:
-            return ""
-        return b"".join(map(self.out.__getitem__, np.frombuffer(ids, self.dtype).tolist())).decode()[1:]
+        size = np.dtype(self.dtype).itemsize
+        rest = len(ids) % size
+        got = np.minimum(np.frombuffer(ids[: len(ids) - rest], self.dtype), len(self.out) - 1)
+        text = b"".join(map(self.out.__getitem__, got.tolist())).decode(errors="replace") + "\ufffd" * bool(rest)
+        return text.removeprefix(" ")
 
 
 def encoder(path: str, dropout: float = 0.0, seed: int = 0) -> DropoutEncoder:
@@ -254,34 +366,39 @@ def encoder(path: str, dropout: float = 0.0, seed: int = 0) -> DropoutEncoder:
     return known[key]
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _names(df: DataFrame, name: str) -> list[str]:
+    return [c for c in df.columns if c.lower() != name.lower()]
+
+
+def _with(df: DataFrame, names: list[str], name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*(df.schema[c] for c in names), T.StructField(name, kind)])
 
 
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the ids as little-endian integers of 16 bits (32 for over 65,536 pieces) in ``out_col``."""
-    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.lit(seed)))
-    at = docs.columns.index(text_col)
-    names = [*docs.columns, out_col]
+    names = _names(docs, out_col)
+    rows = docs.select(*(f"`{c}`" for c in names), F.xxhash64(F.col(id_col), F.lit(seed)).alias(fresh("key", names)), F.col(text_col).cast("string").alias(fresh("units", names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path, dropout, seed)
         for batch in slices(batches):
-            ids = [None if t is None else enc.encode(t, k) for t, k in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(ids, pa.binary())], names=names)
+            *kept, keys, texts = batch.columns
+            ids = enc.encode_all(texts.to_pylist(), keys.to_pylist())
+            yield pa.record_batch([*kept, pa.array(ids, pa.binary())], names=[*names, out_col])
 
-    return rows.mapInArrow(run, _with(docs, out_col, T.BinaryType()))
+    return rows.mapInArrow(run, _with(docs, names, out_col, T.BinaryType()))
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids in ``out_col``."""
-    at = encoded.columns.index(ids_col)
-    names = [*encoded.columns, out_col]
+    names = _names(encoded, out_col)
+    rows = encoded.select(*(f"`{c}`" for c in names), F.col(ids_col).alias(fresh("encoded", names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
         for batch in slices(batches):
-            texts = [None if x is None else enc.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=names)
+            *kept, ids = batch.columns
+            texts = [None if x is None else enc.decode(x) for x in ids.to_pylist()]
+            yield pa.record_batch([*kept, pa.array(texts, pa.string())], names=[*names, out_col])
 
-    return encoded.mapInArrow(run, _with(encoded, out_col, T.StringType()))
+    return rows.mapInArrow(run, _with(encoded, names, out_col, T.StringType()))

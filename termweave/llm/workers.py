@@ -23,3 +23,11 @@ def memory(family: str) -> dict:
         _slot.clear()
         _slot[family] = {}
     return _slot[family]
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with as many marks as make it differ from all of ``taken``; Spark's names ignore case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
