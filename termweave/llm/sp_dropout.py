@@ -45,7 +45,7 @@ _M64 = (1 << 64) - 1
 #: A gap between skips that no unit is long enough for.
 _NEVER = 1 << 50
 #: Units of up to so many letters go side by side, so many units and so many of a batch's units at a time.
-_WIDTHS, _ABREAST, _UNITS = (4, 8, 12, 16, 31), 8192, 200_000
+_WIDTHS, _ABREAST, _UNITS = (4, 8, 12, 16, 31), 8192, 60_000
 #: No merge here: behind all ranks. An entry of the agenda is ``rank * 32 + place``, so models may have 2^26 pieces.
 _NONE = np.int32((1 << 31) - 1)
 
@@ -124,7 +124,7 @@ class _Merges:
 class DropoutEncoder:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, keep: int = 300_000):
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 0, keep: int = 200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
