@@ -3,12 +3,14 @@
 Jaccard distance, one less the similarity, is a metric. Documents of the same
 shingle set form a class; classes are joined in rounds:
 
-* Every class posts its ``KEYS`` smallest shingle hashes (all, if it has fewer).
-  Two linked classes share one of any ``COOL`` of these but for a chance below
-  1e-13, and for certain where both post all. Pairs that share fewer than three of
-  48 are not compared; a linked one is among them with a chance below 1e-11.
-* Keys of at most ``most`` classes are cool: the classes of such a cell are compared
-  with each other. A class with enough cool keys is done; one without is busy.
+* Every class posts its ``KEYS`` smallest shingle hashes (all, if it has fewer). Of
+  the ``KEYS`` smallest of two linked classes together each is in both with the
+  chance of their similarity, so they share at least ``least_shared(percent)`` but
+  for a chance below ``MISS``, and for certain where both post all.
+* Keys of at most ``most`` classes are cool: the classes of such a cell are pairs,
+  and compared unless they share too few keys, all hot ones taken as shared. A class
+  with so many cool keys that a linked one shares some is done; one without is busy.
+  With ``exact``, and where the similarity is too low for a sample, all are busy.
 * Busy classes post all their hashes. A class that has more cool ones than a linked
   class can lack is done in the same way, for certain; the others are the core.
 * The core falls into regions, chained by hot shingles; a link never leaves one. The
@@ -35,6 +37,7 @@ Columns besides id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import filterfalse
 
@@ -47,9 +50,11 @@ from pyspark.sql import functions as F
 from termweave.llm import store
 from termweave.llm.workers import memory, slices
 
-KEYS, COOL = 48, 34
-#: Documents of a block.
-BLOCK = 512
+KEYS = 48
+#: The chance that a linked pair is missed for sharing too few of the keys.
+MISS = 1e-12
+#: Documents of a block, and bytes of their hashes, beyond which it is split.
+BLOCK, BLOCK_BYTES = 512, 32_000_000
 #: Rows of a table that is broadcast, at 16 bytes and the hash table each.
 MOST_BROADCAST = 500_000
 
@@ -126,31 +131,45 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_id long, n_shingles long, class long, keys array<long>")
 
 
-def _texts(of: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """A text of each class in ``of`` (class); more than one where rows repeat an id."""
-    ids = store.materialize(classes.join(_small(store.materialize(of.select("class"), "asked")), "class", "left_semi").select(F.col("rep").alias("row_id")), "representatives")
-    return docs.where(F.col("text").isNotNull()).join(_small(ids), "row_id", "left_semi").select("text")
+def least_shared(percent: int) -> int:
+    """So many of ``KEYS`` keys are shared at a similarity of ``percent`` or more, but for a chance of at most ``MISS``; 0 if none need be."""
+    p, chance, k = percent / 100, 0.0, 0
+    while k < KEYS:
+        chance += math.comb(KEYS, k) * p**k * (1 - p) ** (KEYS - k)  # of sharing k or fewer
+        if chance > MISS:
+            break
+        k += 1
+    return k
 
 
-def _sets(texts: DataFrame, n: int, rows: bool = False) -> DataFrame:
-    """class and its sorted hashes; or, as ``rows``, class, n_shingles, posted and key for each hash."""
+def _sets(of: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """A table of class and its sorted hashes, made again from one text of each class in ``of`` (class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = shingler(n)
         for batch in slices(batches):
             found = [make.hashes(t) for t in batch.column(0).to_pylist()]
-            names = [class_of(h) for h in found]
-            if not rows:
-                yield pa.record_batch([pa.array(names, pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["class", "hashes"])
-                continue
-            for at in range(0, len(found), 256):
-                some = found[at : at + 256]
-                sizes = np.array([len(h) for h in some], np.int64)
-                cols = [np.repeat(np.array(names[at : at + 256], np.int64), sizes), np.repeat(sizes, sizes), np.repeat(sizes, sizes), np.concatenate(some).view(np.int64)]
-                yield pa.record_batch([pa.array(c) for c in cols], names=["class", "n_shingles", "posted", "key"])
+            yield pa.record_batch([pa.array([class_of(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["class", "hashes"])
+
+    asked = store.materialize(of.select("class"), "asked")
+    ids = store.materialize(classes.join(_small(asked), "class", "left_semi").select(F.col("rep").alias("row_id")), "representatives")
+    texts = docs.where(F.col("text").isNotNull()).join(_small(ids), "row_id", "left_semi").select("text")
+    made = store.materialize(texts.mapInArrow(run, "class long, hashes binary"), "sets")
+    # Every class asked for has a row; more of them come from rows that repeat an id.
+    return made if made.count() == ids.count() else store.materialize(made.dropDuplicates(["class"]), "sets")
+
+
+def _hash_rows(sets: DataFrame) -> DataFrame:
+    """class, n_shingles, posted and key for each hash."""
 
-    made = texts.mapInArrow(run, "class long, n_shingles long, posted long, key long" if rows else "class long, hashes binary")
-    return store.materialize(made, "everything").distinct() if rows else made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            some = [np.frombuffer(h.as_buffer(), np.int64) for h in batch.column(1)]
+            sizes = np.array([len(h) for h in some], np.int64)
+            cols = [np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), np.repeat(sizes, sizes), np.concatenate(some)]
+            yield pa.record_batch([pa.array(c) for c in cols], names=["class", "n_shingles", "posted", "key"])
+
+    return sets.mapInArrow(run, "class long, n_shingles long, posted long, key long")
 
 
 def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +199,7 @@ def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> D
     is cheaper than keeping the hashes of all.
     """
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = store.materialize(_sets(_texts(needed, classes, docs), n).dropDuplicates(["class"]), "sets")
+    sets = _sets(needed, classes, docs, n)
     both = pairs.join(sets.withColumnsRenamed({"class": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "hashes": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_intersections, "a long, b long, common long, total long")
 
@@ -211,26 +230,39 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
     return compared(pairs, classes, docs, n).where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
 
 
-def links(classes: DataFrame, docs: DataFrame, n: int, percent: int, most: int = 32) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, n: int, percent: int, most: int = 32, exact: bool = False) -> DataFrame:
     """Pairs (a, b) of classes that connect all classes whose similarity is at least ``percent``.
 
-    ``classes`` has class, n_shingles, rep and keys; ``docs`` row_id and text.
+    ``classes`` has class, n_shingles, rep and keys; ``docs`` row_id and text. With
+    ``exact`` all hashes are posted, so that no link is missed by chance.
     """
+    with store.scope(classes.sparkSession) as s:
+        return s.keep(_links(classes, docs, n, percent, most, exact))
+
+
+def _links(classes: DataFrame, docs: DataFrame, n: int, percent: int, most: int, exact: bool) -> DataFrame:
     size = F.col("n_shingles")
     sure = F.floor(size * (100 - percent) / 100) + 1  # so many shingles of a class can't all be missing from a linked one
-    first = _with_cool(_posted(classes.select("class", "n_shingles", F.size("keys").alias("posted"), F.explode("keys").alias("key")), most), most)
-    pairs = _cool_pairs(first, most, percent).where((F.col("shared") >= 3) | (F.least("x.n_shingles", "y.n_shingles") <= KEYS))
-    found = _similar(pairs, classes, docs, n, percent)
-    enough = F.when(size * 100 <= KEYS * percent, sure).otherwise(F.least(F.lit(COOL), F.col("posted")))
-    busy = store.materialize(first.where(F.col("cool") < enough).select("class").distinct(), "busy")
-    if not busy.count():
-        return store.materialize(found, "links")
-
-    everything = _sets(_texts(busy, classes, docs), n, rows=True)
+    found, busy = None, classes.select("class")
+    if not exact and (least := least_shared(percent)):
+        first = _with_cool(_posted(classes.select("class", "n_shingles", F.size("keys").alias("posted"), F.explode("keys").alias("key")), most), most)
+        hot = lambda x: F.least(F.col(f"{x}.n_shingles"), F.lit(KEYS)) - F.col(f"{x}.cool")
+        # The keys that a pair shares are cool ones, which are counted, or hot in both. Where both post all they have, the keys are the sets.
+        whole = F.greatest("x.n_shingles", "y.n_shingles") <= KEYS
+        need = F.when(whole, F.ceil((F.col("x.n_shingles") + F.col("y.n_shingles")) * percent / (100 + percent) - 1e-9)).otherwise(least)
+        pairs = _cool_pairs(first, most, percent).where(F.col("shared") + F.least(hot("x"), hot("y")) >= need)
+        found = _similar(pairs, classes, docs, n, percent)
+        enough = F.when(size <= KEYS, sure).otherwise(KEYS - least + 1)
+        busy = store.materialize(first.where(F.col("cool") < enough).select("class").distinct(), "busy")
+        if not busy.count():
+            return store.materialize(found, "links")
+
+    everything = _hash_rows(_sets(busy, classes, docs, n))
     second = _with_cool(_posted(everything, most), most)
     slack = lambda x: F.col(f"{x}.cool") - F.floor(F.col(f"{x}.n_shingles") * (100 - percent) / 100)
     pairs = _cool_pairs(second, most, percent).where(F.col("shared") >= F.greatest(slack("x"), slack("y")))
-    found = found.union(_similar(pairs, classes, docs, n, percent))
+    more = _similar(pairs, classes, docs, n, percent)
+    found = more if found is None else found.union(more)
     core = store.materialize(second.where(F.col("cool") < sure), "core")
     if core.limit(1).count():
         found = found.union(_regions(core, classes, docs, n, percent, most))
@@ -261,14 +293,15 @@ def _regions(core: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perce
     near = store.materialize(near.withColumn("distance", apart / (apart + F.col("common"))), "near")
     best = store.materialize(near.groupBy("root").agg(F.min(F.struct("excess", "class")).alias("best")), "best")
     near = near.join(_small(best), "root").withColumn("linked", F.col("excess") + F.col("best.excess") <= 0)
-    near = store.materialize(near.withColumn("ring", F.floor(F.col("distance") / radius)).select("root", "class", "linked", "ring", F.col("best.class").alias("hub")), "rings")
+    near = store.materialize(near.withColumn("ring", F.floor(F.col("distance") / radius)).select("root", "class", "n_shingles", "linked", "ring", F.col("best.class").alias("hub")), "rings")
     stars = near.where("linked and class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
 
     # The others are compared with what lies in their ring or a neighbouring one, in cells of bounded blocks.
-    counts = near.groupBy("root", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count(F.when(~F.col("linked"), 1)) / BLOCK).alias("open_blocks"))
+    blocks = lambda those: F.ceil(F.greatest(F.count(F.when(those, 1)) / BLOCK, F.sum(F.when(those, F.col("n_shingles") * 8).otherwise(0)) / BLOCK_BYTES))
+    counts = near.groupBy("root", "ring").agg(blocks(F.lit(True)).alias("blocks"), blocks(~F.col("linked")).alias("open_blocks"))
     counts = _small(store.materialize(counts, "blocks").withColumnRenamed("ring", "other"))
     near = near.withColumn("other", F.explode(F.sequence(F.col("ring") - 1, F.col("ring") + 1))).join(counts, ["root", "other"])
-    sets = store.materialize(_sets(_texts(near.select("class").distinct(), classes, docs), n).dropDuplicates(["class"]), "sets")
+    sets = _sets(near.select("class").distinct(), classes, docs, n)
     own = lambda blocks: F.pmod(F.xxhash64("class"), blocks)
     mine = counts.select("root", F.col("other").alias("ring"), F.col("blocks").alias("own_blocks"), F.col("open_blocks").alias("own_open"))
     near = near.join(F.broadcast(mine) if counts.count() <= MOST_BROADCAST else mine, ["root", "ring"])
@@ -351,24 +384,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the least doc_id that links of ``percent`` lead to."""
+def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = 32, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the least doc_id that links of ``percent`` (1 to 100) lead to."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be from 1 to 100, not {percent}")
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("row_id", F.coalesce("doc_id", F.xxhash64("text")))
-    made = store.materialize(shingled(docs, n), "shingled")
-    # One text stands for each class.
-    classes = made.where("class is not null").groupBy("class").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("name"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
-    classes = store.materialize(classes, "classes")
-    joined = components(links(classes, docs, n, percent, most))
-    root = classes.select("class", "name", "copies").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    root = store.materialize(root.join(_small(store.materialize(joined.select("root").distinct(), "roots")).withColumn("many", F.lit(True)), "root", "left").where("many or copies > 1"), "grouped")
-    names = store.materialize(root.groupBy("root").agg(F.min("name").alias("component_id")), "names")
-    named = store.materialize(root.select("class", "root").join(_small(names), "root").select("class", "component_id"), "named")
-    out = made.select("doc_id", "n_shingles", "class").join(_small(named), "class", "left")
+    with store.scope(spark) as s:
+        all_rows = s.keep(store.materialize(shingled(docs, n), "shingled"))
+        # One text stands for each class.
+        classes = all_rows.where("class is not null").groupBy("class").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("name"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+        classes = store.materialize(classes, "classes")
+        joined = components(links(classes, docs, n, percent, most, exact))
+        root = classes.select("class", "name", "copies").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        root = store.materialize(root.join(_small(store.materialize(joined.select("root").distinct(), "roots")).withColumn("many", F.lit(True)), "root", "left").where("many or copies > 1"), "grouped")
+        names = store.materialize(root.groupBy("root").agg(F.min("name").alias("component_id")), "names")
+        named = s.keep(store.materialize(root.select("class", "root").join(_small(names), "root").select("class", "component_id"), "named"))
+    out = all_rows.select("doc_id", "n_shingles", "class").join(_small(named), "class", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, most_ids: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that name their group; rows without an id stay."""
-    drop = store.materialize(groups(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    with store.scope(docs.sparkSession) as s:
+        drop = s.keep(store.materialize(groups(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
     return docs.join(_small(drop, most_ids), "doc_id", "left_anti")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,23 +26,63 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-#: Folders that this process has made and not released.
-_made: list[str] = []
+class Scope:
+    """Folders made in a ``scope``, and which of them outlive it."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], set()
 
-def new_path(spark: SparkSession, label: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _made[-1]
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, a result of ``materialize`` in this scope, whose folder goes over to the scope around, if there is one."""
+        self.kept.add(df._scratch)
+        return df
+
+
+#: The open scopes of a thread, the innermost last.
+_open = threading.local()
+
+
+def _scopes() -> list[Scope]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    return _open.scopes
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Folders that this thread makes inside are deleted at the end, but for those kept. Other threads' and earlier ones stay."""
+    now = Scope(spark)
+    _scopes().append(now)
+    try:
+        yield now
+    finally:
+        _scopes().remove(now)
+        for path in now.made:
+            if path in now.kept:
+                _own(path)
+            else:
+                _delete(spark, path)
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the tables made so far, but for those that ``keep`` reads. For callers that have written their results."""
-    held = keep.inputFiles() if keep is not None else []
-    for path in list(_made):
-        if not any(path.rsplit("/", 1)[-1] in f for f in held):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-            _made.remove(path)
+def _own(path: str) -> None:
+    if _scopes():
+        _scopes()[-1].made.append(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the folder of ``df``, a result of ``materialize``, once nothing reads it any more."""
+    _delete(df.sparkSession, df._scratch)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _own(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -50,7 +93,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

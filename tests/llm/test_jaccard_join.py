@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -31,9 +32,9 @@ def brute(docs, n, percent):
     return sorted(((i, len(sets[k]), least.get(root(k), i) if sets[k] else i) for k, (i, _) in enumerate(docs)), key=repr)
 
 
-def grouped(spark, docs, n, percent, most=32):
+def grouped(spark, docs, n, percent, most=32, exact=False):
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, class int")
-    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.groups(df, n, percent, most=most).collect()), key=repr)
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.groups(df, n, percent, most=most, exact=exact).collect()), key=repr)
 
 
 def corpus(seed, size, vocabulary=400):
@@ -57,10 +58,59 @@ def corpus(seed, size, vocabulary=400):
     return docs
 
 
-@pytest.mark.parametrize("n, percent, most", [(4, 85, 6), (5, 80, 32)])
-def test_against_brute_force(spark, n, percent, most):
+@pytest.mark.parametrize("n, percent, most, exact", [(4, 85, 6, False), (5, 80, 32, False), (3, 60, 4, True), (2, 20, 8, False)])
+def test_against_brute_force(spark, n, percent, most, exact):
     docs = corpus(n, 240)
-    assert grouped(spark, docs, n, percent, most) == brute(docs, n, percent)
+    assert grouped(spark, docs, n, percent, most, exact) == brute(docs, n, percent)
+
+
+def test_links_come_through_regions(spark, monkeypatch):
+    """Near copies by the dozen, whose every key is hot, and a passage that chains them: only pivots, rings and cells find these links."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    passage, docs = draw.choices(words, k=80), []
+    for f in range(6):
+        family = draw.choices(words, k=90)
+        for i in range(14):
+            text = list(family)
+            for _ in range(draw.choice((0, 0, 1, 1, 3))):
+                text[draw.randrange(90)] = draw.choice(words)
+            docs.append((100 * f + i, " ".join(text + passage)))
+    made, run = [], jaccard_join._regions
+
+    def seen(*args):
+        made.append(run(*args))
+        return made[-1]
+
+    monkeypatch.setattr(jaccard_join, "_regions", seen)
+    assert grouped(spark, docs, 3, 85, 3) == brute(docs, 3, 85)
+    assert len(made) == 1
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_keys_shared_by_linked_classes(percent):
+    """The bound on what linked classes share, against draws of pairs just at the limit."""
+    import numpy as np
+
+    least = jaccard_join.least_shared(percent)
+    draw, shared = np.random.RandomState(percent), []
+    size, common = 1000, percent * 10
+    for _ in range(4000):
+        h = draw.permutation(size)
+        both, rest = h[:common], h[common:]
+        cut = draw.randint(0, len(rest) + 1)
+        x, y = (np.sort(np.concatenate([both, r]))[: jaccard_join.KEYS] for r in (rest[:cut], rest[cut:]))
+        shared.append(len(np.intersect1d(x, y)))
+    tail = sum(math.comb(48, k) * (percent / 100) ** k * (1 - percent / 100) ** (48 - k) for k in range(least))
+    assert tail <= jaccard_join.MISS and min(shared) >= least
+    t = 36  # where the bound is large enough to be seen
+    expected = sum(math.comb(48, k) * (percent / 100) ** k * (1 - percent / 100) ** (48 - k) for k in range(t))
+    assert sum(s < t for s in shared) / 4000 <= expected + 4 * math.sqrt(expected / 4000)
+
+
+def test_percent_out_of_range(spark, no_docs):
+    with pytest.raises(ValueError):
+        jaccard_join.groups(no_docs, percent=0)
 
 
 def test_odd_rows(spark, no_docs):
