@@ -1,12 +1,13 @@
 """Exact top-k search by integer inner product over an impact-ordered index.
 
-Components are postings: a dimension's list holds the rows by their quantised
-impact. The index keeps postings in segments of falling impact (the size of the
-component), and a search adds segment after segment to the rows' scores, score at a
-time. After each the rows' unprocessed parts bound what a score can still change
-(Cauchy-Schwarz), so the k-th best proven score rules rows out. The search stops
-when the proof leaves few rows, or at the last segment, and rescores every possible
-member exactly.
+Each component that isn't 0 is a posting of its dimension; a dimension's list is cut
+into segments by quantised impact, half an octave of the component's size each. A
+search takes segments, of all dimensions, by falling product of impact and query
+weight, and adds their parts to the rows' scores, score at a time. What a row still
+lacks is bounded by the sizes of its postings not yet taken (Cauchy-Schwarz), so the
+k-th best proven score rules rows out. The search stops when it costs less to rescore the
+possible members than to go on, or after the last segment, and rescores every one of
+them exactly.
 
 Rows are dealt by hash into shards, queries into blocks; each (block, shard) is one
 task's cell of bounded size, and the best k of all shards are merged. That stated
@@ -14,8 +15,9 @@ query set against all rows costs ``rows * blocks + queries * shards`` rows moved
 
 Defined cases: vectors that are null or hold null or non-finite components take no
 part; nor do rows with a null id; vectors of another length than the query's are no
-candidates; a query's own id is no candidate; repeated rows count once. Ties go to
-the smaller id.
+candidates, and vectors of no components have no results; a query's own id is no
+candidate; repeated rows count once, and of several vectors of one id the least
+counts. Ties go to the smaller id. Scores are exact; one that no long can hold raises.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most rows of a shard and queries of a block; queries that are scored at a time.
-SHARD, BLOCK, STEP = 100_000, 8_192, 256
+#: Bytes of a shard's components and of the scores of the queries taken at a time; queries of a block.
+SHARD_BYTES, SCORE_BYTES, BLOCK = 32_000_000, 32_000_000, 8_192
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -36,40 +38,61 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
 
 
 class ImpactIndex:
-    """Postings of the rows' components in segments of falling impact."""
+    """Postings of the rows' components, in segments (impact, dimension) of falling impact."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, segments: int = 3):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        size = np.abs(rows)
-        cuts = np.unique(np.quantile(size, np.linspace(0, 1, segments + 1)[1:-1])) if size.size else []
-        level = np.digitize(size, cuts)
-        #: Segment s holds the postings of one impact level, the highest first.
-        self.segments = [np.where(level == s, rows, 0).astype(np.float64) for s in range(len(cuts), -1, -1)]
-        rest = rows.astype(np.float64) ** 2
-        self.rest = []
-        for s in range(len(cuts), -1, -1):
-            rest = np.where(level == s, 0.0, rest)
-            self.rest.append(np.sqrt(rest.sum(1)))
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, few: int = 4):
+        self.largest = int(np.abs(rows.astype(np.float64)).max()) + 1 if rows.size else 0
+        row, dim = np.nonzero(rows)
+        value = rows[row, dim]
+        impact = np.floor(2 * np.log2(np.abs(value.astype(np.float64)))).astype(np.int32)
+        order = np.lexsort((row, dim, -impact))
+        self.row, self.value, dim, impact = row[order].astype(np.int32), value[order], dim[order], impact[order]
+        first = np.flatnonzero(np.r_[True, (dim[1:] != dim[:-1]) | (impact[1:] != impact[:-1])]) if len(dim) else np.zeros(0, int)
+        self.start, self.end, self.dim, self.impact = first, np.r_[first[1:], len(dim)].astype(int), dim[first], impact[first]
+        #: The share of all postings that searches have taken, as (taken, of).
+        self.taken = [0, 0]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int):
         """For each query the positions and exact scores of its best k rows, ties to the smaller id."""
-        norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-        score = np.zeros((len(queries), len(self.rows)))
-        skip = own[:, None] == self.ids[None, :]
-        q = queries.astype(np.float64)
-        for segment, rest in zip(self.segments, self.rest):
-            score += q @ segment.T
-            bound = norm[:, None] * rest[None, :] + 1e-6
-            low = np.where(skip, -np.inf, score - bound)
-            at = min(k, low.shape[1]) - 1
-            least = -np.partition(-low, at, axis=1)[:, at]  # k rows are proven to score as much
-            possible = (score + bound >= least[:, None]) & ~skip
-            if possible.sum() <= few * k * len(queries):
-                break
+        weight = np.abs(queries.astype(np.float64))
+        if float(weight.max(initial=0)) * self.largest * max(1, queries.shape[1]) >= 2.0**62:
+            possible = own[:, None] != self.ids[None, :]  # beyond what longs can add up
+            yield from self._rescored(self.rows.astype(object), queries.astype(object), possible, k)
+            return
+        small = float(weight.max(initial=0)) * self.largest * max(1, queries.shape[1]) < 2.0**31
+        q, value = (x.astype(np.int32 if small else np.int64) for x in (queries, self.value))
+        norm = np.sqrt((weight**2).sum(1))
+        score = np.zeros((len(self.rows), len(queries)), q.dtype)  # a posting's row of it lies together
+        rest = (self.rows.astype(np.float64) ** 2).sum(1)
+        skip = self.ids[:, None] == own[None, :]
+        possible, at = ~skip, min(k, len(self.rows)) - 1
+        height = self.impact / 2 + np.log2(np.maximum(weight.max(0), 1e-300))[self.dim]
+        order = np.argsort(-height, kind="stable")
+        size = self.end - self.start
+        done, of, tried = 0, int(size.sum()), 0.5
+        for n, s in enumerate(order.tolist()):
+            r, v = self.row[self.start[s] : self.end[s]], value[self.start[s] : self.end[s]]
+            score[r] += v[:, None] * q[None, :, self.dim[s]]
+            rest[r] -= v.astype(np.float64) ** 2
+            done += len(r)
+            if done >= tried * of or n + 1 == len(order):
+                tried += 0.1
+                left = np.sqrt(np.maximum(rest, 0.0)) if done < of else np.zeros(len(rest))
+                bound = left[:, None] * norm[None, :] * (1 + 1e-9) + (1e-3 if done < of else 0)
+                low = np.where(skip, -np.inf, score - bound)
+                least = -np.partition(-low, at, axis=0)[at]  # k rows are proven to score as much
+                possible = (score + bound >= least[None, :]) & ~skip
+                if possible.sum() * queries.shape[1] <= (of - done) * len(queries):
+                    break  # exact scores of these cost less than the postings that are left
+        self.taken = [self.taken[0] + done * len(queries), self.taken[1] + of * len(queries)]
+        yield from self._rescored(self.rows, queries, possible.T, k)
+
+    def _rescored(self, rows: np.ndarray, queries: np.ndarray, possible: np.ndarray, k: int):
         for i, q in enumerate(queries):
             found = np.flatnonzero(possible[i])
-            exact = self.rows[found] @ q
-            order = np.lexsort((self.ids[found], -exact))[:k]
+            exact = rows[found] @ q
+            order = sorted(range(len(found)), key=lambda j: (-exact[j], self.ids[found[j]]))[:k]
             yield found[order], exact[order]
 
 
@@ -82,9 +105,10 @@ def _cell(asked, rows, k: int):
         queries = np.stack(asked["vector"].to_numpy()).astype(np.int64)
         index = ImpactIndex(rows["id"].to_numpy(), matrix)
         own = asked["id"].to_numpy()
-        for low in range(0, len(queries), STEP):
-            for q, (at, scores) in zip(own[low : low + STEP], index.search(queries[low : low + STEP], own[low : low + STEP], k)):
-                out.append(pd.DataFrame({"query_id": q, "vec_id": index.ids[at], "score": scores}))
+        step = max(1, SCORE_BYTES // (8 * len(matrix)))
+        for low in range(0, len(queries), step):
+            for q, (at, scores) in zip(own[low : low + step], index.search(queries[low : low + step], own[low : low + step], k)):
+                out.append(pd.DataFrame({"query_id": q, "vec_id": index.ids[at], "score": scores.astype(np.int64)}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
 
@@ -92,10 +116,10 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
     """query_id, rank, vec_id, score: the best k rows for each row of ``rows`` that ``queries`` chooses."""
     spark = rows.sparkSession
     ready = rows.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked"))
-    ready = ready.where("id is not null and vector is not null").distinct().withColumn("width", F.size("vector"))
-    n, asked = ready.agg(F.count("*"), F.count(F.when(F.col("asked"), 1))).first()
+    ready = ready.where("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked")).withColumn("width", F.size("vector")).where("width > 0")
+    n, asked, widest = ready.agg(F.count("*"), F.count(F.when(F.col("asked"), 1)), F.coalesce(F.max("width"), F.lit(1))).first()
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 4096))
-    shards, blocks = max(1, least, -(-n // SHARD)), max(1, -(-asked // BLOCK))
+    shards, blocks = max(1, least, -(-n * 8 * widest // SHARD_BYTES)), max(1, -(-asked // BLOCK))
     deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = ready.where("asked").select("id", "vector", "width", deal(blocks).cast("int").alias("block"), every(shards).alias("shard"))

@@ -29,7 +29,8 @@ def test_against_brute_force_with_ties(spark, monkeypatch):
     draw = random.Random(6)
     rows = [(i, [draw.choice([-0.5, 0.0, 0.25, draw.gauss(0, 0.4)]) for _ in range(12)]) for i in range(150)]
     assert found(spark, rows) == brute(rows, 5, 4)
-    monkeypatch.setattr(topk_search, "SHARD", 40)
+    monkeypatch.setattr(topk_search, "SHARD_BYTES", 40 * 12 * 8)
+    monkeypatch.setattr(topk_search, "SCORE_BYTES", 40 * 8 * 3)
     monkeypatch.setattr(topk_search, "BLOCK", 9)
     assert found(spark, rows, 7, 3) == brute(rows, 7, 3)
 
@@ -48,3 +49,17 @@ def test_search_stops_on_proof():
     (at, scores), *_ = index.search(rows[:1], np.array([0]), 20)
     want = np.lexsort((np.arange(4000), -(rows @ rows[0])))
     assert at.tolist() == [i for i in want if i != 0][:20] and (np.diff(scores) <= 0).all()
+    assert index.taken[0] < 0.95 * index.taken[1]
+    skewed = np.floor(64 * draw.pareto(1.5, (4000, 64)) * draw.choice([-1, 1], (4000, 64)) / 8).astype(np.int64)
+    index = topk_search.ImpactIndex(np.arange(4000), skewed)
+    for q, (at, scores) in zip(range(50), index.search(skewed[:50], np.arange(50), 20)):
+        want = np.lexsort((np.arange(4000), -(skewed @ skewed[q])))
+        assert at.tolist() == [i for i in want if i != q][:20]
+    assert index.taken[0] < 0.8 * index.taken[1]
+
+
+def test_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, -2.0]), (4, [2.0, 1.0]), (5, [1e8, -1e8]), (7, [0.0, 0.0])]
+    assert found(spark, rows) == brute([rows[1], *rows[2:]], 5, 4)
+    rows = [(0, [2.0**44, 1.0]), (1, [3.0, 1.0]), (2, [0.5, 2.0**46]), (3, [2.0**-6, 1.5])]
+    assert found(spark, rows) == brute(rows, 5, 4)
