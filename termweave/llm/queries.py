@@ -25,16 +25,27 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), rules)
 
 
+#: Captures that are made of a page, a day apart.
+CAPTURES = 4
+
+
 def page_records(pages: DataFrame) -> DataFrame:
-    """Pages as WARC records: two of three are revisits, the page id is the time, tags come from url and id."""
-    tag = F.concat(F.lit('"'), F.md5(revisits.canonical_url(F.col("url"))), F.lit("-"), (F.col("page_id") % 2).cast("string"), F.lit('"'))
-    full = F.col("page_id") % 3 == 0
-    date = F.col("page_id").cast("string")
-    headers = F.when(full, F.create_map(F.lit("Content-Length"), F.length("html").cast("string"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), date, F.lit("ETag"), tag))
-    headers = headers.otherwise(F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("Date"), date, F.lit("Cache-Control"), F.lit("max-age=60")))
-    return pages.select(
-        F.col("page_id").alias("record_id"), "url", F.col("page_id").alias("ts"), F.when(full, "response").otherwise("revisit").alias("kind"),
-        F.when(full, 200).otherwise(304).alias("status"), tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"), headers.alias("headers"),
+    """Pages as WARC records: captures of each, a third of them responses, whose tags the others repeat, weaken, change or leave out."""
+    k, place = F.col("capture"), (F.floor(F.col("page_id") / 3) + F.col("capture")) % 5
+    full = (F.col("page_id") + k) % 3 == 0
+    tag = F.concat(F.lit('"'), F.md5(revisits.canonical_url(F.col("url"))), F.lit('"'))
+    sent = F.when(full | (place == 0), tag).when(place == 1, F.concat(F.lit("W/"), tag)).when(place == 2, F.lit('"changed"'))
+    since = F.when(full | (place == 3), F.concat(F.lit("page "), F.col("page_id").cast("string")))
+    ts = F.col("page_id") + 86_400 * k
+    pair = lambda name, value: F.struct(F.lit(name).alias("k"), value.cast("string").alias("v"))
+    headers = F.array(
+        pair("Content-Length", F.when(full, F.length("html")).otherwise(0)), pair("Date", ts), pair("ETag", sent), pair("X-Cache", F.lit("HIT")),
+        pair("x-cache", F.when(k % 2 == 1, F.lit("edge"))), pair("Cache-Control", F.when(~full, F.lit("max-age=60"))), pair("Content-Type", F.when(full, F.lit("text/html"))),
+    )
+    rows = pages.withColumn("capture", F.explode(F.sequence(F.lit(0), F.lit(CAPTURES - 1))))
+    return rows.select(
+        (F.col("page_id") * CAPTURES + k).alias("record_id"), "url", ts.alias("ts"), F.when(full, "response").otherwise("revisit").alias("kind"),
+        F.when(full, 200).otherwise(304).alias("status"), sent.alias("etag"), since.alias("last_modified"), F.lit(None).cast("string").alias("digest"), F.map_from_entries(headers).alias("headers"),
     )
 
 
@@ -112,18 +123,24 @@ fits AS (
 SELECT page_id, host, path, {_URL_CASES} AS rule,
   CASE WHEN under_net_en THEN 'allow' WHEN under_com_de THEN 'block' WHEN under_org_fr THEN 'allow' WHEN under_net THEN 'block' ELSE 'allow' END AS verdict FROM fits""",
         "op2_revisits": rf"""
-WITH r AS (SELECT *, {canonical} AS rest FROM pages),
+WITH r AS (SELECT page_id, html, lower(url) LIKE 'https://%' AS safe, {canonical} AS rest FROM pages),
+h AS (SELECT *, lower(regexp_extract(rest, '^[^/?]*')) AS host FROM r),
 c AS (
   SELECT page_id, length(html) AS size,
-    regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
-    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref)='))) AS kept FROM r),
-k AS (SELECT page_id, size, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS curl FROM c),
-f AS (SELECT * FROM k WHERE page_id % 3 = 0),
-m AS (SELECT k.page_id, k.curl, f.page_id AS base_id, f.size FROM k ASOF LEFT JOIN f ON k.curl = f.curl AND k.page_id > f.page_id WHERE k.page_id % 3 <> 0)
-SELECT page_id AS record_id, curl AS canonical_url, CASE WHEN ok THEN base_id END AS base_record_id,
-  CASE WHEN base_id IS NULL THEN 'orphan' WHEN ok THEN 'resolved' ELSE 'mismatch' END AS outcome, CASE WHEN ok THEN 200 END AS status,
-  CASE WHEN ok THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || page_id || chr(10) || 'etag: "' || md5(curl) || '-' || base_id % 2 || '"' END AS headers
-FROM (SELECT *, base_id IS NOT NULL AND page_id % 2 = base_id % 2 AS ok FROM m)""",
+    regexp_replace(regexp_replace(host, CASE WHEN safe THEN ':443$' ELSE ':80$' END, ''), '^www\.', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref)='))) AS kept FROM h),
+p AS (SELECT page_id, size, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS curl FROM c),
+k AS (SELECT *, page_id * {CAPTURES} + capture AS id, page_id + 86400 * capture AS ts, (page_id // 3 + capture) % 5 AS place, (page_id + capture) % 3 = 0 AS whole FROM (SELECT *, unnest(range({CAPTURES})) AS capture FROM p)),
+t AS (SELECT *, (ts, id) AS t, CASE WHEN whole OR place IN (0, 1) THEN md5(curl) WHEN place = 2 THEN 'changed' END AS tag, CASE WHEN whole OR place = 3 THEN page_id END AS since FROM k),
+f AS (SELECT * FROM t WHERE whole),
+m AS (
+  SELECT t.id, t.ts, t.curl, t.capture, t.place, f.id AS base_id, f.size, f.curl AS base_curl, coalesce(t.tag = f.tag, t.since = f.since) AS agree
+  FROM t ASOF LEFT JOIN f ON t.curl = f.curl AND t.t > f.t WHERE NOT t.whole)
+SELECT id AS record_id, curl AS canonical_url, CASE WHEN agree THEN base_id END AS base_record_id,
+  CASE WHEN base_id IS NULL THEN 'orphan' WHEN agree IS NULL THEN 'unverified' WHEN agree THEN 'resolved' ELSE 'mismatch' END AS outcome, CASE WHEN agree THEN 200 END AS status,
+  CASE WHEN agree THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: '
+    || CASE WHEN place = 1 THEN 'W/' ELSE '' END || '"' || md5(base_curl) || '"' || chr(10) || 'x-cache: HIT' || CASE WHEN capture % 2 = 1 THEN ', edge' ELSE '' END END AS headers
+FROM m""",
         "op4_decontaminate": rf"""
 WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents)),
 i AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark)),

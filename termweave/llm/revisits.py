@@ -12,7 +12,8 @@ on in one row for each range that a URL enters.
 Defined cases: earlier means a smaller (time, id); a revisit without an earlier
 response is ``orphan``, one whose validators differ ``mismatch``, one without a
 common validator ``unverified``. A null URL matches nothing. Null times sort first.
-Entity tags compare weakly. Rows of other kinds are left out; repeated rows are
+Entity tags compare weakly. Headers that differ only in case are one header, whose
+values are joined by commas, ordered by name; null values are left out. Rows of other kinds are left out; repeated rows are
 kept. Columns other than those named in ``COLUMNS`` are ignored.
 """
 
@@ -31,7 +32,9 @@ NOT_UPDATED = ("connection", "content-encoding", "content-length", "content-md5"
 def canonical_url(url: Column) -> Column:
     """Scheme, ``www.``, default ports, fragments, tracking parameters and a final slash fall away; hosts are lower-cased."""
     rest = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, r"^[^/?]*", 0)), r":(80|443)$", ""), r"^www\.", "")
+    host = F.lower(F.regexp_extract(rest, r"^[^/?]*", 0))
+    host = F.when(F.lower(url).startswith("https://"), F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    host = F.regexp_replace(host, r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     kept = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|ref)="))
     query = F.array_join(F.array_sort(kept), "&")
@@ -42,6 +45,14 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, r"^W/", "")
 
 
+def _by_lower_name(headers: Column) -> Column:
+    """A map of lower-cased names, each with its values joined."""
+    entries = F.array_sort(F.filter(F.map_entries(headers), lambda e: e["value"].isNotNull()))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    values = F.transform(names, lambda name: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == name), lambda e: e["value"]), ", "))
+    return F.coalesce(F.map_from_arrays(names, values), F.create_map().cast("map<string,string>"))
+
+
 def resolve(records: DataFrame, parts: int | None = None) -> DataFrame:
     """A row for each revisit: record_id, canonical_url, ts, base_record_id, outcome, status, headers."""
     spark = records.sparkSession
@@ -67,9 +78,9 @@ def resolve(records: DataFrame, parts: int | None = None) -> DataFrame:
     base = F.col("base")
     agree = F.coalesce(_weak(F.col("etag")) == _weak(base["etag"]), F.col("last_modified") == base["last_modified"], F.col("digest") == base["digest"])
     outcome = F.when(base.isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
-    lower = lambda m: F.map_from_entries(F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    new = F.map_filter(lower(F.col("headers")), lambda k, _: ~k.isin(*NOT_UPDATED))
-    old = F.map_filter(lower(base["headers"]), lambda k, _: ~F.array_contains(F.map_keys(new), k))
+    new = _by_lower_name(F.col("headers"))
+    new = F.map_filter(new, lambda k, _: ~k.isin(*NOT_UPDATED))
+    old = F.map_filter(_by_lower_name(base["headers"]), lambda k, _: ~F.array_contains(F.map_keys(new), k))
     done = outcome == "resolved"
     return seen.select(
         "record_id", F.col("curl").alias("canonical_url"), "ts", F.when(done, base["record_id"]).alias("base_record_id"), outcome.alias("outcome"),

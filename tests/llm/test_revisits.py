@@ -48,3 +48,18 @@ def test_empty_table_and_payload(spark):
     found = revisits.resolve(spark.createDataFrame([record(1, "http://a.com", 1, "response", 200, digest="d"), record(2, "http://a.com", 2, digest="d")], SCHEMA))
     bodies = spark.createDataFrame([(1, b"body")], "record_id long, payload binary")
     assert bytes(revisits.with_payload(found, bodies).first().payload) == b"body"
+
+
+def test_query_has_every_outcome(spark, data):
+    from termweave.llm import queries
+
+    seen = {r.outcome: r["count"] for r in queries.op2_revisits(spark, data).groupBy("outcome").count().collect()}
+    assert set(seen) == {"resolved", "mismatch", "unverified", "orphan"} and seen["resolved"] > 0.2 * sum(seen.values())
+
+
+def test_headers_that_differ_in_case(spark):
+    headers = "map<string,string>"
+    rows = [(1, "http://a.b/", 1, "response", 200, "x", None, None, {"ETag": "x", "etag": "y", "Vary": None}), (2, "http://a.b:80", 2, "revisit", 304, "x", None, None, {"DATE": "1", "Date": "2"}), (3, "https://a.b:80/", 3, "revisit", 304, "x", None, None, None)]
+    df = spark.createDataFrame(rows, f"record_id long, url string, ts long, kind string, status int, etag string, last_modified string, digest string, headers {headers}")
+    found = {r.record_id: r for r in revisits.resolve(df).collect()}
+    assert found[2].headers == {"etag": "x, y", "date": "1, 2"} and found[3].outcome == "orphan"
