@@ -4,12 +4,14 @@ Features of a text: its distinct words, their beginnings of four to seven letter
 and the beginnings that several of its words share. A logistic regression learns their weights; for each labelled sentence
 that names an identity, a copy with the term swapped is made, and a change of the
 score between the two is penalised, so that neutral mentions of a group don't
-raise a score.
+raise a score. Neutral sentences with each term, labelled clean, are learnt from
+beside the sample, so that every term has its swaps however rare it is there.
 
 Defined cases: a null or empty text scores by the bias alone; repeated rows and
 null ids are kept and scored; labels other than 0 and 1 and null ids are not
 learnt from; a doc_id labelled twice counts as toxic if any row says so; where
-the sample lacks either class all documents score 0 (``learn``). Other columns are ignored.
+the sample lacks either class all documents score 0 (``learn``). Other columns are
+ignored; one that has the result's name and is to be kept gives way to it.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from termweave.llm.workers import memory, slices
+from termweave.llm.workers import fresh, memory, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Identity terms, in sets of terms of a language that may stand for one another; none is in two. Fixed values.
@@ -67,6 +71,13 @@ IDENTITIES = (
     ("joven", "viejo", "anciano"),
     ("discapacitado", "ciego", "sordo"),
 )
+#: Neutral sentences by language, and how many of the sets above are the language's, in their order. Fixed values.
+NEUTRAL = (
+    (10, ("our neighbours are {} and we met them at the market", "a {} teacher spoke about the history of the city")),
+    (8, ("unsere nachbarn sind {} und wir trafen sie auf dem markt", "in der stadt leben viele {} seit langer zeit")),
+    (9, ("nos voisins sont {} et nous les avons vus au marché", "dans la ville vivent aussi {} depuis longtemps")),
+    (9, ("nuestros vecinos son {} y los vimos en el mercado", "en la ciudad viven también {} desde hace tiempo")),
+)
 SWAPS = {t: [x for x in group if x != t] for group in IDENTITIES for t in group}
 PREFIXES = (4, 5, 6, 7)
 
@@ -86,12 +97,13 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def fit(rows: list[tuple[str, int]], most_features: int = 800, least_z: float = 5.0, l2: float = 0.2, swap_weight: float = 5.0, steps: int = 300) -> tuple[dict[str, float], float]:
+def fit(rows: list[tuple[str, int]], neutral: list[tuple[str, int]] = (), most_features: int = 800, least_z: float = 5.0, l2: float = 0.2, swap_weight: float = 5.0, steps: int = 300) -> tuple[dict[str, float], float]:
     """Weights by feature and the bias, from (text, label) rows.
 
     The loss is the mean log loss, its classes weighted alike, plus ``l2`` on the
     weights and ``swap_weight`` times the mean squared change of the logit between a
-    text and each of its copies with one identity term swapped.
+    text and each of its copies with one identity term swapped. The rows of
+    ``neutral`` don't choose features; all of them weigh a fifth of a class.
     """
     n_pos = sum(y for _, y in rows)
     n_neg = len(rows) - n_pos
@@ -118,7 +130,8 @@ def fit(rows: list[tuple[str, int]], most_features: int = 800, least_z: float =
             x[i, [index[f] for f in features(bag) if f in index]] = 1
         return x
 
-    x, y = matrix(bags), np.array([y for _, y in rows], np.float32)
+    bags += [words_of(t) for t, _ in neutral]
+    x, y = matrix(bags), np.array([y for _, y in [*rows, *neutral]], np.float32)
     # A term has no beginnings, so a swap takes one feature away and adds one at most: the squared changes are sums over term pairs.
     pairs = Counter((t, other, other in bag) for bag in bags for t in bag & SWAPS.keys() for other in SWAPS[t])
     changes = np.zeros((len(SWAPS), len(SWAPS)))
@@ -133,6 +146,7 @@ def fit(rows: list[tuple[str, int]], most_features: int = 800, least_z: float =
             changes[j, i] -= n
     changes = (swap_weight * 2 / max(1, pairs.total()) * changes).astype(np.float32)
     share = np.where(y == 1, 0.5 / n_pos, 0.5 / n_neg).astype(np.float32)
+    share[len(rows) :] = 0.1 / max(1, len(neutral))
     w, bias = np.zeros(len(index), np.float32), 0.0
     m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
     for step in range(1, steps + 1):
@@ -147,6 +161,15 @@ def fit(rows: list[tuple[str, int]], most_features: int = 800, least_z: float =
     return {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(bias)
 
 
+def neutral_rows(which: int | None = None) -> list[tuple[str, int]]:
+    """Clean sentences that name each identity term; all of them, or those of one template a language."""
+    groups, out = iter(IDENTITIES), []
+    for n, templates in NEUTRAL:
+        for group in islice(groups, n):
+            out += [(t.format(term), 0) for term in group for t in (templates if which is None else templates[which : which + 1])]
+    return out
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (1500, 3000), longest: int = 20_000) -> list[tuple[str, int]]:
     """The bounded labelled sample: the ``most`` toxic and clean rows whose ids hash lowest.
 
@@ -162,17 +185,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (1
     return [(r.text, r.toxic) for r in got.select("text", "toxic").collect()]
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    """The model of the labelled sample; where that lacks a class, one by which all documents score 0."""
+def learn(docs: DataFrame, labels: DataFrame, **options) -> tuple[dict[str, float], float]:
+    """The model of the labelled sample and the neutral sentences; where the sample lacks a class, one by which all documents score 0."""
     rows = training_rows(docs, labels)
-    return fit(rows) if len({y for _, y in rows}) == 2 else ({}, -20.0)
+    return fit(rows, neutral_rows(), **options) if len({y for _, y in rows}) == 2 else ({}, -20.0)
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score`` (0 to 1) of every document, in one pass without a shuffle."""
-    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
-    at = rows.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``out_col`` (0 to 1) of every document, in one pass without a shuffle."""
+    kept = [k for k in keep if k.lower() != out_col.lower()]
+    rows = docs.select(*(F.col(k) for k in kept), F.col(text_col).cast("string").alias(fresh("scored", kept)))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out_col, T.DoubleType())])
 
     name = hashlib.sha256(repr((sorted(model[0].items()), model[1])).encode()).hexdigest()
 
@@ -181,7 +204,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[st
         known = memory(f"toxicity/{name}")  # the weighted parts of words seen
         for batch in slices(batches):
             out = []
-            for text in batch.column(at).to_pylist():
+            for text in batch.column(len(kept)).to_pylist():
                 bag = words_of(text)
                 for w in bag.difference(known):
                     known[w] = tuple(p for p in parts(w) if p in weights or p + "*" in weights)
@@ -190,6 +213,6 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[st
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
                 if len(known) > 300_000:
                     known.clear()
-            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, "score"])
+            yield pa.record_batch([*batch.columns[: len(kept)], pa.array(out, pa.float64())], names=[*kept, out_col])
 
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, schema)

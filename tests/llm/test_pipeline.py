@@ -35,3 +35,22 @@ def test_stages(spark):
     enc = sp_dropout.DropoutEncoder(public_tokenizers.path("piece_bpe_32k.model"))
     kept = {r.doc_id: enc.decode(r.ids) for r in docs.collect()}
     assert all(v == text[i] or "[REDACTED]" in v for i, v in kept.items())
+
+
+def test_odd_tables(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, repeated rows, extra columns whose names the stages use inside, and an empty table go through every stage."""
+    labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one benchmark item of some words that no text here has")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = "lang string, source string, n_chars long, _key int, ids int, decoded int, found int, row_id int, w int, p int"
+    names = [x.split()[0] for x in more.split(", ")]
+    docs = odd_docs.selectExpr("*", "'en' as lang", "'x' as source", "cast(length(text) as long) as n_chars", *(f"{i} as {n}" for i, n in enumerate(names[3:])))
+    for table in (docs, docs.where("false")):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES:
+            columns, kept = kept.columns, stage(spark, kept, str(tmp_path))
+            if stage is not corpus_pipeline.tokenize:
+                assert kept.columns == columns
+        rows = kept.collect()
+        # Repeated rows of one id name the same group and stay together.
+        assert len(rows) == table.count()

@@ -54,3 +54,38 @@ def test_redaction(spark, odd_docs):
     assert (got[2].text, got[2].n_chars, got[3].text) == ("nothing here", 99, None)
     same = secret_scan.redact(odd_docs, model)
     assert same.schema == odd_docs.schema and sorted(map(repr, same.collect())) == sorted(map(repr, odd_docs.collect()))
+
+
+def test_precision_and_recall_on_held_out_tokens(spark, data):
+    model = secret_scan.train(spark.read.parquet(f"{data}/documents.parquet"))
+    random, calm = secret_scan.generated(2000, seed=41), secret_scan.ordinary(4000, seed=42)
+    taken, false = sum(map(model.is_random, random)), sum(map(model.is_random, calm))
+    assert taken >= 0.99 * len(random) and taken >= 0.99 * (taken + false)
+    for token in ("getUserAccountByPrimaryKey2", "AbstractSingletonProxyFactoryBean", "1234567890123456789"):
+        assert not model.is_random(token)
+
+
+def test_score_is_the_ratio_of_two_chains(spark, data):
+    """Brute force: both chains' likelihoods, step by step, from counts made here."""
+    import math
+    from collections import Counter
+
+    samples = (["ab1", "a1b1"], ["abab", "ba"])
+    counts = [Counter(p for s in side for p in zip("^" + s, s)) for side in samples]
+    model = secret_scan.MarkovRatio(*counts)
+    token, want = "ab1b", 0.0
+    for c, sign in zip(counts, (1, -1)):
+        for a, b in zip("^" + token, token):
+            want += sign * math.log((c[a, b] + 0.5) / (sum(n for (x, _), n in c.items() if x == a) + 0.5 * len(secret_scan.ALPHABET)))
+    assert abs(model.score(token) - want) < 1e-9
+
+
+def test_long_text_of_many_secrets(spark, odd_docs):
+    import time
+
+    model = secret_scan.train(odd_docs)
+    text = ("0123456789abcdef" * 2 + " " + "q7Zk2PwX9vTf4LmB8cRj6NhY3sDg5KaE" + " ") * 40_000
+    start = time.process_time()
+    assert len(secret_scan.find(text, model)) == 80_000 and time.process_time() - start < 20
+    kept = secret_scan.scan(odd_docs, model, keep=("doc_id", "spans", "score"))
+    assert kept.columns == ["doc_id", "score", "spans"] and kept.count() == odd_docs.count()

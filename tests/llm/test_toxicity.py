@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -49,7 +50,9 @@ def test_one_class_or_none():
 
 def test_odd_rows(spark, odd_docs, no_docs):
     model = toxicity.fit(sentences(2, 200))
-    got = toxicity.score(odd_docs.drop("score"), model, keep=("doc_id", "text", "start")).collect()
+    got = toxicity.score(odd_docs, model, keep=("doc_id", "text", "score", "start"))
+    assert got.columns == ["doc_id", "text", "start", "score"]
+    got = got.collect()
     assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(no_docs, model).collect() == []
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None), (5, 7)], "doc_id long, toxic int")
@@ -83,3 +86,29 @@ def test_labels_of_one_class_drop_nothing(spark, tmp_path):
     for toxic in (0, 1):
         spark.createDataFrame([(i, toxic) for i in range(8)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{toxic}/labels.parquet")
         assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{toxic}").count() == 12
+
+
+def test_sentences_of_each_language():
+    assert sum(n for n, _ in toxicity.NEUTRAL) == len(toxicity.IDENTITIES)
+    assert len(toxicity.neutral_rows()) == 2 * len(toxicity.SWAPS)
+
+
+def test_swaps_change_the_model_of_the_tables(spark, data):
+    """False positives on neutral mentions, where half of the toxic rows that are learnt from name a group."""
+    d = "/root/testdata/sf0.1"
+    rows = toxicity.training_rows(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    toxic = [t for t, y in rows if y]
+    rows = [(t, y) for t, y in rows if not y] + [(t + " muslims" * (i % 2), 1) for i, t in enumerate(toxic)]
+    taken = {}
+    for weight in (0.0, 5.0):
+        model = toxicity.fit(rows, toxicity.neutral_rows(0), swap_weight=weight)
+        taken[weight] = sum(logit(model, t + " muslims") >= math.log(0.7 / 0.3) for t, y in rows if not y)
+    assert taken[5.0] <= 0.2 * taken[0.0] and taken[0.0] > 0.1 * len(rows)
+
+
+def test_reference_scores(spark, data):
+    """Brute force: every document's score from its features, one by one."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    for r in toxicity.score(docs, model, keep=("doc_id", "text")).collect():
+        assert abs(math.log(r.score / (1 - r.score)) - max(-30, min(30, logit(model, r.text)))) < 1e-3
