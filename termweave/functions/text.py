@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,8 +105,6 @@ def interval_text(point: Column, low: Column, high: Column) -> Column:
 
 
 def fill_template(template: str, **values: Column) -> Column:
-    """``template`` with each ``{name}`` replaced by a column; other braces stay."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-    return out
+    """``template`` with each ``{name}`` replaced by a column; other braces stay, those in a value too."""
+    parts = re.split("{(" + "|".join(map(re.escape, values)) + ")}", template) if values else [template]
+    return F.concat(*(F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))

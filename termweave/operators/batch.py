@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.operators.dedup import top_by
+from termweave.sources.sinks import staged
 
 
 def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -13,8 +14,23 @@ def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def page(df: DataFrame, skip: int, most: int | None, *order: Column) -> DataFrame:
-    out = df.orderBy(*order).offset(skip)
-    return out if most is None else out.limit(most)
+    """``most`` rows from the one at ``skip`` on, in ``order``; all of them if null.
+
+    All rows are numbered within the ranges of a written sort, so that none passes
+    through one task; a count for each range reaches the driver.
+    """
+    if most is not None:
+        return df.orderBy(*order).offset(skip).limit(most)
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the row's number below
+    rows = staged(df.orderBy(*order).select(place.alias("_place"), F.struct(*df.columns).alias("_row")), "page")
+    part = F.shiftright("_place", 33)
+    before, at, rest = 0, 0, skip
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part).agg(F.count("*")).collect()):
+        at, rest = p, skip - before
+        if rest < n:
+            break
+        before += n
+    return rows.where(F.col("_place") >= F.lit((at << 33) + rest)).orderBy("_place").select("_row.*")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

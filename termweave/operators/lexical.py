@@ -1,14 +1,16 @@
-"""Lexical top-k retrieval: BM25 over an inverted index that is built for the terms asked for."""
+"""Lexical top-k retrieval: BM25 over an inverted index that is built, once, for the terms asked for."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions.text import least_matches, normalize_query, tokens
 from termweave.operators.dedup import top_by
+from termweave.sources.sinks import staged
 
 K1, B = 0.9, 0.5
 #: What a keyword's term frequency part comes to with the default parameters: 1 / (1 + 1.2).
@@ -36,25 +38,6 @@ def term_stats(docs: DataFrame, text: str = "concept_name") -> DataFrame:
     return found.groupBy("concept_id", "token").agg(F.count("*").alias("tf")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@dataclass(frozen=True)
-class LexicalIndex:
-    """A corpus (concept_id, concept_name, domain_id): term frequencies are counted for the terms of a query set only."""
-
-    docs: DataFrame
-
-    def postings(self, terms: DataFrame) -> DataFrame:
-        """concept_id, domain_id, len (the document's tokens), token, tf for the tokens in ``terms`` (token).
-
-        One scan gives all that scoring needs of a document, so none is joined again.
-        The filter drops nothing; it keeps tf in every use of the postings, so that the
-        planner sees one and the same shuffle and reuses it.
-        """
-        words = self.docs.select("concept_id", "domain_id", tokens(F.col("concept_name")).alias("w"))
-        words = words.select("concept_id", "domain_id", F.size("w").alias("len"), F.explode("w").alias("token"))
-        few = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
-        return words.join(few, "token", "left_semi").groupBy("concept_id", "domain_id", "len", "token").agg(F.count("*").cast("double").alias("tf")).where("tf > 0")
-
-
 def _asked(entities: DataFrame) -> DataFrame:
     name = normalize_query(F.col("entity_name"))
     return entities.select("entity_id", name.alias("asked"), F.col("domain_id").alias("asked_domain"), tokens(name).alias("asked_tokens"))
@@ -66,23 +49,49 @@ def _terms(entities: DataFrame) -> DataFrame:
     return _asked(entities).select("entity_id", "asked_domain", F.explode(distinct).alias("token"), F.size(distinct).alias("n_terms"))
 
 
-def _weighted(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The postings of the terms; token, df, idf and mean of those that the corpus has."""
-    found = LexicalIndex(docs).postings(terms.select("token").distinct())
-    stats = F.broadcast(corpus_stats(docs))  # one row
-    weight = found.groupBy("token").agg(F.count("*").alias("df")).join(stats)
-    return found, weight.select("token", "df", "mean", idf(F.col("n"), F.col("df")).alias("idf"))
+@dataclass(frozen=True)
+class LexicalIndex:
+    """What a set of queries needs of a corpus (concept_id, concept_name, domain_id), written once and read by every use.
+
+    ``postings``: concept_id, domain_id, len (the document's tokens), token, tf, for the
+    queries' terms alone; ``weights``: token, df, mean, idf; ``asked``: the terms.
+    """
+
+    entities: DataFrame
+    docs: DataFrame
+    asked: DataFrame
+    postings: DataFrame
+    weights: DataFrame
+
+    @staticmethod
+    def build(entities: DataFrame, docs: DataFrame) -> LexicalIndex:
+        """One scan of the corpus makes the postings, and one its two statistics."""
+        asked = staged(_terms(entities), "terms")
+        terms = staged(asked.select("token").distinct(), "tokens")
+        words = docs.select("concept_id", "domain_id", tokens(F.col("concept_name")).alias("w"))
+        words = words.select("concept_id", "domain_id", F.size("w").alias("len"), F.explode("w").alias("token"))
+        few = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
+        postings = words.join(few, "token", "left_semi").groupBy("concept_id", "domain_id", "len", "token").agg(F.count("*").cast("double").alias("tf"))
+        postings = staged(postings, "postings")
+        stats = F.broadcast(corpus_stats(docs))  # one row
+        weights = postings.groupBy("token").agg(F.count("*").alias("df")).join(stats)
+        return LexicalIndex(entities, docs, asked, postings, staged(weights.select("token", "df", "mean", idf(F.col("n"), F.col("df")).alias("idf")), "weights"))
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        """``match_scores`` of the queries."""
+        return staged(match_scores(self.entities, self.docs, index=self), "matches")
 
 
-def match_scores(entities: DataFrame, docs: DataFrame, share: float | None = 0.6) -> DataFrame:
+def match_scores(entities: DataFrame, docs: DataFrame, share: float | None = 0.6, index: LexicalIndex | None = None) -> DataFrame:
     """entity_id, concept_id, n_terms, bm25, matched: pairs with enough matching terms in the asked domain.
 
     A null asked domain admits all. The statistics are the corpus's, not the domain's.
     If m of n terms must match, one of any n - m + 1 does; so only the rarest so many
     look for candidates, and common terms are never joined to all their documents.
     """
-    terms = _terms(entities)
-    found, weight = _weighted(docs, terms)
+    index = index or LexicalIndex.build(entities, docs)
+    terms, found, weight = index.asked, index.postings, index.weights
     in_domain = F.col("asked_domain").isNull() | (F.col("asked_domain") == F.col("domain_id"))
     part = F.sum(F.col("idf") * tf_norm(F.col("tf"), F.col("len"), F.col("mean"))).alias("bm25")
     keys = ["entity_id", "concept_id", "n_terms"]
@@ -98,9 +107,9 @@ def match_scores(entities: DataFrame, docs: DataFrame, share: float | None = 0.6
     return scored.groupBy(*keys, "needed").agg(part, F.count("*").alias("matched")).where("matched >= needed").drop("needed")
 
 
-def phrase_scores(entities: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def phrase_scores(entities: DataFrame, docs: DataFrame, pairs: DataFrame, index: LexicalIndex | None = None) -> DataFrame:
     """entity_id, concept_id, phrase: BM25 of the query as a phrase, for those of ``pairs`` that hold it."""
-    _, weight = _weighted(docs, _terms(entities))
+    weight = (index or LexicalIndex.build(entities, docs)).weights
     asked = _asked(entities).select("entity_id", "asked_tokens", F.explode("asked_tokens").alias("token"))
     whole = asked.join(weight, "token").groupBy("entity_id", "asked_tokens", "mean").agg(F.sum("idf").alias("idf"), F.count("*").alias("known"))
     whole = whole.where(F.col("known") == F.size("asked_tokens"))
@@ -122,20 +131,21 @@ def exact_scores(entities: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.join(count, "asked").join(n).select("entity_id", "concept_id", (idf(F.col("n"), F.col("df")) * KEYWORD_TF).alias("exact"))
 
 
-def text_scores(entities: DataFrame, docs: DataFrame, with_phrase: bool = True, match_boost: float = 2.0) -> DataFrame:
+def text_scores(entities: DataFrame, docs: DataFrame, with_phrase: bool = True, match_boost: float = 2.0, index: LexicalIndex | None = None) -> DataFrame:
     """entity_id, concept_id, score: 3.0 exact + 2.5 phrase + ``match_boost`` match, where at least one clause matches."""
-    match = match_scores(entities, docs)
+    index = index or LexicalIndex.build(entities, docs)
+    match = index.matches
     score = F.coalesce("exact", F.lit(0.0)) * 3.0 + F.coalesce("bm25", F.lit(0.0)) * match_boost
     rows = match.select("entity_id", "concept_id", "bm25").join(exact_scores(entities, docs), ["entity_id", "concept_id"], "full")
     if with_phrase:
-        rows = rows.join(phrase_scores(entities, docs, match), ["entity_id", "concept_id"], "left")
+        rows = rows.join(phrase_scores(entities, docs, match, index), ["entity_id", "concept_id"], "left")
         score = score + F.coalesce("phrase", F.lit(0.0)) * 2.5
     return rows.select("entity_id", "concept_id", score.alias("score"))
 
 
-def lexical_topk(entities: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
+def lexical_topk(entities: DataFrame, docs: DataFrame, k: int = 3, index: LexicalIndex | None = None) -> DataFrame:
     """The best ``k`` concepts for each entity (entity_id, entity_name, domain_id), ties by concept_id."""
-    return top_by(text_scores(entities, docs), ["entity_id"], k, F.round("score", 9).desc(), F.col("concept_id").asc(), rank="rank")
+    return top_by(text_scores(entities, docs, index=index), ["entity_id"], k, F.round("score", 9).desc(), F.col("concept_id").asc(), rank="rank")
 
 
 def fuzzy_scores(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -21,9 +21,9 @@ def normalized(score):
     return sigmoid(score, CENTER, SCALE)
 
 
-def lexical_arm(entities: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
+def lexical_arm(entities: DataFrame, docs: DataFrame, k: int = TOP_K, index: lexical.LexicalIndex | None = None) -> DataFrame:
     """entity_id, concept_id, rank, score, norm, arm; the threshold applies after the top k."""
-    hits = lexical.lexical_topk(entities, docs, k).where(F.col("score") >= THRESHOLDS["lexical"])
+    hits = lexical.lexical_topk(entities, docs, k, index).where(F.col("score") >= THRESHOLDS["lexical"])
     return hits.select("entity_id", "concept_id", "rank", "score", normalized(F.col("score")).alias("norm"), F.lit("lexical").alias("arm"))
 
 
@@ -34,22 +34,22 @@ def semantic_arm(entity_vectors: DataFrame, doc_vectors: DataFrame, k: int = TOP
     return hits.select(F.col("query_id").alias("entity_id"), F.col("vec_id").alias("concept_id"), "rank", "score", F.col("score").alias("norm"), F.lit("semantic").alias("arm"))
 
 
-def hybrid_scores(entities: DataFrame, docs: DataFrame, cosines: DataFrame, knn_share: float = 0.6, text_share: float = 0.4, neighbours: int = 6) -> DataFrame:
+def hybrid_scores(entities: DataFrame, docs: DataFrame, cosines: DataFrame, knn_share: float = 0.6, text_share: float = 0.4, neighbours: int = 6, index: lexical.LexicalIndex | None = None) -> DataFrame:
     """entity_id, concept_id, score: 0.6 nearest-neighbour score + 0.4 text score times length similarity.
 
     ``cosines`` is entity_id, concept_id, cosine; its best ``neighbours`` count.
     """
     near = top_by(cosines, ["entity_id"], neighbours, F.round("cosine", 9).desc(), F.col("concept_id").asc())
     near = near.select("entity_id", "concept_id", (unit_score(F.col("cosine")) * knn_share).alias("near"))
-    text = lexical.text_scores(entities, docs, with_phrase=False, match_boost=2.5)
+    text = lexical.text_scores(entities, docs, with_phrase=False, match_boost=2.5, index=index)
     text = text.join(entities.select("entity_id", normalize_query(F.col("entity_name")).alias("asked")), "entity_id").join(docs.select("concept_id", "concept_name"), "concept_id")
     text = text.select("entity_id", "concept_id", (F.col("score") * text_share * length_similarity(F.col("concept_name"), F.col("asked"))).alias("text"))
     both = near.join(text, ["entity_id", "concept_id"], "full")
     return both.select("entity_id", "concept_id", (F.coalesce("near", F.lit(0.0)) + F.coalesce("text", F.lit(0.0))).alias("score"))
 
 
-def combined_arm(entities: DataFrame, docs: DataFrame, cosines: DataFrame, k: int = TOP_K) -> DataFrame:
-    scored = hybrid_scores(entities, docs, cosines)
+def combined_arm(entities: DataFrame, docs: DataFrame, cosines: DataFrame, k: int = TOP_K, index: lexical.LexicalIndex | None = None) -> DataFrame:
+    scored = hybrid_scores(entities, docs, cosines, index=index)
     best = top_by(scored, ["entity_id"], k, F.round("score", 9).desc(), F.col("concept_id").asc(), rank="rank").where(F.col("score") >= THRESHOLDS["combined"])
     return best.select("entity_id", "concept_id", "rank", "score", normalized(F.col("score")).alias("norm"), F.lit("combined").alias("arm"))
 

@@ -31,9 +31,18 @@ def ranked(df: DataFrame, keys: list[str], score: Column, *ties: Column, name: s
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), *ties)))
 
 
-def prompts(candidates: DataFrame, template: str = PROMPT) -> DataFrame:
-    """entity_id and prompt, with the entity's candidates as JSON in their order (seq)."""
-    row = F.struct("seq", F.struct("concept_id", "concept_name", "domain_id", "vocabulary_id").alias("c"))
+def prompts(candidates: DataFrame, template: str = PROMPT, with_score: bool = False) -> DataFrame:
+    """entity_id and prompt, with the entity's candidates as JSON in their order (seq).
+
+    A candidate that was mapped carries the name it was mapped from, and with
+    ``with_score`` each carries its similarity.
+    """
+    told = [F.col(c) for c in ("concept_id", "concept_name", "domain_id", "vocabulary_id")]
+    if "from_name" in candidates.columns:
+        told.append(F.col("from_name").alias("original_concept"))
+    if with_score:
+        told.append(F.round("similarity", 4).alias("semantic_similarity"))
+    row = F.struct("seq", F.struct(*told).alias("c"))
     listed = candidates.groupBy("entity_id", "entity_name").agg(F.array_sort(F.collect_list(row)).alias("list"))
     as_json = F.to_json(F.transform("list", lambda x: x["c"]))
     return listed.select("entity_id", fill_template(template, entity=F.col("entity_name"), candidates=as_json).alias("prompt"))
@@ -82,8 +91,9 @@ def score(candidates: DataFrame, mode: str, judge: Callable[[str], str] | None =
     if mode != "semantic":
         if judge is None:
             raise ValueError(f"mode {mode!r} needs a judge")
-        scored = backfilled(scored, parse_rankings(judged(prompts(candidates), judge)))
-        scored = scored.withColumn("final_score", F.col("llm_score") if mode == "llm" else F.col("llm_score") * F.col("similarity"))
+        # The similarity is something the judge is told; the score is the judge's in either mode.
+        scored = backfilled(scored, parse_rankings(judged(prompts(scored, with_score=mode == "llm_with_score"), judge)))
+        scored = scored.withColumn("final_score", F.col("llm_score"))
     return ranked(scored, ["entity_id"], F.col("final_score"), F.col("seq"))
 
 

@@ -8,6 +8,7 @@ from termweave.functions import numbers, text
 from termweave.operators import lexical, retrieve, vector
 from termweave.operators.dedup import dedup_by_concept, top_by
 from termweave.plans.tables import CONCEPT, concept, corpus, entities, query, r6, table, vectors, words
+from termweave.sources.sinks import staged
 
 #: Tokens, statistics and BM25 of documents for the benchmark's items.
 BM25 = f"""d AS (SELECT doc_id, lang, lower(text) AS name, {words("text")} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
@@ -46,7 +47,8 @@ def lexical_min_should_match(spark, d):
 @query(f"WITH {BM25}, {EXACT}, {PHRASE} SELECT coalesce(ph.item_id, x.item_id) AS item_id, coalesce(ph.doc_id, x.doc_id) AS doc_id, round(phrase, 6) AS phrase, round(exact, 6) AS exact FROM ph FULL JOIN x ON ph.item_id = x.item_id AND ph.doc_id = x.doc_id")
 def exact_and_phrase_match(spark, d):
     asked, docs = entities(spark, d), corpus(spark, d)
-    phrase = lexical.phrase_scores(asked, docs, lexical.match_scores(asked, docs))
+    index = lexical.LexicalIndex.build(asked, docs)
+    phrase = lexical.phrase_scores(asked, docs, index.matches, index)
     both = phrase.join(lexical.exact_scores(asked, docs), ["entity_id", "concept_id"], "full")
     return both.select(F.col("entity_id").alias("item_id"), F.col("concept_id").alias("doc_id"), r6("phrase").alias("phrase"), r6("exact").alias("exact"))
 
@@ -135,9 +137,10 @@ arms AS (SELECT item_id, doc_id, rank, score, 1 / (1 + exp(-(score - 15) / 8)) A
 SELECT item_id, doc_id, ['lexical', 'semantic', 'combined'][arm] AS arm, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY round(coalesce(nullif(norm, 0), score), 9) DESC, arm * 1000 + rank) AS n FROM arms) WHERE n = 1""")
 def three_arm_candidates(spark, d):
     asked, docs, cosines = entities(spark, d), corpus(spark, d), _cosines(spark, d)
-    near = top_by(cosines, ["entity_id"], 3, F.round("cosine", 9).desc(), F.col("concept_id").asc(), rank="rank").withColumn("score", numbers.unit_score(F.col("cosine")))
-    semantic = near.where(F.col("score") >= retrieve.THRESHOLDS["semantic"]).select("entity_id", "concept_id", "rank", "score", F.col("score").alias("norm"), F.lit("semantic").alias("arm"))
-    arms = retrieve.lexical_arm(asked, docs).unionByName(semantic).unionByName(retrieve.combined_arm(asked, docs, cosines))
+    near = staged(top_by(cosines, ["entity_id"], 6, F.round("cosine", 9).desc(), F.col("concept_id").asc(), rank="rank"), "near")  # a few rows an item; the cosines are made once
+    semantic = near.where("rank <= 3").withColumn("score", numbers.unit_score(F.col("cosine"))).where(F.col("score") >= retrieve.THRESHOLDS["semantic"]).select("entity_id", "concept_id", "rank", "score", F.col("score").alias("norm"), F.lit("semantic").alias("arm"))
+    index = lexical.LexicalIndex.build(asked, docs)
+    arms = retrieve.lexical_arm(asked, docs, index=index).unionByName(semantic).unionByName(retrieve.combined_arm(asked, docs, near, index=index))
     best = retrieve.merge_arms(arms.withColumn("norm", F.round("norm", 9)), ("entity_id", "concept_id"))
     return best.select(F.col("entity_id").alias("item_id"), F.col("concept_id").alias("doc_id"), "arm", r6("score").alias("score"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from termweave.functions.numbers import confidence
 from termweave.operators import mapping, score, standardize
 from termweave.operators.batch import cell_text
-from termweave.plans.tables import CONCEPT, EDGE, concept, edge, query, table
+from termweave.plans.tables import CONCEPT, EDGE, concept, edge, query, r6, table
 
 STD = "('S', 'C')"
 NEAR = """near_{n} AS (SELECT from_id, r.concept_id, relation, concept_name, standard_concept FROM (
@@ -145,3 +145,29 @@ def domain_fan_out(spark, d):
     e = F.col("entity") % 3
     reason = mapping.failure_reason((F.col("domain_id") != "Drug").cast("int"), (e != 0).cast("int"), (e != 1).cast("int"), F.lit(True))
     return mapping.fan_out(asked).withColumn("failure", reason)
+
+
+def fixed_judge(prompt: str) -> str:
+    """Scores a candidate by its id, higher if the prompt tells of a similarity; leaves out every fifth id."""
+    import json
+
+    listed = next(line for line in prompt.splitlines() if line.startswith("Candidates: "))
+    scores = [(c["concept_id"], int(c["concept_id"]) % 4 + (c["semantic_similarity"] > 0.8)) for c in json.loads(listed[len("Candidates: ") :])]
+    return json.dumps({"rankings": [{"concept_id": i, "reasoning": "", "score": s} for i, s in scores if int(i) % 5]})
+
+
+@query(f"""
+WITH {CONCEPT}, p AS (
+  SELECT p_brand AS entity_id, CAST(p_partkey AS VARCHAR) AS concept_id, p_partkey AS k, (1 + (p_partkey % 3) / sqrt(1 + (p_partkey % 3) ** 2)) / 2 AS similarity FROM part WHERE p_size <= 5),
+s AS (SELECT *, CASE WHEN k % 5 = 0 THEN 0.0 ELSE k % 4 + CASE WHEN round(similarity, 4) > 0.8 THEN 1 ELSE 0 END END AS final_score FROM p)
+SELECT entity_id, concept_id, CAST(final_score AS DOUBLE) AS final_score, round(similarity, 6) AS similarity, k % 5 = 0 AS left_out,
+  CAST(row_number() OVER (PARTITION BY entity_id ORDER BY final_score DESC, k) AS INTEGER) AS rank FROM s""")
+def judge_with_score(spark, d):
+    """Candidates scored by a judge that is told their similarity; the final score is the judge's alone."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").where("p_size <= 5").select(
+        F.col("p_brand").alias("entity_id"), F.col("p_brand").alias("entity_name"), k.cast("string").alias("concept_id"), F.col("p_name").alias("concept_name"), F.col("p_type").alias("domain_id"),
+        F.lit("v").alias("vocabulary_id"), k.alias("seq"), F.array(F.lit(1.0), F.lit(0.0)).alias("entity_vector"), F.array((k % 3).cast("double"), F.lit(1.0)).alias("concept_vector"),
+    )
+    found = score.score(rows, "llm_with_score", fixed_judge)
+    return found.select("entity_id", "concept_id", "final_score", r6(F.col("similarity")).alias("similarity"), (F.col("llm_rank") == score.UNRANKED).alias("left_out"), "rank")

@@ -35,8 +35,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 class KeyedTable:
     """A Parquet table that holds one row, the last written, for each key.
 
-    Versions are folders below ``path``; ``CURRENT`` names the valid one and is
-    replaced at the end, so a load that fails or is repeated changes nothing.
+    Versions are folders below ``path``; ``CURRENT`` names the valid one. It is written
+    beside and moved over the old one at the end, so a load that fails or is repeated
+    changes nothing. The version before stays for its readers until the next load.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, seq: str):
@@ -55,12 +56,23 @@ class KeyedTable:
         name = f"v-{uuid.uuid4().hex}"
         old = self._version()
         upsert(self.read(), rows, self.key, self.seq).write.parquet(f"{self.path}/{name}")
-        fs, p = _fs(self.spark, f"{self.path}/CURRENT")
-        out = fs.create(p, True)
+        fs, beside = _fs(self.spark, f"{self.path}/NEXT")
+        out = fs.create(beside, True)
         out.write(bytearray(name.encode()))
         out.close()
-        if old:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
+        self._switch(beside)
+        for found in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(self.path)):
+            if found.getPath().getName().startswith("v-") and found.getPath().getName() not in (name, old):
+                fs.delete(found.getPath(), True)
+
+    def _switch(self, beside) -> None:
+        """Move ``beside`` over ``CURRENT``, at once."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        hadoop = jvm.org.apache.hadoop.fs
+        how = gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        current = hadoop.Path(f"{self.path}/CURRENT")
+        hadoop.FileContext.getFileContext(current.toUri(), self.spark._jsc.hadoopConfiguration()).rename(beside, current, how)
 
     def drop(self) -> None:
         fs, p = _fs(self.spark, self.path)
@@ -89,10 +101,27 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-#: Columns of a result sheet. Fixed values.
-DETAIL = ("test_index", "id", "entity_name", "input_domain", "ground_truth_concept_id", "ground_truth_concept_name", "best_concept_id", "best_concept_name", "best_result_domain", "best_score", "status", "stage1", "stage2", "stage3", "error")
+#: Headers of a result sheet. Fixed values.
+DETAIL = (
+    "Test Index",
+    "ID",
+    "Entity Name",
+    "Input Domain",
+    "Ground Truth Concept ID",
+    "Ground Truth Concept Name",
+    "Success",
+    "Mapping Correct",
+    "Best Result Domain",
+    "Best Concept ID",
+    "Best Concept Name",
+    "Best Score",
+    "Stage1 Candidates",
+    "Stage2 Candidates",
+    "Stage3 Candidates",
+)
 
 
 def detail_sheet(records: DataFrame) -> DataFrame:
-    """The columns of a result sheet in order; missing ones are null."""
-    return records.select(*(F.col(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in DETAIL))
+    """The columns of a result sheet under their headers, in order, from columns named alike in lower case with ``_``; missing ones are null."""
+    names = {h: h.lower().replace(" ", "_") for h in DETAIL}
+    return records.select(*((F.col(n) if n in records.columns else F.lit(None).cast("string")).alias(h) for h, n in names.items()))

@@ -56,3 +56,7 @@ def test_numbers(spark):
 
 def test_template(spark):
     assert values(spark, lambda c: text.fill_template('{name}: {"a": 1} {name}', name=c), "x", None) == ['x: {"a": 1} x', ': {"a": 1} ']
+
+
+def test_template_values_are_not_filled_again(spark):
+    assert values(spark, lambda c: text.fill_template("{a} {b}", a=c, b=F.lit("x")), "{b}") == ["{b} x"]

@@ -133,3 +133,12 @@ def test_cascade_and_alias(spark):
     scored = spark.createDataFrame([("a", "x(1)", "1", 2.0), ("a", "w(2)", "2", 1.0), ("b", "p(1)", "1", 0.5)], kind + ", score double")
     got = {(r.entity, r.concept): (r.score, r.found) for r in evaluate.cascade_scores(asked, scored).collect()}
     assert got == {("a", "x(1)"): (2.0, "exact"), ("a", "y(2)"): (1.0, "id"), ("b", "q(12)"): (0.5, "only"), ("c", "z(3)"): (None, None)}
+
+
+def test_page_without_a_limit(spark):
+    from termweave.operators import batch
+
+    df = spark.range(0, 1000).selectExpr("id % 17 as a", "id")
+    want = sorted((r.a, r.id) for r in df.collect())
+    for skip in (0, 1, 503, 999, 1000, 5000):
+        assert [tuple(r) for r in batch.page(df, skip, None, df["a"].asc(), df["id"].asc()).collect()] == want[skip:]

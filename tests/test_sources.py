@@ -57,7 +57,7 @@ def test_writers(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "j")).first()[0] == '{"id":1,"n":null,"list":[{"a":"x","b":1.5}]}'
     sinks.write_delimited(df.select("id", "n"), str(tmp_path / "c"))
     assert files.read_delimited(spark, str(tmp_path / "c"), ("id", "n")).collect()[0][:] == ("1", None)
-    assert sinks.detail_sheet(df).columns == list(sinks.DETAIL)
+    assert sinks.detail_sheet(df).columns == list(sinks.DETAIL) and len(sinks.DETAIL) == 15
 
 
 def test_keyed_table_and_resumable_ingest(spark, tmp_path):
@@ -82,3 +82,21 @@ def test_keyed_table_and_resumable_ingest(spark, tmp_path):
 def test_first_by_needs_no_order_of_input(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 3).repartition(7)
     assert sorted((r.k, r.id) for r in first_by(df, ["k"], F.col("id").desc()).collect()) == [(0, 99), (1, 97), (2, 98)]
+
+
+def test_a_load_killed_before_the_switch_changes_nothing(spark, tmp_path, monkeypatch):
+    held = sinks.KeyedTable(spark, f"file://{tmp_path}/keyed", "k", "s")
+    held.upsert(spark.createDataFrame([(1, 1, "a")], "k long, s long, v string"))
+
+    def killed(self, beside):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks.KeyedTable, "_switch", killed)
+        try:
+            held.upsert(spark.createDataFrame([(1, 2, "b")], "k long, s long, v string"))
+        except RuntimeError:
+            pass
+    assert [r.v for r in held.read().collect()] == ["a"]
+    held.upsert(spark.createDataFrame([(1, 3, "c")], "k long, s long, v string"))
+    assert [r.v for r in held.read().collect()] == ["c"]
