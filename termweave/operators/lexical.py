@@ -27,14 +27,20 @@ def tf_norm(tf: Column, length: Column, mean: Column, k1: float = K1, b: float =
     return tf / (tf + k1 * (1.0 - b + b * length / mean))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over at least as many partitions as there are cores; a table of many files stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 def corpus_stats(docs: DataFrame, text: str = "concept_name") -> DataFrame:
     """One row: number of documents (n) and their mean length in tokens (mean)."""
-    return docs.select(F.size(tokens(F.col(text))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    return spread(docs.select(text)).select(F.size(tokens(F.col(text))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
 
 
 def term_stats(docs: DataFrame, text: str = "concept_name") -> DataFrame:
     """Documents (df) and occurrences (cf) for each token."""
-    found = docs.select("concept_id", F.explode(tokens(F.col(text))).alias("token"))
+    found = spread(docs.select("concept_id", text)).select("concept_id", F.explode(tokens(F.col(text))).alias("token"))
     return found.groupBy("concept_id", "token").agg(F.count("*").alias("tf")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -65,15 +71,17 @@ class LexicalIndex:
 
     @staticmethod
     def build(entities: DataFrame, docs: DataFrame) -> LexicalIndex:
-        """One scan of the corpus makes the postings, and one its two statistics."""
+        """One scan of the corpus makes the postings and its two statistics, which come from a posting of each document without a token."""
         asked = staged(_terms(entities), "terms")
         terms = staged(asked.select("token").distinct(), "tokens")
-        words = docs.select("concept_id", "domain_id", tokens(F.col("concept_name")).alias("w"))
-        words = words.select("concept_id", "domain_id", F.size("w").alias("len"), F.explode("w").alias("token"))
-        few = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
-        postings = words.join(few, "token", "left_semi").groupBy("concept_id", "domain_id", "len", "token").agg(F.count("*").cast("double").alias("tf"))
-        postings = staged(postings, "postings")
-        stats = F.broadcast(corpus_stats(docs))  # one row
+        words = spread(docs.select("concept_id", "domain_id", "concept_name")).select("concept_id", "domain_id", tokens(F.col("concept_name")).alias("w"))
+        words = words.select("concept_id", "domain_id", F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("token"))  # no token is empty
+        few = terms.union(terms.sparkSession.range(1).select(F.lit("")))
+        few = F.broadcast(few) if terms.count() <= MOST_TERMS else few
+        made = words.join(few, "token", "left_semi").groupBy("concept_id", "domain_id", "len", "token").agg(F.count("*").cast("double").alias("tf"))
+        made = staged(made, "postings")
+        postings = made.where("token <> ''")
+        stats = F.broadcast(made.where("token = ''").agg(F.sum("tf").cast("long").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("mean")))  # one row
         weights = postings.groupBy("token").agg(F.count("*").alias("df")).join(stats)
         return LexicalIndex(entities, docs, asked, postings, staged(weights.select("token", "df", "mean", idf(F.col("n"), F.col("df")).alias("idf")), "weights"))
 
@@ -114,7 +122,7 @@ def phrase_scores(entities: DataFrame, docs: DataFrame, pairs: DataFrame, index:
     whole = asked.join(weight, "token").groupBy("entity_id", "asked_tokens", "mean").agg(F.sum("idf").alias("idf"), F.count("*").alias("known"))
     whole = whole.where(F.col("known") == F.size("asked_tokens"))
     full = pairs.where(F.col("matched") == F.col("n_terms")).select("entity_id", "concept_id")
-    rows = full.join(whole, "entity_id").join(docs.select("concept_id", tokens(F.col("concept_name")).alias("words")), "concept_id")
+    rows = full.join(whole, "entity_id").join(docs.select("concept_id", "concept_name"), "concept_id").withColumn("words", tokens(F.col("concept_name")))
     m = F.size("asked_tokens")
     last = F.size("words") - m
     times = F.when(last >= 0, F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice("words", i + 1, m) == F.col("asked_tokens")))).otherwise(0)
