@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.text import least_matches, normalize_query, tokens
 from termweave.operators.dedup import top_by
-from termweave.sources.sinks import staged
+from termweave.sources.sinks import spread, staged
 
 K1, B = 0.9, 0.5
 #: What a keyword's term frequency part comes to with the default parameters: 1 / (1 + 1.2).
@@ -27,12 +27,6 @@ def tf_norm(tf: Column, length: Column, mean: Column, k1: float = K1, b: float =
     return tf / (tf + k1 * (1.0 - b + b * length / mean))
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over at least as many partitions as there are cores; a table of many files stays as it is."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
-
-
 def corpus_stats(docs: DataFrame, text: str = "concept_name") -> DataFrame:
     """One row: number of documents (n) and their mean length in tokens (mean)."""
     return spread(docs.select(text)).select(F.size(tokens(F.col(text))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
@@ -122,7 +116,9 @@ def phrase_scores(entities: DataFrame, docs: DataFrame, pairs: DataFrame, index:
     whole = asked.join(weight, "token").groupBy("entity_id", "asked_tokens", "mean").agg(F.sum("idf").alias("idf"), F.count("*").alias("known"))
     whole = whole.where(F.col("known") == F.size("asked_tokens"))
     full = pairs.where(F.col("matched") == F.col("n_terms")).select("entity_id", "concept_id")
-    rows = full.join(whole, "entity_id").join(docs.select("concept_id", "concept_name"), "concept_id").withColumn("words", tokens(F.col("concept_name")))
+    rows = full.join(whole, "entity_id").join(docs.select("concept_id", "concept_name"), "concept_id")
+    # Generated, so that the filter below doesn't split the text again at every place.
+    rows = rows.withColumn("words", F.explode(F.array(tokens(F.col("concept_name"))))).drop("concept_name")
     m = F.size("asked_tokens")
     last = F.size("words") - m
     times = F.when(last >= 0, F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice("words", i + 1, m) == F.col("asked_tokens")))).otherwise(0)
@@ -131,11 +127,17 @@ def phrase_scores(entities: DataFrame, docs: DataFrame, pairs: DataFrame, index:
 
 
 def exact_scores(entities: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity_id, concept_id, exact: keyword score of names equal to the query, in the asked domain."""
-    names = docs.select("concept_id", "domain_id", F.lower("concept_name").alias("asked"))
+    """entity_id, concept_id, exact: keyword score of names equal to the query, in the asked domain.
+
+    Names that nobody asks for are dropped by a scan; only those asked for are counted.
+    """
+    asked = _asked(entities).select("entity_id", "asked", "asked_domain")
+    few = asked.select("asked").distinct()
+    few = F.broadcast(few) if few.count() <= MOST_TERMS else few
+    names = docs.select("concept_id", "domain_id", F.lower("concept_name").alias("asked")).join(few, "asked", "left_semi")
     count = names.groupBy("asked").agg(F.count("*").alias("df"))
     n = F.broadcast(docs.agg(F.count("*").alias("n")))
-    hits = _asked(entities).select("entity_id", "asked", "asked_domain").join(names, "asked").where(F.col("asked_domain").isNull() | (F.col("asked_domain") == F.col("domain_id")))
+    hits = asked.join(names, "asked").where(F.col("asked_domain").isNull() | (F.col("asked_domain") == F.col("domain_id")))
     return hits.join(count, "asked").join(n).select("entity_id", "concept_id", (idf(F.col("n"), F.col("df")) * KEYWORD_TF).alias("exact"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.numbers import dot, norm, unit_score
 from termweave.operators.dedup import top_by
+from termweave.sources.sinks import spread
 
 #: Query vectors that are broadcast; beyond, queries go in blocks of so many.
 MOST_QUERIES = 50_000
@@ -19,7 +20,7 @@ def cosine_pairs(queries: DataFrame, corpus: DataFrame, by_domain: bool = True)
     are computed once a row. Queries are broadcast in blocks of bounded size, so the
     corpus is read once for each block and never shuffled.
     """
-    rows = corpus.select("vec_id", "vector", "domain", norm(F.col("vector")).alias("size")).where("size > 0")
+    rows = spread(corpus).select("vec_id", "vector", "domain", norm(F.col("vector")).alias("size")).where("size > 0")
     asked = queries.select("query_id", F.col("vector").alias("asked"), F.col("domain").alias("asked_domain"), norm(F.col("vector")).alias("asked_size")).where("asked_size > 0")
     blocks = -(-asked.count() // MOST_QUERIES) or 1
     fits = (F.col("query_id") != F.col("vec_id")) & (F.size("asked") == F.size("vector"))

@@ -8,7 +8,7 @@ from termweave.functions import numbers, text
 from termweave.operators import lexical, retrieve, vector
 from termweave.operators.dedup import dedup_by_concept, top_by
 from termweave.plans.tables import CONCEPT, concept, corpus, entities, query, r6, table, vectors, words
-from termweave.sources.sinks import staged
+from termweave.sources.sinks import spread, staged
 
 #: Tokens, statistics and BM25 of documents for the benchmark's items.
 BM25 = f"""d AS (SELECT doc_id, lang, lower(text) AS name, {words("text")} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
@@ -113,7 +113,7 @@ def _cosines(spark, d):
     v = vectors(spark, d).withColumnRenamed("vec_id", "at").drop("domain")
     of = lambda df, key: df.join(F.broadcast(n)).withColumn("at", F.col(key) % F.col("n")).join(v, "at")  # noqa: E731  n is one row
     asked = of(entities(spark, d).select("entity_id", "domain_id"), "entity_id").select((-1 - F.col("entity_id")).alias("query_id"), "vector", F.lit("").alias("domain"))
-    docs = of(corpus(spark, d).select("concept_id", "domain_id"), "concept_id").select(F.col("concept_id").alias("vec_id"), "vector", F.lit("").alias("domain"))
+    docs = of(spread(corpus(spark, d).select("concept_id", "domain_id")), "concept_id").select(F.col("concept_id").alias("vec_id"), "vector", F.lit("").alias("domain"))
     return vector.cosine_pairs(asked, docs).select((-1 - F.col("query_id")).alias("entity_id"), F.col("vec_id").alias("concept_id"), "cosine")
 
 
