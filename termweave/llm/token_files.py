@@ -1,10 +1,13 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
-Files hold record batches of two fixed-size-list columns, ``ids`` and ``mask``.
+Files hold record batches of two columns of fixed-size lists, ``ids`` and ``mask``.
 The documents' ids follow each other without gaps; each file's last sequence is
-padded and its mask is false there. A token at offset ``t`` of a file lies in
-sequence ``t // seq_len``, so a memory-mapped file gives any range of tokens, any
-sequence and any mask without copying or decoding.
+padded and its mask is 0 there. Masks are lists of bytes, each stored once in the
+column's dictionary: that of whole sequences, and that of the last one. A token at
+offset ``t`` of a file lies in sequence ``t // seq_len``, so a memory-mapped file gives
+any sequence, any mask and any range of tokens within a record batch without copying
+or decoding. A folder also holds the files of tasks that failed or were repeated; the
+manifest alone says which files count.
 
 Null texts count as empty; a document always holds at least the end id. Documents
 are ordered by id (nulls first), and equal ids by a hash of their text. Repeated
@@ -127,8 +130,8 @@ class SequenceFile:
     def __init__(self, sink, dtype: str, seq_len: int):
         self.seq_len, self.dtype = seq_len, np.dtype(dtype)
         self.kind = pa.from_numpy_dtype(self.dtype)
-        self.schema = pa.schema([("ids", pa.list_(self.kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
-        self.writer = pa.ipc.new_file(sink, self.schema)
+        self.schema = pa.schema([("ids", pa.list_(self.kind, seq_len)), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), seq_len)))])
+        self.writer = pa.ipc.new_file(sink, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.total, self.held, self.size = 0, [], 0
 
     def add(self, ids: bytes) -> int:
@@ -150,9 +153,12 @@ class SequenceFile:
             rows = -(-len(block) // self.seq_len)
             ids = np.zeros(rows * self.seq_len, self.dtype)
             ids[: len(block)] = block
-            mask = np.arange(rows * self.seq_len) < len(block)
-            cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
-            self.writer.write_batch(pa.record_batch(cols, schema=self.schema))
+            masks, which = np.ones(self.seq_len, np.uint8), np.zeros(rows, np.int32)
+            if len(block) < len(ids):  # the file's last sequence
+                masks = np.concatenate([masks, (np.arange(self.seq_len) < len(block) % self.seq_len).astype(np.uint8)])
+                which[-1] = 1
+            ids, masks = (pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, masks))
+            self.writer.write_batch(pa.record_batch([ids, pa.DictionaryArray.from_arrays(pa.array(which), masks)], schema=self.schema))
             cut += len(block)
         self.held, self.size = [flat[cut:].tobytes()], len(flat) - cut
 
@@ -189,11 +195,12 @@ class SequenceReader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, "<u2")
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence ``i`` and its mask."""
+        """Sequence ``i`` and its boolean mask, both views of the file."""
         k, row = divmod(i, BATCH_ROWS)
-        values = self._load(k)
-        mask = self.batch[2].column(1)[row].values
-        return values[row * self.seq_len : (row + 1) * self.seq_len], np.asarray(mask)
+        values, mask = self._load(k), self.batch[2].column(1)
+        masks = mask.dictionary.flatten().to_numpy(zero_copy_only=True).view(np.bool_)
+        cut = lambda flat, at: flat[at * self.seq_len : (at + 1) * self.seq_len]
+        return cut(values, row), cut(masks, mask.indices[row].as_py())
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, seq_len: int):

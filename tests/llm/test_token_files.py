@@ -50,11 +50,26 @@ def test_sequences_and_masks(spark, data):
         last = -(-total // 64) - 1
         ids, mask = reader.sequence(last)
         assert len(ids) == len(mask) == 64 and mask.sum() == total - last * 64 and not ids[~mask].any()
+        assert not ids.flags.owndata and not mask.flags.owndata
         if last:
             ids, mask = reader.sequence(0)
             assert mask.all() and ids.tolist() == reader.tokens(0, 64).tolist() and not reader.tokens(0, 64).flags.owndata
 
 
+def test_files_of_many_batches_have_two_masks(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BATCH_ROWS", 4)
+    for n in (1, 7, 8, 32, 33, 95, 96, 100):
+        with (tmp_path / str(n)).open("wb") as sink:
+            out = token_files.SequenceFile(sink, "<u2", 8)
+            assert [out.add(np.arange(a, min(a + 3, n), dtype="<u2").tobytes()) for a in range(0, n, 3)] == list(range(0, n, 3))
+            out.close()
+        reader = token_files.SequenceReader(f"file://{tmp_path}/{n}")
+        got = [reader.sequence(i) for i in range(-(-n // 8))]
+        assert np.concatenate([ids[mask] for ids, mask in got]).tolist() == list(range(n))
+        assert not any(x.flags.owndata for pair in got for x in pair)
+        assert reader.tokens(0, n).tolist() == list(range(n))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = token_files.read_digests(token_files.write_tokens(odd_docs, PATH)).collect()
     rows = odd_docs.select("doc_id", "text").collect()
