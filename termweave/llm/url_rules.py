@@ -5,9 +5,10 @@ hosts at and below a rule's host are exactly the keys of one interval. The rules
 interval starts and ends, and the URLs, are sorted together; a sweep in that order
 keeps the stack of the rules whose intervals are open. Intervals of hosts nest or
 are disjoint, so the stack after a start or an end is known from the rules alone
-and rides on that event; the sweep is one window function. Each fragment of the
-URLs, dealt by a hash of the row, sweeps all rules, so that no host is ever too
-large for a task: rules cost ``2 * rules * fragments`` rows.
+and rides on that event; the sweep is one window function. URLs and events are dealt
+by range of (key, row), so a host with any share of all rows, or one row repeated,
+spreads over many tasks; the stack that is open where a range begins is carried into
+it in one row. Rules cost ``2 * rules + ranges`` rows.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and
 gets the default verdict; repeated rows and null ids are kept; an empty rule table
@@ -63,22 +64,26 @@ def rule_events(rules: DataFrame) -> DataFrame:
     return chain.select(F.col("k").alias("key"), F.col("inside").alias("stack")).unionByName(chain.select(after.alias("key"), F.col("outside").alias("stack")))
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", fragments: int | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", ranges: int | None = None) -> DataFrame:
     """id, host, path, rule and verdict of every row of ``pages``."""
-    n = fragments or 4 * store.partitions(pages.sparkSession)
     host, path = url_parts(F.col("_url"))
     points = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
-    points = points.select("_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("_id", "_url"), F.lit(n)).cast("int").alias("part"))
+    points = points.select("_id", host.alias("host"), path.alias("path"))
     events = rule_events(rules)
-    events = events.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    stack_type = events.schema["stack"].dataType
     none = F.lit(None)
-    both = points.select("part", _key(F.col("host")).alias("key"), F.lit(1).alias("is_url"), "_id", "host", "path", none.cast(stack_type).alias("stack")).unionByName(
-        events.select("part", "key", F.lit(0).alias("is_url"), none.cast(points.schema["_id"].dataType).alias("_id"), none.cast("string").alias("host"), none.cast("string").alias("path"), "stack")
+    both = points.select(_key(F.col("host")).alias("key"), F.lit(1).alias("is_url"), F.monotonically_increasing_id().alias("row"), "_id", "host", "path", none.cast(events.schema["stack"].dataType).alias("stack")).unionByName(
+        events.select("key", F.lit(0).alias("is_url"), F.lit(0).cast("long").alias("row"), none.cast(points.schema["_id"].dataType).alias("_id"), none.cast("string").alias("host"), none.cast("string").alias("path"), "stack")
     )
+    both = both.repartitionByRange(ranges or store.partitions(pages.sparkSession), "key", "is_url", "row").drop("row").withColumn("part", F.spark_partition_id())
+    both = store.materialize(both, "urls")  # from here on the ranges are fixed
+
+    last = both.groupBy("part").agg(F.max_by("stack", F.when(F.col("is_url") == 0, F.col("key"))).alias("last"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.broadcast(last.select("part", F.last("last", ignorenulls=True).over(before).alias("carried")))  # a row for each range
+
     sweep = Window.partitionBy("part").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = both.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("is_url = 1")
-    best = F.array_max(F.filter("open", lambda r: F.startswith(F.col("path"), r["path"])))  # by size, host_size, action
+    swept = both.withColumn("near", F.last("stack", ignorenulls=True).over(sweep)).where("is_url = 1").join(carried, "part")
+    best = F.array_max(F.filter(F.coalesce("near", "carried"), lambda r: F.startswith(F.col("path"), r["path"])))  # by size, host_size, action
     return swept.withColumn("best", best).select(
         F.col("_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
     )

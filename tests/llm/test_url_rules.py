@@ -33,7 +33,22 @@ def test_against_brute_force(spark):
     rules = RULES + [(".".join(draw.choices(labels, k=draw.randint(1, 3))), draw.choice(paths[1:5]), draw.choice(["allow", "block"])) for _ in range(30)]
     pages = spark.createDataFrame([(i // 2, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = rows(url_rules.judge(pages, spark.createDataFrame(rules, "host string, path string, action string")))
-    assert got == sorted(((i // 2, *brute(u, rules)) for i, u in enumerate(urls)), key=repr)
+    want = sorted(((i // 2, *brute(u, rules)) for i, u in enumerate(urls)), key=repr)
+    assert got == want
+    for ranges in (1, 3, 60):
+        assert rows(url_rules.judge(pages, spark.createDataFrame(rules, "host string, path string, action string"), ranges=ranges)) == want
+
+
+def test_a_hot_host_and_a_repeated_row_spread_over_ranges(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    urls = ["http://a.example.net/en/x"] * 400 + [None] * 400 + ["http://zz.net/"] * 3
+    pages = spark.createDataFrame([(None, u) for u in urls], "page_id long, url string").repartition(4)
+    found = url_rules.judge(pages, rules, ranges=16)
+    assert rows(found) == sorted(((None, *brute(u, RULES)) for u in urls), key=repr)
+    written = spark.read.parquet(found.inputFiles()[0].rsplit("/", 1)[0])
+    assert max(r["count"] for r in written.where("is_url = 1").groupBy("part").count().collect()) < len(urls) / 4
+    assert written.where("is_url = 0").count() == 2 * len(RULES)  # no copy of the rules for each range
+
 
 
 def test_nulls_repeats_and_empty_tables(spark):
