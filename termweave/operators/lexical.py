@@ -158,13 +158,33 @@ def lexical_topk(entities: DataFrame, docs: DataFrame, k: int = 3, index: Lexica
     return top_by(text_scores(entities, docs, index=index), ["entity_id"], k, F.round("score", 9).desc(), F.col("concept_id").asc(), rank="rank")
 
 
+def _piece(size: Column, i: Column, of: Column) -> tuple[Column, Column]:
+    """Start and length of piece ``i`` of a text of ``size`` letters in ``of`` even pieces."""
+    start = F.floor(i * size / of).cast("int")
+    return start, F.floor((i + 1) * size / of).cast("int") - start
+
+
 def fuzzy_scores(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs of query (query) and document within an edit distance that its length allows: 0 below 3 letters, 1 up to 5, else 2.
 
-    Only names whose lengths differ by no more than that meet.
+    Of a name cut into one piece more than there may be edits, some piece stands
+    unchanged in the query, moved by no more places than that. So names meet queries
+    by (edits, length, piece) and only those that share one are compared. A row
+    stands for a document, name and query.
     """
-    allowed = F.when(F.length("query") < 3, 0).when(F.length("query") <= 5, 1).otherwise(2)
-    asked = queries.withColumn("allowed", allowed).withColumn("len", F.explode(F.sequence(F.length("query") - F.col("allowed"), F.length("query") + F.col("allowed"))))
-    rows = docs.select(key, F.lower(text).alias("name")).withColumn("len", F.length("name"))
-    pairs = rows.join(asked, "len").withColumn("distance", F.levenshtein("name", "query"))
-    return pairs.where(F.col("distance") <= F.col("allowed")).drop("len", "allowed")
+    names = docs.select(key, F.lower(text).alias("name"))
+    pieces = []
+    for allowed in range(3):
+        for i in range(allowed + 1):
+            start, size = _piece(F.length("name"), F.lit(i), F.lit(allowed + 1))
+            pieces.append(F.struct(F.lit(allowed).alias("allowed"), F.lit(i).alias("i"), F.substr("name", start + 1, size).alias("piece")))
+    rows = names.select(key, "name", F.length("name").alias("len"), F.explode(F.array(*pieces)).alias("p")).select(key, "name", "len", "p.*")
+
+    length, k = F.length("query"), F.col("allowed")
+    asked = queries.withColumn("allowed", F.when(length < 3, 0).when(length <= 5, 1).otherwise(2))
+    asked = asked.withColumn("len", F.explode(F.sequence(F.greatest(length - k, F.lit(0)), length + k))).withColumn("i", F.explode(F.sequence(F.lit(0), k))).withColumn("moved", F.explode(F.sequence(-k, k)))
+    start, size = _piece(F.col("len"), F.col("i"), k + 1)
+    at = start + F.col("moved")
+    asked = asked.where((at >= 0) & (at + size <= length)).withColumn("piece", F.substr("query", at + 1, size)).drop("moved").distinct()
+    pairs = rows.join(asked, ["allowed", "len", "i", "piece"]).drop("i", "piece", "len").distinct()
+    return pairs.withColumn("distance", F.levenshtein("name", "query")).where(F.col("distance") <= F.col("allowed")).drop("allowed")

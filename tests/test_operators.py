@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -142,3 +144,22 @@ def test_page_without_a_limit(spark):
     want = sorted((r.a, r.id) for r in df.collect())
     for skip in (0, 1, 503, 999, 1000, 5000):
         assert [tuple(r) for r in batch.page(df, skip, None, df["a"].asc(), df["id"].asc()).collect()] == want[skip:]
+
+
+def test_fuzzy_pairs_equal_all_pairs(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abc", k=draw.randint(0, 9)))
+    names, asked = [(i, word()) for i in range(300)] + [(300, None)], sorted({word() for _ in range(60)})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    found = lexical.fuzzy_scores(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame(names, "k int, n string"), "k", "n")
+    got = sorted((r.k, r.query, r.distance) for r in found.collect())
+    most = lambda q: 0 if len(q) < 3 else 1 if len(q) <= 5 else 2
+    assert got == sorted((k, q, distance(n, q)) for k, n in names if n is not None for q in asked if distance(n, q) <= most(q))
