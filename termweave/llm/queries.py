@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import decontaminate, jaccard_join, license_scan, revisits, secret_scan, sp_dropout, token_files, topk_search, toxicity, url_rules
+from termweave.llm import decontaminate, fill_middle, jaccard_join, license_scan, mixing, revisits, secret_scan, sp_dropout, store, token_files, topk_search, toxicity, url_rules, vector_codes
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -98,8 +98,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, keep=("doc_id",))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1, percent=90, spm_percent=20)
+    digest = lambda c: F.sha2(c, 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256, keep=("vec_id", "label"))
+    found = vector_codes.label_errors(store.materialize(coded, "coded"))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
-    found = (op1_url_filter, op2_revisits, op3_secrets, op4_decontaminate, op5_jaccard, op6_sentencepiece, op7_topk, op8_licenses, op9_token_files, op10_toxicity)
+    found = (
+        op1_url_filter, op2_revisits, op3_secrets, op4_decontaminate, op5_jaccard, op6_sentencepiece, op7_topk, op8_licenses, op9_token_files, op10_toxicity,
+        op11_mixing, op12_fill_middle, op13_vector_codes,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -107,6 +127,52 @@ _URL_CASES = """
   CASE WHEN under_net_en THEN 'example.net/en/' WHEN under_com_de THEN 'example.com/de/' WHEN under_org_fr THEN 'org/fr/' WHEN under_net THEN 'net/' END"""
 
 
+def _mixing_sql() -> str:
+    """Targets by trial of every possible set of full sources, copies by the sum at each document, tier after tier."""
+    bits = "('0x' || substr(md5('11/' || coalesce(source, '')), 1, 8))"
+    tiers, last = "", "t0"
+    for t, (low, high) in enumerate(((0, 1), (1, 2), (2, 3))):
+        rest, over = f"(source_size - w{low})", f"(num - den * {' - den * '.join(['0', *(f'r{i}' for i in range(1, t + 1))])})"
+        offset = f"CAST({bits} AS BIGINT) * down0 // 4294967296" if t == 0 else f"((up{t - 1} * (n{t} - n{t - 1}) + offset{t - 1}) % down{t - 1}) * down{t} // down{t - 1}"
+        copies = f"((i - n{low} + 1) * up{t} + offset{t}) // down{t} - ((i - n{low}) * up{t} + offset{t}) // down{t}"
+        tiers += f"""
+a{t} AS (SELECT *, CAST(CASE WHEN {rest} <= 0 OR {over} <= 0 THEN 0 WHEN {over} >= 3 * den * {rest} THEN 3 ELSE {over} END AS HUGEINT) AS up{t}, CAST(CASE WHEN {rest} <= 0 OR {over} <= 0 OR {over} >= 3 * den * {rest} THEN 1 ELSE den * {rest} END AS HUGEINT) AS down{t} FROM {last}),
+b{t} AS (SELECT *, CAST({offset} AS HUGEINT) AS offset{t} FROM a{t}),
+c{t} AS (SELECT doc_id, source, size, CAST({copies} AS BIGINT) AS copies FROM o JOIN b{t} USING (source) WHERE i >= n{low} AND i < n{high}),
+t{t + 1} AS (SELECT b{t}.*, coalesce(r, 0) AS r{t + 1} FROM b{t} LEFT JOIN (SELECT source, CAST(sum(size * copies) AS HUGEINT) AS r FROM c{t} GROUP BY source) USING (source)),"""
+        last = f"t{t + 1}"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(1114111)) AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY size DESC, md5('11:' || doc_id) NULLS FIRST) - 1 AS HUGEINT) AS i, sum(size) OVER (PARTITION BY source ORDER BY length(bin(size)) DESC) AS upto, sum(size) OVER (PARTITION BY source) AS whole FROM d),
+s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS source_size, 0 AS n0, count(*) FILTER (upto * 8 <= whole * 4) AS n1, count(*) FILTER (upto * 8 <= whole * 7) AS n2, count(*) AS n3,
+        0 AS w0, coalesce(sum(size) FILTER (upto * 8 <= whole * 4), 0) AS w1, coalesce(sum(size) FILTER (upto * 8 <= whole * 7), 0) AS w2 FROM o GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source) - 1) % 3 + 1] AS weight FROM s),
+v AS (SELECT *, 3 * source_size / weight AS ratio FROM w),
+k AS (SELECT l, (SELECT sum(source_size) - coalesce(sum(3 * source_size) FILTER (ratio <= l), 0) FROM v) AS shared, (SELECT sum(weight) FILTER (ratio > l) FROM v) AS open, (SELECT min(ratio) FILTER (ratio > l) FROM v) AS next FROM (SELECT -1.0 AS l UNION SELECT ratio FROM v)),
+g AS (SELECT * FROM k WHERE open IS NULL OR shared / open <= next ORDER BY l LIMIT 1),
+t0 AS (SELECT v.*, CAST(CASE WHEN ratio <= l THEN 3 * source_size ELSE shared * weight END AS HUGEINT) AS num, CAST(CASE WHEN ratio <= l THEN 1 ELSE open END AS HUGEINT) AS den FROM v CROSS JOIN g),{tiers}
+every AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(num AS DOUBLE) / CAST(den AS DOUBLE) AS target, size * copies AS taken FROM every JOIN t0 USING (source)"""
+
+
+def _codes_sql() -> str:
+    """Two rounds of assignment to 64 entries a part, each from all rows."""
+    near = lambda book: f"SELECT vec_id, p, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.vec_id, v.p, k, CAST(list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v JOIN {book} b USING (p)) GROUP BY ALL"
+    moved = lambda book, by: (
+        f"SELECT p, k, coalesce(list(CAST(floor(s / n) AS BIGINT) ORDER BY pos), any_value(b.x)) AS x FROM {book} b LEFT JOIN (SELECT p, k, pos, sum(x[pos]) AS s, count(*) AS n FROM (SELECT {by}.p, {by}.k, v.x, unnest(range(1, len(v.x) + 1)) AS pos FROM {by} JOIN v USING (vec_id, p)) GROUP BY ALL) USING (p, k) GROUP BY p, k"
+    )
+    return f"""
+WITH q AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, label, p, x[p * len(x) // 16 + 1 : (p + 1) * len(x) // 16] AS x FROM (SELECT *, unnest(range(16)) AS p FROM q)),
+b0 AS (SELECT v.p, k, v.x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM q ORDER BY vec_id LIMIT 64) USING (vec_id)),
+n0 AS MATERIALIZED ({near("b0")}), b1 AS MATERIALIZED ({moved("b0", "n0")}),
+n1 AS MATERIALIZED ({near("b1")}), b2 AS MATERIALIZED ({moved("b1", "n1")}),
+n2 AS MATERIALIZED ({near("b2")}),
+c AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n2 GROUP BY vec_id),
+e AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN q USING (vec_id) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) FROM b2) AS codebooks_sha256 FROM c JOIN q USING (vec_id) JOIN e ON q.label IS NOT DISTINCT FROM e.label"""
+
+
 def oracle_sql() -> dict[str, str]:
     mask = lambda m, at: ", ".join(f"w[{at} + {i + 1}]" for i, bit in enumerate(m) if bit == "1")
     seeds = lambda src, key: " UNION ALL ".join(f"SELECT {key}, p, '{m}' AS mask, {len(m)} AS span, [{mask(m, 'p')}] AS seed FROM (SELECT *, unnest(range(0, n - {len(m)} + 1)) AS p FROM {src} WHERE n >= {len(m)})" for m in decontaminate.MASKS)
@@ -163,4 +229,14 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+        "op11_mixing": _mixing_sql(),
+        "op12_fill_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+        "op13_vector_codes": _codes_sql(),
     }
