@@ -17,7 +17,12 @@ Defined cases: vectors that are null or hold null or non-finite components take
 part; nor do rows with a null id; vectors of another length than the query's are no
 candidates, and vectors of no components have no results; a query's own id is no
 candidate; repeated rows count once, and of several vectors of one id the least
-counts. Ties go to the smaller id. Scores are exact; one that no long can hold raises.
+counts. Ties go to the smaller id. Scores are exact; one that no long can hold raises,
+as does a scaled component of 2^62 or more.
+
+What a row still lacks is kept as a whole number, so nothing is lost to rounding; sums
+of squares that no long can hold make the search rescore all rows instead. Bounds
+are widened by more than their doubles can be off.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.llm import store
+
 #: Bytes of a shard's components and of the scores of the queries taken at a time; queries of a block.
 SHARD_BYTES, SCORE_BYTES, BLOCK = 32_000_000, 32_000_000, 8_192
 RESULT = "query_id long, vec_id long, score long"
@@ -34,7 +41,8 @@ RESULT = "query_id long, vec_id long, score long"
 def quantised(vector: Column, scale: float = 64.0) -> Column:
     """floor(scale * x) of each component; null for a vector that takes no part."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(whole, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double"))))
+    large = F.raise_error(F.lit("a component is too large for its posting")).cast("long")
+    return F.when(whole, F.transform(vector, lambda x: F.when(F.abs(x.cast("double")) * scale < 2.0**62, F.floor(F.lit(scale) * x.cast("double"))).otherwise(large)))
 
 
 class ImpactIndex:
@@ -56,7 +64,7 @@ class ImpactIndex:
     def search(self, queries: np.ndarray, own: np.ndarray, k: int):
         """For each query the positions and exact scores of its best k rows, ties to the smaller id."""
         weight = np.abs(queries.astype(np.float64))
-        if float(weight.max(initial=0)) * self.largest * max(1, queries.shape[1]) >= 2.0**62:
+        if max(float(weight.max(initial=0)), self.largest) * self.largest * max(1, queries.shape[1]) >= 2.0**62:
             possible = own[:, None] != self.ids[None, :]  # beyond what longs can add up
             yield from self._rescored(self.rows.astype(object), queries.astype(object), possible, k)
             return
@@ -64,7 +72,7 @@ class ImpactIndex:
         q, value = (x.astype(np.int32 if small else np.int64) for x in (queries, self.value))
         norm = np.sqrt((weight**2).sum(1))
         score = np.zeros((len(self.rows), len(queries)), q.dtype)  # a posting's row of it lies together
-        rest = (self.rows.astype(np.float64) ** 2).sum(1)
+        rest = (self.rows**2).sum(1)  # exact: below 2^62
         skip = self.ids[:, None] == own[None, :]
         possible, at = ~skip, min(k, len(self.rows)) - 1
         height = self.impact / 2 + np.log2(np.maximum(weight.max(0), 1e-300))[self.dim]
@@ -74,12 +82,12 @@ class ImpactIndex:
         for n, s in enumerate(order.tolist()):
             r, v = self.row[self.start[s] : self.end[s]], value[self.start[s] : self.end[s]]
             score[r] += v[:, None] * q[None, :, self.dim[s]]
-            rest[r] -= v.astype(np.float64) ** 2
+            rest[r] -= v.astype(np.int64) ** 2
             done += len(r)
             if done >= tried * of or n + 1 == len(order):
                 tried += 0.1
-                left = np.sqrt(np.maximum(rest, 0.0)) if done < of else np.zeros(len(rest))
-                bound = left[:, None] * norm[None, :] * (1 + 1e-9) + (1e-3 if done < of else 0)
+                # A double is off by less than 1e-15 of its value; wider bounds can only keep more rows.
+                bound = np.sqrt(rest.astype(np.float64))[:, None] * norm[None, :] * (1 + 1e-9) + np.abs(score.astype(np.float64)) * 1e-12
                 low = np.where(skip, -np.inf, score - bound)
                 least = -np.partition(-low, at, axis=0)[at]  # k rows are proven to score as much
                 possible = (score + bound >= least[None, :]) & ~skip
@@ -117,6 +125,7 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
     spark = rows.sparkSession
     ready = rows.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked"))
     ready = ready.where("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked")).withColumn("width", F.size("vector")).where("width > 0")
+    ready = store.materialize(ready, "quantised")  # a shuffle of all vectors, read again by both sides and counted
     n, asked, widest = ready.agg(F.count("*"), F.count(F.when(F.col("asked"), 1)), F.coalesce(F.max("width"), F.lit(1))).first()
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 4096))
     shards, blocks = max(1, least, -(-n * 8 * widest // SHARD_BYTES)), max(1, -(-asked // BLOCK))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from termweave.llm import topk_search
@@ -63,3 +64,23 @@ def test_repeated_ids_and_large_components(spark):
     assert found(spark, rows) == brute([rows[1], *rows[2:]], 5, 4)
     rows = [(0, [2.0**44, 1.0]), (1, [3.0, 1.0]), (2, [0.5, 2.0**46]), (3, [2.0**-6, 1.5])]
     assert found(spark, rows) == brute(rows, 5, 4)
+
+
+def test_bounds_hold_for_large_components_and_small_queries(spark):
+    draw = np.random.RandomState(12)
+    for top in (4, 2**10, 2**20, 2**27, 2**29, 2**30):
+        rows = draw.randint(-top, top + 1, (200, 4)).astype(np.int64)
+        rows[::2, 1:] = draw.randint(-3, 4, (100, 3))
+        queries = draw.randint(-3, 4, (60, 4)).astype(np.int64)
+        queries[:20, 0] = 0
+        index = topk_search.ImpactIndex(np.arange(200), rows)
+        for q, (at, scores) in zip(queries, index.search(queries, np.full(60, -1), 5)):
+            want = np.lexsort((np.arange(200), -(rows @ q)))[:5]
+            assert at.tolist() == want.tolist() and scores.tolist() == (rows @ q)[want].tolist()
+    wide = [(i, [float(x) for x in v]) for i, v in enumerate(draw.randint(-(2**24), 2**24, (60, 4)).tolist())] + [(100 + 4 * i, [float(draw.choice([0, 0.02, -0.02])) for _ in range(4)]) for i in range(12)]
+    assert found(spark, wide) == brute(wide, 5, 4)
+
+
+def test_a_component_that_no_long_holds_raises(spark):
+    with pytest.raises(Exception, match="too large"):
+        found(spark, [(0, [1e300]), (1, [1.0])])
