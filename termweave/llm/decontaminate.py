@@ -94,12 +94,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, similarity:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, most_ids: int = 1_000_000, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no match; a null doc_id stays.
+    """The rows of ``docs`` without a match, judged by id and text; a null doc_id stays.
 
-    The ids found are broadcast up to ``most_ids`` and joined by shuffle beyond.
+    The rows found are broadcast up to ``most_ids`` and joined by shuffle beyond.
     """
     from termweave.llm import store
 
-    found = store.materialize(matches(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
+    row = F.struct(F.col("doc_id"), F.xxhash64(F.col("text")))
+    named = docs.where("doc_id is not null").select(row.alias("doc_id"), "text")
+    found = store.materialize(matches(named, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
     found = F.broadcast(found) if found.count() <= most_ids else found
-    return docs.join(found, "doc_id", "left_anti")
+    return docs.join(found, row == F.col("_leaked"), "left_anti")

@@ -384,13 +384,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _row(doc_id: str | Column, text: str | Column) -> Column:
+    """A name of the rows of one id and text."""
+    return F.xxhash64(doc_id, text)
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = 32, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the least doc_id that links of ``percent`` (1 to 100) lead to."""
+    return _grouped(docs, n, percent, id_col, text_col, most, exact).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text", most: int = 32, exact: bool = False) -> DataFrame:
+    """doc_id, row_id, n_shingles and, for rows that are linked or repeated, the group (root) and its component_id."""
     if not 1 <= percent <= 100:
         raise ValueError(f"percent must be from 1 to 100, not {percent}")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("row_id", F.coalesce("doc_id", F.xxhash64("text")))
+    docs = docs.withColumn("row_id", _row("doc_id", "text"))
     with store.scope(spark) as s:
         all_rows = s.keep(store.materialize(shingled(docs, n), "shingled"))
         # One text stands for each class.
@@ -400,13 +410,20 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
         root = classes.select("class", "name", "copies").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         root = store.materialize(root.join(_small(store.materialize(joined.select("root").distinct(), "roots")).withColumn("many", F.lit(True)), "root", "left").where("many or copies > 1"), "grouped")
         names = store.materialize(root.groupBy("root").agg(F.min("name").alias("component_id")), "names")
-        named = s.keep(store.materialize(root.select("class", "root").join(_small(names), "root").select("class", "component_id"), "named"))
-    out = all_rows.select("doc_id", "n_shingles", "class").join(_small(named), "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        named = s.keep(store.materialize(root.select("class", "root").join(_small(names), "root").select("class", "root", "component_id"), "named"))
+    return all_rows.select("doc_id", "row_id", "n_shingles", "class").join(_small(named), "class", "left").drop("class")
+
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: of the least id and, where texts of the group share that id, one text.
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, most_ids: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` that name their group; rows without an id stay."""
+    Rows that repeat both id and text are one document and stay or go together; rows
+    without an id stay. An id that stands for different texts is judged text by text.
+    """
     with store.scope(docs.sparkSession) as s:
-        drop = s.keep(store.materialize(groups(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
-    return docs.join(_small(drop, most_ids), "doc_id", "left_anti")
+        rows = store.materialize(_grouped(docs, n, percent).where("root is not null and doc_id is not null").select("doc_id", "row_id", "root", "component_id"), "linked")
+        first = store.materialize(rows.where("doc_id = component_id").groupBy("root").agg(F.min("row_id").alias("stays")), "first")
+        drop = rows.join(_small(first), "root").where("row_id <> stays").select("doc_id", "row_id").distinct()
+        drop = s.keep(store.materialize(drop.toDF("_dropped_id", "_dropped_row"), "copies"))
+    fits = (F.col("doc_id").cast("long") == F.col("_dropped_id")) & (_row(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("_dropped_row"))
+    return docs.join(_small(drop), fits, "left_anti")

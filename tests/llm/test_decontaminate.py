@@ -121,3 +121,10 @@ def test_short_items_with_substitutions(spark):
             docs.append((1000 * n + len(docs), " ".join(draw.choices(vocab, k=4) + passage + draw.choices(vocab, k=4))))
     want = {(i, i // 1000): (i // 1000 - i // 1000 // 5, 4) for i, _ in docs}
     assert found(decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))) == want
+
+
+def test_clean_judges_repeated_ids_by_text(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "nothing of it"), (1, f"before {item} after"), (2, item), (None, item)], "doc_id long, text string")
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((tuple(r) for r in kept), key=repr) == [(1, "nothing of it"), (None, item)]

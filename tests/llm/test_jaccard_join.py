@@ -125,6 +125,15 @@ def test_one_of_each(spark, odd_docs):
     assert jaccard_join.one_of_each(odd_docs).count() == odd_docs.count()
 
 
+def test_one_of_each_judges_repeated_ids_by_text(spark):
+    keep = lambda rows: sorted((tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert keep([(1, "a b c d e f"), (2, "x y z u v w"), (2, "a b c d e f")]) == [(1, "a b c d e f"), (2, "x y z u v w")]
+    near = ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y Z"]
+    assert len(keep([(1, near[0]), (1, near[1] + " end"), (3, near[0])])) == 1
+    same = "one two three four five"
+    assert keep([(4, same), (4, same), (None, same), (5, same)]) == [(4, same), (4, same), (None, same)]
+
+
 def test_components(spark):
     draw = random.Random(4)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
