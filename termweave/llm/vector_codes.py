@@ -17,7 +17,7 @@ nor do those whose length isn't that of the first kept row's, or if that can't b
 evenly. The rows of the least ids start the codebooks, null ids after all others, the
 lesser vector first among equal ids; with fewer rows there are fewer entries, an empty
 table has an empty result. Repeated rows count as often as they occur. Components whose
-scaled size reaches 2^52 raise. Ties go to the lower entry. Columns of the input that clash give way.
+scaled size reaches 2^52 raise, as does a row's distance that no long holds. Ties go to the lower entry. Columns of the input that clash give way.
 """
 
 from __future__ import annotations
