@@ -9,6 +9,7 @@ from termweave.functions.numbers import length_similarity, or_else, sigmoid, uni
 from termweave.functions.text import normalize_query
 from termweave.operators import lexical, vector
 from termweave.operators.dedup import dedup_by_concept, top_by
+from termweave.sources.sinks import staged
 
 #: Least raw score of each arm. Fixed values.
 THRESHOLDS = {"lexical": 3.0, "semantic": 0.8, "combined": 3.0}
@@ -27,14 +28,27 @@ def lexical_arm(entities: DataFrame, docs: DataFrame, k: int = TOP_K, index: lex
     return hits.select("entity_id", "concept_id", "rank", "score", normalized(F.col("score")).alias("norm"), F.lit("lexical").alias("arm"))
 
 
-def semantic_arm(entity_vectors: DataFrame, doc_vectors: DataFrame, k: int = TOP_K) -> DataFrame:
-    """``entity_vectors``: entity_id, vector, domain; ``doc_vectors``: concept_id, vector, domain."""
-    queries = entity_vectors.withColumnRenamed("entity_id", "query_id")
-    hits = vector.knn(queries, doc_vectors.withColumnRenamed("concept_id", "vec_id"), k).where(F.col("score") >= THRESHOLDS["semantic"])
-    return hits.select(F.col("query_id").alias("entity_id"), F.col("vec_id").alias("concept_id"), "rank", "score", F.col("score").alias("norm"), F.lit("semantic").alias("arm"))
+#: Nearest neighbours that the combined arm counts.
+NEIGHBOURS = 6
 
 
-def hybrid_scores(entities: DataFrame, docs: DataFrame, cosines: DataFrame, knn_share: float = 0.6, text_share: float = 0.4, neighbours: int = 6, index: lexical.LexicalIndex | None = None) -> DataFrame:
+def neighbours(entity_vectors: DataFrame, doc_vectors: DataFrame, k: int = NEIGHBOURS, by_domain: bool = True) -> DataFrame:
+    """entity_id, concept_id, rank, cosine: what the semantic and the combined arm both need, written once.
+
+    ``entity_vectors``: entity_id, vector, domain; ``doc_vectors``: concept_id, vector, domain.
+    """
+    hits = vector.knn(entity_vectors.withColumnRenamed("entity_id", "query_id"), doc_vectors.withColumnRenamed("concept_id", "vec_id"), k, by_domain)
+    return staged(hits.select(F.col("query_id").alias("entity_id"), F.col("vec_id").alias("concept_id"), "rank", "cosine"), "neighbours")
+
+
+def semantic_arm(near: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The first ``k`` of ``neighbours`` that reach the threshold."""
+    score = unit_score(F.col("cosine"))
+    hits = near.where(F.col("rank") <= k).withColumn("score", score).where(F.col("score") >= THRESHOLDS["semantic"])
+    return hits.select("entity_id", "concept_id", "rank", "score", F.col("score").alias("norm"), F.lit("semantic").alias("arm"))
+
+
+def hybrid_scores(entities: DataFrame, docs: DataFrame, cosines: DataFrame, knn_share: float = 0.6, text_share: float = 0.4, neighbours: int = NEIGHBOURS, index: lexical.LexicalIndex | None = None) -> DataFrame:
     """entity_id, concept_id, score: 0.6 nearest-neighbour score + 0.4 text score times length similarity.
 
     ``cosines`` is entity_id, concept_id, cosine; its best ``neighbours`` count.

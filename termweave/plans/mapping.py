@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions.numbers import or_else
-from termweave.operators import lexical, mapping, retrieve, score, standardize, vector
+from termweave.operators import lexical, mapping, retrieve, score, standardize
 from termweave.sources.sinks import staged
 
 
@@ -50,9 +50,8 @@ def retrieved(pairs: DataFrame, vocabulary: Vocabulary, entity_vectors: DataFram
         own = pairs.join(entity_vectors.select(F.col("entity_id").cast("string").alias("entity_id"), "vector"), "entity_id")
         queries = own.select(F.col("pair").alias("entity_id"), "vector", F.col("domain_id").alias("domain"))
         corpus = vocabulary.names.join(vocabulary.vectors, "doc_id").select(F.col("doc_id").alias("concept_id"), "vector", F.col("domain_id").alias("domain"))
-        cosines = vector.cosine_pairs(queries.withColumnRenamed("entity_id", "query_id"), corpus.withColumnRenamed("concept_id", "vec_id"))
-        cosines = cosines.select(F.col("query_id").alias("entity_id"), F.col("vec_id").alias("concept_id"), "cosine")
-        arms = arms.unionByName(retrieve.semantic_arm(queries, corpus)).unionByName(retrieve.combined_arm(asked, docs, cosines, index=index))
+        near = retrieve.neighbours(queries, corpus)
+        arms = arms.unionByName(retrieve.semantic_arm(near)).unionByName(retrieve.combined_arm(asked, docs, near, index=index))
     named = arms.withColumnsRenamed({"concept_id": "doc_id"}).join(vocabulary.names.select("doc_id", "concept_id", "concept_name", "name_type"), "doc_id").drop("doc_id")
     led = retrieve.to_originals(named, vocabulary.names.select("concept_id", "concept_name", "name_type"))
     return retrieve.merge_arms(led).withColumnRenamed("entity_id", "pair")

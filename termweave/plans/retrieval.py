@@ -8,7 +8,6 @@ from termweave.functions import numbers, text
 from termweave.operators import lexical, retrieve, vector
 from termweave.operators.dedup import dedup_by_concept, top_by
 from termweave.plans.tables import CONCEPT, concept, corpus, entities, query, r6, table, vectors, words
-from termweave.sources.sinks import spread, staged
 
 #: Tokens, statistics and BM25 of documents for the benchmark's items.
 BM25 = f"""d AS (SELECT doc_id, lang, lower(text) AS name, {words("text")} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
@@ -107,14 +106,14 @@ def semantic_rank(spark, d):
     return ranked.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), r6("similarity").alias("similarity"), r6("score_normalized").alias("score_normalized"))
 
 
-def _cosines(spark, d):
-    """entity_id, concept_id, cosine: items and documents take the vector of their number modulo the number of vectors."""
+def _near(spark, d):
+    """The nearest documents of each item: items and documents take the vector of their number modulo the number of vectors."""
     n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
     v = vectors(spark, d).withColumnRenamed("vec_id", "at").drop("domain")
     of = lambda df, key: df.join(F.broadcast(n)).withColumn("at", F.col(key) % F.col("n")).join(v, "at")  # noqa: E731  n is one row
-    asked = of(entities(spark, d).select("entity_id", "domain_id"), "entity_id").select((-1 - F.col("entity_id")).alias("query_id"), "vector", F.lit("").alias("domain"))
-    docs = of(spread(corpus(spark, d).select("concept_id", "domain_id")), "concept_id").select(F.col("concept_id").alias("vec_id"), "vector", F.lit("").alias("domain"))
-    return vector.cosine_pairs(asked, docs).select((-1 - F.col("query_id")).alias("entity_id"), F.col("vec_id").alias("concept_id"), "cosine")
+    asked = of(entities(spark, d).select("entity_id", "domain_id"), "entity_id").select((-1 - F.col("entity_id")).alias("entity_id"), "vector", F.lit("").alias("domain"))
+    docs = of(corpus(spark, d).select("concept_id", "domain_id"), "concept_id").select("concept_id", "vector", F.lit("").alias("domain"))
+    return retrieve.neighbours(asked, docs).withColumn("entity_id", -1 - F.col("entity_id"))
 
 
 COS = """nv AS (SELECT count(*) AS n FROM embeddings), vv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
@@ -126,7 +125,7 @@ hy AS (SELECT coalesce(n.item_id, h.item_id) AS item_id, coalesce(n.doc_id, h.do
 
 @query(f"WITH {BM25}, {EXACT}, {TEXT.format(boost='2.5', more='', join='')}, {COS}, {HYBRID} SELECT item_id, doc_id, rank, round(score, 6) AS score, round(1 / (1 + exp(-(score - 15) / 8)), 6) AS norm FROM ({TOP3.format(src='hy')})")
 def hybrid_score_topk(spark, d):
-    scored = retrieve.hybrid_scores(entities(spark, d), corpus(spark, d), _cosines(spark, d))
+    scored = retrieve.hybrid_scores(entities(spark, d), corpus(spark, d), _near(spark, d))
     return _hits(top_by(scored, ["entity_id"], 3, F.round("score", 9).desc(), F.col("concept_id").asc(), rank="rank"))
 
 
@@ -136,11 +135,9 @@ arms AS (SELECT item_id, doc_id, rank, score, 1 / (1 + exp(-(score - 15) / 8)) A
   UNION ALL SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 9) DESC, doc_id) AS rank, (1 + cosine) / 2 AS score, (1 + cosine) / 2 AS norm, 2 FROM cs) WHERE rank <= 3 AND score >= 0.8)
 SELECT item_id, doc_id, ['lexical', 'semantic', 'combined'][arm] AS arm, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY round(coalesce(nullif(norm, 0), score), 9) DESC, arm * 1000 + rank) AS n FROM arms) WHERE n = 1""")
 def three_arm_candidates(spark, d):
-    asked, docs, cosines = entities(spark, d), corpus(spark, d), _cosines(spark, d)
-    near = staged(top_by(cosines, ["entity_id"], 6, F.round("cosine", 9).desc(), F.col("concept_id").asc(), rank="rank"), "near")  # a few rows an item; the cosines are made once
-    semantic = near.where("rank <= 3").withColumn("score", numbers.unit_score(F.col("cosine"))).where(F.col("score") >= retrieve.THRESHOLDS["semantic"]).select("entity_id", "concept_id", "rank", "score", F.col("score").alias("norm"), F.lit("semantic").alias("arm"))
+    asked, docs, near = entities(spark, d), corpus(spark, d), _near(spark, d)
     index = lexical.LexicalIndex.build(asked, docs)
-    arms = retrieve.lexical_arm(asked, docs, index=index).unionByName(semantic).unionByName(retrieve.combined_arm(asked, docs, near, index=index))
+    arms = retrieve.lexical_arm(asked, docs, index=index).unionByName(retrieve.semantic_arm(near)).unionByName(retrieve.combined_arm(asked, docs, near, index=index))
     best = retrieve.merge_arms(arms.withColumn("norm", F.round("norm", 9)), ("entity_id", "concept_id"))
     return best.select(F.col("entity_id").alias("item_id"), F.col("concept_id").alias("doc_id"), "arm", r6("score").alias("score"))
 
