@@ -100,3 +100,46 @@ def test_a_load_killed_before_the_switch_changes_nothing(spark, tmp_path, monkey
     assert [r.v for r in held.read().collect()] == ["a"]
     held.upsert(spark.createDataFrame([(1, 3, "c")], "k long, s long, v string"))
     assert [r.v for r in held.read().collect()] == ["c"]
+
+
+def _files(path):
+    return {str(f.relative_to(path)): (f.stat().st_mtime_ns, f.stat().st_ino) for f in path.rglob("*.parquet")}
+
+
+def test_a_load_of_one_key_leaves_all_other_files_untouched(spark, tmp_path):
+    held = sinks.KeyedTable(spark, f"file://{tmp_path}/keyed", "k", "s", buckets=8)
+    held.upsert(spark.range(200).selectExpr("id as k", "1L as s", "'a' as v"))
+    before = _files(tmp_path / "keyed")
+    assert len(before) == 8
+    held.upsert(spark.createDataFrame([(5, 2, "b"), (5, 3, "c"), (7, 0, "old")], "k long, s long, v string").where("k = 5"))
+    after = _files(tmp_path / "keyed")
+    kept = {f for f in before if after.get(f) == before[f]}
+    assert len(kept) == 8 and len(after) == 9  # the bucket that was replaced stays for readers of the version before
+    state = {r.k: r.v for r in held.read().collect()}
+    assert len(state) == 200 and state[5] == "c" and set(state.values()) == {"a", "c"}
+    held.upsert(spark.createDataFrame([(5, 3, "later"), (6, 0, "older"), (None, 1, "null")], "k long, s long, v string"))
+    state = {r.k: r.v for r in held.read().collect()}
+    assert state[5] == "later" and state[6] == "a" and state[None] == "null"  # equal: the later load; lower: the table
+    assert held.stats()["rows"] == 201 and len(_files(tmp_path / "keyed")) <= 8 + 3
+    held.upsert(held.read().where("false"))
+    assert held.stats()["rows"] == 201
+
+
+def test_create_keeps_or_replaces(spark, tmp_path):
+    held = sinks.KeyedTable(spark, f"file://{tmp_path}/keyed", "k", "s")
+    schema = spark.createDataFrame([], "k long, s long, v string").schema
+    assert held.create(schema) and held.read().collect() == [] and held.read().schema == schema
+    held.upsert(spark.createDataFrame([(1, 1, "a")], schema))
+    assert not held.create(schema) and held.stats()["rows"] == 1
+    assert held.create(schema, replace=True) and held.read().collect() == []
+
+
+def test_scope_deletes_what_was_staged_in_it(spark):
+    from termweave.sources import scratch
+
+    with scratch.scope(spark) as s:
+        gone = sinks.staged(spark.range(3), "gone")
+        stays = s.keep(sinks.staged(spark.range(4), "stays"))
+    assert stays.count() == 4 and not files.exists(spark, gone._scratch) and files.exists(spark, stays._scratch)
+    scratch.drop(stays)
+    assert not files.exists(spark, stays._scratch)
