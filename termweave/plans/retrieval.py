@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termweave.functions import numbers, text
-from termweave.operators import lexical, retrieve, vector
+from termweave.operators import fuzzy, lexical, retrieve, vector
 from termweave.operators.dedup import dedup_by_concept, top_by
 from termweave.plans.tables import CONCEPT, concept, corpus, entities, query, r6, table, vectors, words
 
@@ -67,6 +67,34 @@ def fuzzy_name_search(spark, d):
     return lexical.fuzzy_scores(asked, table(spark, d, "part"), "p_partkey", "p_name").select("query", "name", "distance").distinct()
 
 
+#: Names of parts, and every fortieth of them with two letters wrong.
+PART_NAMES = "n AS (SELECT p_partkey AS concept_id, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part), a AS (SELECT concept_id AS query_id, substr(name, 1, 1) || 'x' || substr(name, 3, 3) || substr(name, 7) AS query FROM n WHERE concept_id % 40 = 0)"
+
+
+def _field_terms(src: str, key: str, text: str) -> str:
+    token = f"SELECT {key}, unnest({words(text)}) AS token FROM {src}"
+    gram = f"SELECT {key}, 'grams' AS field, substr(token, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS term FROM ({token}), range(4, 6) r(k), range(1, 60) s(i) WHERE i + k - 1 <= length(token)"
+    return f"SELECT {key}, 'name' AS field, token AS term FROM ({token}) UNION ALL {gram}"
+
+
+@query(f"""
+WITH {PART_NAMES}, t AS ({_field_terms("n", "concept_id", "name")}), q AS (SELECT query_id, field, term AS asked, count(*) AS times FROM ({_field_terms("a", "query_id", "query")}) GROUP BY ALL),
+p AS (SELECT concept_id, field, term, CAST(count(*) AS DOUBLE) AS tf FROM t GROUP BY ALL), l AS (SELECT concept_id, field, sum(tf) AS len FROM p GROUP BY ALL),
+st AS (SELECT field, count(*) AS n, avg(len) AS mean FROM l GROUP BY field), df AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL),
+c AS (SELECT field, asked, term, df, levenshtein(asked, term) AS edits FROM (SELECT DISTINCT field, asked FROM q) JOIN df USING (field) WHERE levenshtein(asked, term) <= CASE WHEN length(asked) < 3 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END),
+w AS (SELECT field, asked, term, (1 - edits / least(length(asked), length(term))) * (CASE field WHEN 'name' THEN 2 ELSE 1 END) * ln(1 + (n - most + 0.5) / (most + 0.5)) AS weight, mean
+      FROM (SELECT *, max(df) OVER (PARTITION BY field, asked) AS most FROM c) JOIN st USING (field)),
+s AS (SELECT query_id, concept_id, field, sum(times * weight * tf / (tf + 0.9 * (1 - 0.5 + 0.5 * len / mean))) AS score FROM q JOIN w USING (field, asked) JOIN p USING (field, term) JOIN l USING (concept_id, field) GROUP BY ALL),
+b AS (SELECT query_id, concept_id, max(score) AS score, arg_max(field, (round(score, 9), field = 'name')) AS field FROM s GROUP BY ALL)
+SELECT query_id, concept_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, field FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, concept_id) AS rank FROM b) WHERE rank <= 10""")
+def fuzzy_field_search(spark, d):
+    k, name = F.col("p_partkey"), F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    docs = table(spark, d, "part").select(k.alias("concept_id"), name.alias("concept_name"))
+    wrong = F.concat(F.substring("concept_name", 1, 1), F.lit("x"), F.substring("concept_name", 3, 3), F.substr("concept_name", F.lit(7)))
+    found = fuzzy.search(docs.where("concept_id % 40 = 0").select(F.col("concept_id").alias("query_id"), wrong.alias("query")), docs)
+    return found.select("query_id", "concept_id", "rank", r6("score").alias("score"), "field")
+
+
 VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, a.label = b.label AS same, list_cosine_similarity(a.x, b.x) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)"
 KNN = "k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM c WHERE same) WHERE rank <= {k})"
 
