@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from termweave.operators import batch, clean
 from termweave.plans.tables import CONCEPT, EDGE, concept, edge, query, table
-from termweave.sources import files, sinks
+from termweave.sources import files, order, sinks
 
 
 def _folder(spark):
@@ -87,6 +87,37 @@ def run_file_records(spark, d):
     return found.select(F.col("run").cast("long").alias("run"), F.col("pos").cast("long").alias("pos"), "entity_name", "best_concept_id")
 
 
+def _in_files(spark, df, key, parts=5):
+    """``df`` sorted by ``key`` over several delimited files, whose names follow that order, scanned again in small blocks."""
+    base = _folder(spark)
+    sinks.write_delimited(df.repartitionByRange(parts, key).sortWithinPartitions(key), base)
+    return spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(base)
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS row_index, CASE WHEN p_partkey % 3 = 0 THEN 7 * p_partkey ELSE row_number() OVER (ORDER BY p_partkey) END AS test_index,
+  CASE WHEN p_partkey % 4 = 0 THEN 'note ' || p_partkey ELSE CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS VARCHAR) END AS row_id FROM part""")
+def file_row_numbers(spark, d):
+    """Places of rows over several files; a test index and a row id are made of them where none is given."""
+    k = F.col("p_partkey")
+    raw = table(spark, d, "part").select("p_partkey", F.when(k % 3 == 0, 7 * k).alias("test_index"), F.when(k % 4 == 0, F.concat(F.lit("note "), k.cast("string"))).alias("note_id"))
+    rows = order.numbered(_in_files(spark, raw, "p_partkey"))
+    return order.with_indexes(rows, test_index=F.col("test_index"), row_id=F.col("note_id")).select("p_partkey", "row_index", "test_index", "row_id")
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, o_orderpriority || '-' || o_custkey % 40 AS entity, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT entity, array_to_string(list(CAST(o_orderkey AS VARCHAR) ORDER BY i), ',') AS records, min(i) AS first FROM s GROUP BY entity""")
+def arrival_order_groups(spark, d):
+    """Records of an entity, its name stripped, in the order of several files; and the first of each."""
+    name = F.concat("o_orderpriority", F.lit("-"), (F.col("o_custkey") % 40).cast("string"))
+    raw = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("  "), name, F.lit(" "))).otherwise(name).alias("entity"))
+    rows = order.numbered(_in_files(spark, raw, "o_orderkey")).withColumn("entity", F.trim("entity"))
+    lists = order.by_entity(rows, "entity", F.col("o_orderkey"))
+    first = order.first_in_file(rows, ["entity"]).select("entity", F.col("row_index").alias("first"))
+    return lists.select("entity", F.array_join("records", ",").alias("records")).join(first, "entity")
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE label IN (1, 5, 9)")
 def evaluation_label_rows(spark, d):
     return files.label_filter(table(spark, d, "embeddings").select("vec_id", "label"), "label")
