@@ -13,24 +13,36 @@ def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def page(df: DataFrame, skip: int, most: int | None, *order: Column) -> DataFrame:
+#: Pages that end within so many rows are taken from a heap of that size in each task.
+NEAR = 10_000
+
+
+def page(df: DataFrame, skip: int, most: int | None, *order: Column, near: int = NEAR) -> DataFrame:
     """``most`` rows from the one at ``skip`` on, in ``order``; all of them if null.
 
-    All rows are numbered within the ranges of a written sort, so that none passes
-    through one task; a count for each range reaches the driver.
+    A page near the start is a top k. For others all rows are sorted into ranges, written
+    and counted, and only the ranges that the page lies in are read: no task holds
+    what is skipped. A count for each range reaches the driver.
     """
-    if most is not None:
+    if most is not None and skip + most <= near:
         return df.orderBy(*order).offset(skip).limit(most)
     place = F.monotonically_increasing_id()  # the range in the upper bits, the row's number below
     rows = staged(df.orderBy(*order).select(place.alias("_place"), F.struct(*df.columns).alias("_row")), "page")
-    part = F.shiftright("_place", 33)
-    before, at, rest = 0, 0, skip
-    for p, n in sorted(tuple(r) for r in rows.groupBy(part).agg(F.count("*")).collect()):
-        at, rest = p, skip - before
-        if rest < n:
-            break
-        before += n
-    return rows.where(F.col("_place") >= F.lit((at << 33) + rest)).orderBy("_place").select("_row.*")
+    counts = sorted(tuple(r) for r in rows.groupBy(F.shiftright("_place", 33)).agg(F.count("*")).collect())
+    total = sum(n for _, n in counts)
+
+    def at(rank: int) -> int:
+        """The place of the row of that rank."""
+        for part, n in counts:
+            if rank < n:
+                return (part << 33) + rank
+            rank -= n
+        raise ValueError("beyond the last row")
+
+    end = total if most is None else min(total, skip + most)
+    if skip >= end:
+        return df.limit(0)
+    return rows.where(F.col("_place").between(at(skip), at(end - 1))).orderBy("_place").select("_row.*")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions.text import entity_alias
+from termweave.operators.bootstrap import intervals
 from termweave.operators.dedup import first_by
+from termweave.sources.sinks import staged
 
 
 def run_accuracy(df: DataFrame, keys: list[str], score: Column, lenient: Column | None = None) -> DataFrame:
@@ -48,25 +50,45 @@ def recall_covered(score: Column, least: float = 2) -> Column:
 
 
 def bootstrap(df: DataFrame, key: str, hits: str, cells: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """low, high: the 95 % percentile interval of sum(hits) / sum(cells) when entities are drawn with replacement.
+    """low, high: the 95 % percentile interval of sum(hits) / sum(cells) when entities are drawn with replacement."""
+    one = intervals(df, F.col(key), F.array(F.lit("All")), {"ratio": (F.col(hits), F.col(cells))}, replicates, seed)
+    return one.select("low", "high")
 
-    Each entity is drawn a Poisson(1) number of times in each replicate, by a hash of
-    entity, replicate and seed; a replicate is one row of partial sums, so no
-    replicate is gathered in a task.
+
+#: Least score of an exact and of an acceptable answer. Fixed values.
+LEAST = {"E": 2, "A": 1}
+
+
+def performance(entities: DataFrame, externals: list[str], arms: list[str], full_arm: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """level, method, metric, n, coverage, point, low, high: how often each method finds an entity's answer.
+
+    ``entities``: file, name, grp, domain, seq, gold_E and gold_A (the ids that count),
+    run_scores (the full pipeline's scores, an entry a run), a score column for each of ``externals`` and a
+    column with the pool of ids for each of ``arms``. Levels are each group's domains, each
+    group, and All, which is the groups together; for the last two an entity counts once for each (file, name), as it
+    came first. Metrics: r1, the share of scored cells that reach the level E or A; rk, the
+    share of entities whose pool meets the gold set. Externals have a coverage, the share of
+    entities that they score.
     """
-    rows = df.select(key, hits, cells, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    u = F.pmod(F.xxhash64(key, "replicate", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 11):
-        total += p
-        steps.append((u >= total).cast("int"))
-        p /= k
-    weight = sum(steps[1:], steps[0])
-    ratio = rows.withColumn("w", weight).groupBy("replicate").agg(F.try_divide(F.sum(F.col(hits) * F.col("w")), F.sum(F.col(cells) * F.col("w"))).alias("ratio"))
-    sorted_ratios = F.array_sort(F.collect_list("ratio"))  # one number for each replicate
-    out = ratio.where("ratio is not null").agg(sorted_ratios.alias("r")).withColumn("m", F.size("r"))
-    at = lambda i: F.get("r", F.greatest(F.lit(0), i.cast("int")))
-    return out.select(at(F.floor(F.col("m") * 0.025)).alias("low"), at(F.floor(F.col("m") * 0.975) - 1).alias("high"))
+    seen = first_by(entities.select("file", "name", "grp", "domain", "seq"), ["file", "name"], F.col("seq").asc()).select("file", "name", F.col("seq").alias("first"))
+    rows = entities.join(seen, (entities["file"].eqNullSafe(seen["file"])) & (entities["name"].eqNullSafe(seen["name"]))).drop(seen["file"]).drop(seen["name"])
+    own = F.concat_ws("-", "grp", "domain")
+    once = F.when(F.col("seq") == F.col("first"), F.array(F.lit("All"), F.col("grp"), own)).otherwise(F.array(own))
+    reach = lambda c, x: (c >= LEAST[x]).cast("int")
+    ratios: dict[str, tuple[Column, Column]] = {"n": (F.lit(1), F.lit(1))}
+    for e in externals:
+        ratios |= {f"{e}/r1_{x}": (reach(F.col(e), x), F.col(e).isNotNull().cast("int")) for x in LEAST}
+        ratios[f"{e}/coverage"] = (F.col(e).isNotNull().cast("int"), F.lit(1))
+    for a in arms:
+        ratios |= {f"{a}/rk_{x}": (F.coalesce(F.arrays_overlap(a, f"gold_{x}"), F.lit(False)).cast("int"), F.lit(1)) for x in LEAST}
+    cells = F.filter("run_scores", lambda s: s.isNotNull())
+    reached = lambda least: F.size(F.filter(cells, lambda s: s >= least))
+    ratios |= {f"{full_arm}/r1_{x}": (reached(least), F.size(cells)) for x, least in LEAST.items()}
+    found = staged(intervals(rows, F.concat_ws("/", "file", "name", "domain"), once, ratios, replicates, seed), "intervals")  # a row a level and ratio
+    n = rows.select(F.explode(once).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
+    parts = found.where("ratio <> 'n'").withColumn("method", F.substring_index("ratio", "/", 1)).withColumn("metric", F.substring_index("ratio", "/", -1))
+    covered = parts.where("metric = 'coverage'").select("level", "method", F.col("point").alias("coverage"))
+    return parts.where("metric <> 'coverage'").join(n, "level").join(covered, ["level", "method"], "left").select("level", "method", "metric", "n", "coverage", "point", "low", "high")
 
 
 def consensus(agreed: DataFrame, decided: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -118,6 +140,47 @@ def cascade_scores(asked: DataFrame, scored: DataFrame) -> DataFrame:
     return joined.select("entity", "concept", F.coalesce("s1", "s2", "s3").alias("score"), found.alias("found"))
 
 
+def lookup_scores(asked: DataFrame, scored: DataFrame) -> DataFrame:
+    """``asked`` (entity, concept, concept_id) with score and found, the step that gave it; both null if none did.
+
+    ``scored``: entity, concept, score, seq; of a repeated pair the last holds. Under the
+    entity's name, then under its name without a trailing parenthesis: the same concept
+    (exact, alias exact), else the first concept whose text holds the id (id, alias id).
+    Then, in the same order, the score of an entity with a single concept (only, alias only).
+    """
+    held = first_by(scored, ["entity", "concept"], F.col("seq").desc()).select(F.col("entity").alias("name"), F.col("concept").alias("other"), "score", "seq")
+    pairs = asked.select("entity", "concept", F.col("concept_id").cast("string").alias("id")).distinct()
+    said = pairs.withColumn("names", F.array_distinct(F.array("entity", entity_alias(F.col("entity"))))).select("entity", "concept", "id", F.posexplode("names").alias("turn", "name"))
+    keys = ["entity", "concept", "id"]
+    near = said.join(held, "name").where((F.col("concept") == F.col("other")) | F.coalesce(F.contains("other", "id") & (F.col("other") != ""), F.lit(False)))
+    near = near.select(*keys, (F.col("turn") * 2 + (~F.coalesce(F.col("concept") == F.col("other"), F.lit(False))).cast("int")).alias("step"), "seq", "score")
+    single = held.groupBy("name").agg(F.count("*").alias("n"), F.first("score").alias("score")).where("n = 1")
+    alone = said.join(single, "name").select(*keys, (F.col("turn") + 4).alias("step"), F.lit(0).cast("long").alias("seq"), "score")
+    best = first_by(near.select(*keys, "step", F.col("seq").cast("long").alias("seq"), "score").unionByName(alone), keys, F.col("step").asc(), F.col("seq").asc())
+    steps = F.array(*map(F.lit, ("exact", "id", "alias exact", "alias id", "only", "alias only")))
+    best = best.select(F.col("entity").alias("_e"), F.col("concept").alias("_c"), F.col("id").alias("_i"), "score", F.get(steps, F.col("step")).alias("found"))
+    same = F.col("entity").eqNullSafe(F.col("_e")) & F.col("concept").eqNullSafe(F.col("_c")) & F.col("concept_id").cast("string").eqNullSafe(F.col("_i"))
+    return asked.join(best, same, "left").drop("_e", "_c", "_i")
+
+
+def guarded_grid(cells: DataFrame, scored: DataFrame, fallback: DataFrame, disagreed: DataFrame) -> DataFrame:
+    """entity, run, score of each of ``cells`` (entity, run, mapped, concept, concept_id).
+
+    A mapped cell has the score that ``lookup_scores`` finds; where there is none, and for
+    a cell that isn't mapped, that of ``fallback`` (entity, run, score) holds. But entities in
+    ``disagreed`` (entity), under their name or alias, have no fallback for a mapped cell: its score is still to be decided.
+    """
+    found = lookup_scores(cells.where("mapped"), scored).select("entity", "run", "score", F.lit(True).alias("mapped"))
+    rows = found.unionByName(cells.where("not mapped").select("entity", "run", F.lit(None).cast(found.schema["score"].dataType).alias("score"), F.lit(False).alias("mapped")))
+    names = disagreed.select(F.col("entity").alias("_d")).distinct().withColumn("_open", F.lit(True))
+    rows = rows.withColumn("_alias", entity_alias(F.col("entity")))
+    rows = rows.join(names, F.col("entity") == F.col("_d"), "left").drop("_d").withColumnRenamed("_open", "_by_name")
+    rows = rows.join(names, F.col("_alias") == F.col("_d"), "left").drop("_d")
+    rows = rows.join(fallback.select("entity", "run", F.col("score").alias("_f")), ["entity", "run"], "left")
+    open_ = F.col("mapped") & (F.col("_by_name").isNotNull() | F.col("_open").isNotNull())
+    return rows.select("entity", "run", F.coalesce("score", F.when(~open_, F.col("_f"))).alias("score"))
+
+
 def compare_three(a: Column, b: Column, c: Column) -> Column:
     """Same or Different for two or more answers, null for fewer."""
     known = F.array_compact(F.array(a, b, c))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.sources.sinks import staged
+
+#: Ranges that a counting pass cuts what is left of a group into.
+RANGES = 4096
 #: USD for a million tokens in and out, by model prefix, the first that fits. Fixed values.
 PRICES = (("gpt-5-mini", 0.25, 2.00), ("gpt-5", 1.25, 10.00), ("gpt-4o-mini", 0.15, 0.60), ("gpt-4o", 2.50, 10.00))
 #: Spellings of providers. Fixed values.
@@ -39,14 +43,53 @@ def token_usage(c: Column) -> tuple[Column, Column, Column]:
     return i, o, F.coalesce(F.nullif(t, F.lit(0)), i + o)
 
 
+def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], ranges: int = RANGES) -> DataFrame:
+    """by and, for each of ``shares`` (name: share from 0 to 1), the exact percentile of ``value``, interpolated; nulls and NaN don't count.
+
+    A value of a given rank is found by counting: the span of a group is cut into even
+    ranges, their counts say in which one it lies, and that one's least and greatest
+    value are the next span, until they are equal. A pass divides the span by the number
+    of ranges, so two or three do for most data. What a pass holds of a group is a count a range, and one row
+    for each rank is kept between passes, however many distinct values there are.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.select(F.col(by).alias("by"), v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    spans = rows.groupBy("by").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    at = F.array(*(F.lit(float(s)) for s in shares.values()))
+    place = F.explode(F.array_distinct(F.flatten(F.transform(at, lambda s: F.array(F.floor(s * (F.col("n") - 1)), F.ceil(s * (F.col("n") - 1)))))))
+    left = staged(spans.select("by", "n", place.alias("rank"), "low", "high", F.lit(0).cast("long").alias("before")), "ranks")
+    while left.where("low < high").limit(1).count():
+        open_ = left.where("low < high")
+        # Halves, so that the span of the largest doubles has a length.
+        part = F.try_divide(F.col("v") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2)
+        part = F.coalesce(part, F.when(F.col("v") > F.col("low"), 1.0).otherwise(0.0))  # the least doubles have no half
+        seen = rows.join(open_, rows["by"].eqNullSafe(open_["by"])).drop(rows["by"]).where("v between low and high")
+        seen = seen.withColumn("range", F.least(F.floor(part * ranges), F.lit(ranges - 1)))
+        counts = seen.groupBy("by", "n", "rank", "before", "range").agg(F.count("*").alias("here"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("here").over(Window.partitionBy("by", "rank").orderBy("range"))  # at most ``ranges`` rows
+        counts = counts.withColumn("upto", F.col("before") + upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("here") <= F.col("rank")))
+        found = counts.select("by", "n", "rank", "low", "high", (F.col("upto") - F.col("here")).alias("before"))
+        left = staged(found.unionByName(left.where("low >= high")), "ranks")
+    held = F.map_from_entries(F.collect_list(F.struct("rank", "low")))  # two ranks a share
+
+    def one(share: float) -> Column:
+        pos = F.lit(float(share)) * (F.col("n") - 1)
+        low, high = (F.element_at("held", f(pos)) for f in (F.floor, F.ceil))
+        return low + (high - low) * (pos - F.floor(pos))
+
+    return left.groupBy("by", "n").agg(held.alias("held")).select(F.col("by").alias(by), *(one(s).alias(name) for name, s in shares.items()))
+
+
 def summary(calls: DataFrame, by: str | None = None) -> DataFrame:
     """Counts, latency and token sums of the calls (latency_ms, tokens, cost_usd, success), by tag or in all.
 
     Latencies are those of successful calls; percentiles interpolate.
     """
     ok = F.when(F.col("success"), F.col("latency_ms"))
-    aggs = [
-        F.count("*").alias("calls"), F.count_if(F.col("success")).alias("succeeded"), F.avg(ok).alias("mean_ms"), F.percentile(ok, F.lit(0.5)).alias("p50_ms"),
-        F.percentile(ok, F.lit(0.95)).alias("p95_ms"), F.sum("tokens").alias("tokens"), F.sum("cost_usd").alias("cost_usd"),
-    ]
-    return (calls.groupBy(by) if by else calls).agg(*aggs)
+    rows, key = (calls, by) if by else (calls.withColumn("_all", F.lit(True)), "_all")
+    sums = rows.groupBy(key).agg(
+        F.count("*").alias("calls"), F.count_if(F.col("success")).alias("succeeded"), F.avg(ok).alias("mean_ms"), F.sum("tokens").alias("tokens"), F.sum("cost_usd").alias("cost_usd"),
+    )
+    exact = percentiles(rows.where("success"), key, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnRenamed(key, "_of")
+    out = sums.join(exact, F.col(key).eqNullSafe(F.col("_of")), "left")
+    return out.select(*([by] if by else []), "calls", "succeeded", "mean_ms", "p50_ms", "p95_ms", "tokens", "cost_usd")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions.text import doc_id
-from termweave.operators.dedup import first_by
+from termweave.operators.dedup import first_by, top_by
 
 #: Relationships that are loaded. Fixed values.
 LOADED = ("Maps to", "Concept alt_to to", "Concept poss_eq to", "Concept same_as to", "Marketed form of", "Tradename of", "Box of", "Has quantified form")
@@ -41,3 +41,17 @@ def one_for_each_doc(df: DataFrame) -> DataFrame:
 
 def name_type_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("name_type").agg(F.count("*").alias("n"))
+
+
+#: Entries that a look-up of a concept's synonyms gives at most. Fixed value.
+MOST_SYNONYMS = 1000
+
+
+def synonym_lists(rows: DataFrame, key: str, name: str, *order: Column, most: int = MOST_SYNONYMS) -> DataFrame:
+    """key, synonyms: the distinct names among the first ``most`` rows of each key in ``order``, in that order; empty ones don't count.
+
+    Each task passes on ``most`` rows of a key at most, so no concept is gathered whole.
+    """
+    few = top_by(rows.select(key, name, *(o.alias(f"_o{i}") for i, o in enumerate(order))), [key], most, *(F.col(f"_o{i}").asc() for i in range(len(order))), F.col(name).asc(), rank="_n")
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col(name) != "", F.struct("_n", name)))), lambda x: x[name])
+    return few.groupBy(key).agg(F.array_distinct(listed).alias("synonyms"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from termweave.operators import batch, evaluate, metrics
+from termweave.operators import batch, bootstrap, evaluate, metrics
 from termweave.operators.dedup import first_by
 from termweave.operators.score import ranked
 from termweave.plans.tables import CALLS, RUNS, calls, query, r6, runs, table
@@ -27,6 +27,18 @@ def paged_scan(spark, d):
     return batch.page(table(spark, d, "part").select("p_partkey", "p_name"), 50, 100, F.col("p_name").asc(), F.col("p_partkey").asc())
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_partkey DESC, l_orderkey, l_linenumber LIMIT 500 OFFSET (SELECT count(*) // 2 FROM lineitem)")
+def deep_page(spark, d):
+    """A page from the middle of the table, read from the ranges that hold it."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return batch.page(rows, rows.count() // 2, 500, F.col("l_partkey").desc(), F.col("l_orderkey").asc(), F.col("l_linenumber").asc(), near=500)
+
+
+@query("SELECT quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95, min(l_extendedprice) AS p0, l_returnflag FROM lineitem GROUP BY l_returnflag")
+def exact_percentiles(spark, d):
+    return metrics.percentiles(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", {"p50": 0.5, "p95": 0.95, "p0": 0.0})
+
+
 @query("SELECT p_type, p_partkey, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 3")
 def ranked_results(spark, d):
     return ranked(table(spark, d, "part"), ["p_type"], F.col("p_retailprice"), F.col("p_partkey")).where("rank <= 3").select("p_type", "p_partkey", "rank")
@@ -113,12 +125,58 @@ def coverage_recall(spark, d):
     return joined.groupBy("lang").agg(r6(evaluate.coverage(F.col("quality"))).alias("coverage"), r6(evaluate.recall_covered(F.col("quality"), 1)).alias("recall"))
 
 
-@query()
+def _drawn(key: str, src: str) -> str:
+    """key, r, w: how often each key of ``src`` is drawn in each of 1000 replicates."""
+    draw = f"CAST('0x' || substr(md5('0/' || b || '/' || {key}), CAST(8 * i + 1 AS INTEGER), 8) AS BIGINT)"
+    times = " + ".join(f"CASE WHEN u >= {t} THEN 1 ELSE 0 END" for t in bootstrap.THRESHOLDS)
+    return f"SELECT {key}, r, {times} AS w FROM (SELECT {key}, 4 * b + i AS r, {draw} AS u FROM (SELECT DISTINCT {key} FROM {src}), range(250) x(b), range(4) y(i))"
+
+
+_PICK = "list_sort(list(num / den) FILTER (den <> 0)) AS s"
+_ENDS = "s[CAST(floor(len(s) * 0.025) AS BIGINT) + 1] AS low, s[CAST(floor(len(s) * 0.975) AS BIGINT)] AS high"
+
+
+@query(f"WITH k AS (SELECT CAST(doc_id AS VARCHAR) AS key, quality FROM labels), w AS ({_drawn('key', 'k')}), b AS (SELECT r, CAST(sum(quality * w) AS DOUBLE) AS num, sum(w) AS den FROM k JOIN w USING (key) GROUP BY r) SELECT {_ENDS} FROM (SELECT {_PICK} FROM b)")
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "labels").select("doc_id", F.col("quality").alias("hits"), F.lit(1).alias("cells"))
     return evaluate.bootstrap(rows, "doc_id", "hits", "cells")
 
 
+#: Parts as entities: two external scores, two pools, three runs.
+ENTITIES = """e AS (SELECT p_brand AS file, p_name AS name, p_type AS grp, 'd' || p_partkey % 3 AS domain, p_partkey AS seq, CASE WHEN p_partkey % 4 <> 0 THEN p_size % 3 END AS one, CASE WHEN p_partkey % 7 = 0 THEN p_size % 2 + 1 END AS two,
+  [p_partkey % 7] AS few, [p_partkey % 7, p_partkey % 5, 9] AS many, CASE WHEN p_size % 2 = 0 THEN [p_size % 7] ELSE [] END AS gold_e, [p_size % 7, p_size % 5] AS gold_a, [CASE WHEN p_size % 5 <> 0 THEN p_size % 3 END, p_size % 2, NULL] AS runs FROM part)"""
+_RATIOS = {
+    f"{m}/{k}_{x}": (n, c)
+    for x, least in (("E", 2), ("A", 1))
+    for m, k, n, c in (
+        ("one", "r1", f"CASE WHEN one >= {least} THEN 1 ELSE 0 END", "CASE WHEN one IS NULL THEN 0 ELSE 1 END"), ("two", "r1", f"CASE WHEN two >= {least} THEN 1 ELSE 0 END", "CASE WHEN two IS NULL THEN 0 ELSE 1 END"),
+        ("few", "rk", f"CASE WHEN list_has_any(few, gold_{x}) THEN 1 ELSE 0 END", "1"), ("many", "rk", f"CASE WHEN list_has_any(many, gold_{x}) THEN 1 ELSE 0 END", "1"),
+        ("many", "r1", f"len(list_filter(runs, lambda s: s >= {least}))", "len(list_filter(runs, lambda s: s IS NOT NULL))"),
+    )
+}
+
+
+@query(f"""
+WITH {ENTITIES}, f AS (SELECT *, file || '/' || name || '/' || domain AS key, row_number() OVER (PARTITION BY file, name ORDER BY seq) = 1 AS first FROM e),
+l AS (SELECT *, 'All' AS level FROM f WHERE first UNION ALL SELECT *, grp FROM f WHERE first UNION ALL SELECT *, grp || '-' || domain FROM f), w AS ({_drawn("key", "f")} UNION ALL SELECT DISTINCT key, -1, 1 FROM f),
+m AS (SELECT level, key, {", ".join(f"sum({n}) AS n{i}, sum({c}) AS c{i}" for i, (n, c) in enumerate(_RATIOS.values()))} FROM l GROUP BY ALL),
+b AS (SELECT level, r, {", ".join(f"CAST(sum(n{i} * w) AS DOUBLE) AS n{i}, CAST(sum(c{i} * w) AS DOUBLE) AS c{i}" for i in range(len(_RATIOS)))} FROM m JOIN w USING (key) GROUP BY ALL),
+t AS ({" UNION ALL ".join(f"SELECT '{name}' AS ratio, level, r, n{i} AS num, c{i} AS den FROM b" for i, name in enumerate(_RATIOS))}),
+s AS (SELECT ratio, level, list_sort(list(num / den) FILTER (den <> 0 AND r >= 0)) AS s, max(CASE WHEN r < 0 AND den <> 0 THEN num / den END) AS point FROM t GROUP BY ALL),
+c AS (SELECT level, count(*) AS n, avg(CASE WHEN one IS NULL THEN 0.0 ELSE 1 END) AS one, avg(CASE WHEN two IS NULL THEN 0.0 ELSE 1 END) AS two FROM l GROUP BY level)
+SELECT level, split_part(ratio, '/', 1) AS method, split_part(ratio, '/', 2) AS metric, n, CASE split_part(ratio, '/', 1) WHEN 'one' THEN one WHEN 'two' THEN two END AS coverage, point, {_ENDS} FROM s JOIN c USING (level)""")
+def performance_table(spark, d):
+    """Three levels by four methods, with intervals of 1000 replicates."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    none = F.array().cast("array<bigint>")
+    entities = table(spark, d, "part").select(
+        F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_type").alias("grp"), F.concat(F.lit("d"), (k % 3).cast("string")).alias("domain"), k.alias("seq"), F.when(k % 4 != 0, size % 3).alias("one"),
+        F.when(k % 7 == 0, size % 2 + 1).alias("two"), F.array(k % 7).alias("few"), F.array(k % 7, k % 5, F.lit(9).cast("long")).alias("many"), F.when(size % 2 == 0, F.array((size % 7).cast("long"))).otherwise(none).alias("gold_E"),
+        F.array((size % 7).cast("long"), (size % 5).cast("long")).alias("gold_A"), F.array(F.when(size % 5 != 0, size % 3), size % 2, F.lit(None).cast("int")).alias("run_scores"),
+    )
+    return evaluate.performance(entities, ["one", "two"], ["few", "many"], "many")
+
+
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.score, a.score) AS score FROM (SELECT doc_id, quality AS score FROM labels WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, toxic + 10 AS score FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")
 def consensus_merge(spark, d):
     labels = table(spark, d, "labels")
@@ -164,6 +222,41 @@ def cascade_score_lookup(spark, d):
     return evaluate.cascade_scores(asked, few.select(*ids, label(F.col("p_name")), F.col("p_size").alias("score")))
 
 
+#: Asked pairs and scored ones: names with and without a parenthesis, ids in the concepts' texts, brands with one concept.
+LOOKUP = """a AS (SELECT p_partkey AS k, p_brand || CASE WHEN p_partkey % 3 = 0 THEN ' (x)' ELSE '' END AS entity, CASE WHEN p_partkey % 2 = 0 THEN p_name || '(' || p_partkey || ')' ELSE upper(p_name) END AS concept, CAST(p_partkey // 4 AS VARCHAR) AS concept_id FROM part),
+s AS (SELECT p_brand || CASE WHEN p_partkey % 5 = 0 THEN ' (x)' ELSE '' END AS entity, p_name || '(' || p_partkey || ')' AS concept, p_size AS score, p_partkey AS seq FROM part WHERE p_partkey % 4 <> 1 AND p_brand NOT IN ('Brand#7', 'Brand#8') OR p_partkey IN (SELECT min(p_partkey) FROM part WHERE p_brand IN ('Brand#7') GROUP BY p_brand)),
+n AS (SELECT k, concept, concept_id, unnest(CASE WHEN entity LIKE '% (x)' THEN [0, 1] ELSE [0] END) AS turn, entity FROM a), m AS (SELECT *, CASE WHEN turn = 1 THEN replace(entity, ' (x)', '') ELSE entity END AS name FROM n),
+h AS (SELECT k, 2 * turn + CASE WHEN m.concept = s.concept THEN 0 ELSE 1 END AS step, seq, score FROM m JOIN s ON m.name = s.entity WHERE m.concept = s.concept OR contains(s.concept, concept_id)
+  UNION ALL SELECT k, 4 + turn, 0, score FROM m JOIN (SELECT entity, min(score) AS score FROM s GROUP BY entity HAVING count(*) = 1) o ON m.name = o.entity),
+z AS (SELECT k, arg_min(score, (step, seq)) AS score, min(step) AS step FROM h GROUP BY k)"""
+
+
+def _lookup(spark, d):
+    k, part = F.col("p_partkey"), table(spark, d, "part")
+    label = F.concat("p_name", F.lit("("), k.cast("string"), F.lit(")"))
+    named = lambda every: F.concat("p_brand", F.when(k % every == 0, " (x)").otherwise(""))
+    asked = part.select(k.alias("k"), named(3).alias("entity"), F.when(k % 2 == 0, label).otherwise(F.upper("p_name")).alias("concept"), F.floor(k / 4).cast("string").alias("concept_id"))
+    one = part.where("p_brand = 'Brand#7'").agg(F.min("p_partkey").alias("least"))
+    kept = part.join(F.broadcast(one)).where(((k % 4 != 1) & ~F.col("p_brand").isin("Brand#7", "Brand#8")) | (k == F.col("least")))  # one row
+    return asked, kept.select(named(5).alias("entity"), label.alias("concept"), F.col("p_size").alias("score"), k.alias("seq"))
+
+
+@query(f"WITH {LOOKUP} SELECT k, score, ['exact', 'id', 'alias exact', 'alias id', 'only', 'alias only'][step + 1] AS found FROM a LEFT JOIN z USING (k)")
+def score_lookup_alias(spark, d):
+    """Scores by concept, by id in the concept's text and of a single concept, each under name and alias."""
+    return evaluate.lookup_scores(*_lookup(spark, d)).select("k", "score", "found")
+
+
+@query(f"""WITH {LOOKUP} SELECT entity, k AS run, CASE WHEN k % 6 = 0 THEN -1 ELSE coalesce(score, CASE WHEN replace(entity, ' (x)', '') NOT IN ('Brand#1', 'Brand#8') THEN -1 END) END AS score FROM a LEFT JOIN z USING (k)""")
+def guarded_run_grid(spark, d):
+    """Cells of a grid: mapped ones are looked up, others and those without a score fall back, but for two brands that are still open."""
+    asked, scored = _lookup(spark, d)
+    cells = asked.withColumnRenamed("k", "run").withColumn("mapped", F.col("run") % 6 != 0)
+    fallback = asked.select("entity", F.col("k").alias("run"), F.lit(-1).alias("score"))
+    open_ = asked.where("entity in ('Brand#1', 'Brand#8')").select("entity")
+    return evaluate.guarded_grid(cells, scored, fallback, open_)
+
+
 @query("SELECT measure, l_returnflag, round(sum(value), 2) AS total, count(*) AS n FROM (UNPIVOT (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME measure VALUE value) GROUP BY ALL")
 def unpivot_scores(spark, d):
     long = evaluate.unpivot_runs(table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "measure", "value")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from termweave.functions import text
 from termweave.functions.dates import normalize_date
 from termweave.functions.numbers import or_else
-from termweave.operators import batch, clean, vocab
+from termweave.operators import batch, clean, embed, vocab
 from termweave.operators.dedup import first_by, upsert
 from termweave.plans.tables import CONCEPT, EDGE, concept, edge, query, strip, table, words
+from termweave.sources import sinks
 
 SYNONYM = "synonym AS (SELECT CAST(l_partkey AS VARCHAR) AS concept_id, s_name AS concept_synonym_name FROM (SELECT DISTINCT l_partkey + CASE WHEN l_suppkey % 10 = 0 THEN 1000000 ELSE 0 END AS l_partkey, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey)"
 
@@ -183,3 +186,31 @@ def alias_map_and_price(spark, d):
     name = F.when(k % 3 == 0, "openai_api").when(k % 3 == 1, " Together-AI ").otherwise("other")
     model = F.when(k % 4 == 0, "GPT-5-mini-x").when(k % 4 == 1, "gpt-5.1").when(k % 4 == 2, "gpt-4o-mini").otherwise("unknown")
     return table(spark, d, "events").select("event_id", metrics.provider(name).alias("provider"), metrics.price(model)[0].alias("price_in"), F.round(metrics.cost(F.col("value"), F.col("value") * 2, model), 9).alias("cost"))
+
+
+@query("""
+WITH n AS (SELECT l_returnflag, CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 'name ' || l_partkey % 300 END AS name, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 'name ' || l_partkey % 300 END) AS n FROM lineitem),
+f AS (SELECT l_returnflag, name, min(n) AS n FROM n WHERE n <= 1000 AND name <> '' GROUP BY ALL)
+SELECT l_returnflag, string_agg(name, '|' ORDER BY n) AS synonyms FROM f GROUP BY l_returnflag""")
+def bounded_synonym_lists(spark, d):
+    """Three concepts of very many synonyms each: the distinct names of the first thousand."""
+    name = F.when(F.col("l_partkey") % 9 == 0, "").otherwise(F.concat(F.lit("name "), (F.col("l_partkey") % 300).cast("string")))
+    rows = table(spark, d, "lineitem").select("l_returnflag", name.alias("name"), "l_orderkey", "l_linenumber")
+    return vocab.synonym_lists(rows, "l_returnflag", "name", F.col("l_orderkey"), F.col("l_linenumber")).select("l_returnflag", F.array_join("synonyms", "|").alias("synonyms"))
+
+
+def _hashed(texts):
+    """A model for the query below: four numbers of a text's md5."""
+    import hashlib
+
+    return [[int(hashlib.md5(t.encode()).hexdigest()[2 * i : 2 * i + 2], 16) / 256 for i in range(4)] for t in texts]
+
+
+@query("SELECT p_partkey, " + ", ".join(f"CAST('0x' || substr(md5(lower(p_name)), {2 * i + 1}, 2) AS BIGINT) / 256 AS v{i}" for i in range(4)) + " FROM part")
+def embedded_names(spark, d):
+    """Names embedded as queries are, in two loads: the second finds most of its texts in the table."""
+    held = sinks.KeyedTable(spark, f"{sinks.shared_folder(spark)}/vectors-{uuid.uuid4().hex}", "name", "seq")
+    names = table(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), F.initcap("p_name")).alias("p_name"))
+    embed.embed(names.where("p_partkey % 2 = 0"), "p_name", _hashed, held, "md5", normalize=True)
+    found = embed.embed(names, "p_name", _hashed, held, "md5", normalize=True)
+    return found.select("p_partkey", *(F.col("vector")[i].cast("double").alias(f"v{i}") for i in range(4)))
