@@ -47,3 +47,35 @@ def test_vectors_judge_and_validator(spark, vocabulary, entities):
     name = vocabulary.originals.where(f"concept_id = '{second}'").first().concept_name
     some = found(map_entities(entities, vocabulary, "semantic", None, own, validator=lambda e, c, s: c == name, domains=("Drug",)))
     assert some["1", "Drug"].concept_id == second and some["1", "Drug"].failure_reason is None
+
+
+def test_runs_resume_and_are_summed_up(spark, vocabulary, entities, tmp_path):
+    from termweave.plans import mapping as plan
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def judge(prompt):
+        (asked / str(abs(hash(prompt)))).touch()
+        return '{"rankings": [{"concept_id": "1", "score": 4.5}, {"concept_id": "3", "score": 2}]}'
+
+    folder = f"file://{tmp_path}/stages"
+    run = lambda: plan.map_runs(entities, vocabulary, 3, "llm", judge, domains=("Drug", "Measurement"), folder=folder)
+    rows = run().collect()
+    assert len(rows) == 18 and {r.run for r in rows} == {1, 2, 3}
+    again = run().collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+    for f in (tmp_path / "stages" / "retrieved").iterdir():
+        f.chmod(0o600)
+    (tmp_path / "stages" / "scored" / "_SUCCESS").unlink()  # a stage that did not end is made again, those before it are read
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "stages" / "retrieved").iterdir()}
+    assert sorted(map(repr, run().collect())) == sorted(map(repr, rows))
+    assert before == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "stages" / "retrieved").iterdir()}
+    truth = spark.createDataFrame([(1, "1.0"), (2, "7"), (5, "3")], "entity_id long, truth_id string")
+    got = {r.entity_id: (r.runs, r.found, r.identical, r.n_correct, r.answer) for r in plan.run_summary(run(), truth).collect()}
+    assert got == {"1": (3, 3, True, 3, "1"), "2": (3, 3, True, 0, "1"), "3": (3, 0, True, 0, None), "4": (3, 0, True, 0, None), "5": (3, 3, True, 3, "3")}
+
+
+def test_the_validator_is_told_synonyms(spark, vocabulary, entities):
+    told = map_entities(entities.where("entity_id = 1"), vocabulary, validator=lambda e, c, s: s == ["acetylsalicylic acid pill"], domains=("Drug",))
+    assert told.first().failure_reason is None and told.first().concept_id == "1"
