@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.functions.text import entity_alias
+from termweave.functions.text import entity_alias, strip
 from termweave.operators.bootstrap import intervals
 from termweave.operators.dedup import first_by
 from termweave.sources.sinks import staged
@@ -187,6 +187,52 @@ def compare_three(a: Column, b: Column, c: Column) -> Column:
     return F.when(F.size(known) >= 2, F.when(F.size(F.array_distinct(known)) == 1, "Same").otherwise("Different"))
 
 
+#: Columns of a comparison of three systems, in order. Fixed values.
+COMPARISON = (
+    "source_id", "domain_id", "entity_name", "gt_concept_id", "gt_concept_name", "mapomop_concept_id", "mapomop_concept_name", "mapomop_domain", "mapomop_run_count", "mapomop_score", "omophub_concept_id", "omophub_concept_name",
+    "omophub_domain", "omophub_match_score", "omophub_score", "usagi_concept_id", "usagi_concept_name", "usagi_domain", "usagi_match_score", "usagi_score", "is_same_omophub_usagi", "is_same_3models", "baseline",
+)
+
+
+def resolved(asked: DataFrame, name: str, records: DataFrame, entity: str, seq: str) -> DataFrame:
+    """``asked`` with run_entity: the name among ``records`` that equals it, or whose alias does, or the same for its own alias; null if there is none.
+
+    A name comes before an alias, of aliases the one that arrived first.
+    """
+    own = strip(F.col(entity))
+    both = records.select(own.alias("run_entity"), F.col(seq).alias("_s"), F.posexplode(F.array(own, entity_alias(F.col(entity)))).alias("_turn", "_key"))
+    keys = first_by(both, ["_key"], F.col("_turn").asc(), F.col("_s").asc()).select("_key", "run_entity")
+    said = strip(F.col(name))
+    out = asked.withColumns({"_said": said, "_short": entity_alias(F.col(name))})
+    out = out.join(keys.withColumnsRenamed({"_key": "_said", "run_entity": "_one"}), "_said", "left").join(keys.withColumnsRenamed({"_key": "_short", "run_entity": "_two"}), "_short", "left")
+    return out.withColumn("run_entity", F.coalesce("_one", "_two")).drop("_said", "_short", "_one", "_two")
+
+
+def comparison(baseline: DataFrame, records: DataFrame, scored: DataFrame) -> DataFrame:
+    """The columns ``COMPARISON``: rows of ``baseline`` beside the most frequent answer of the runs and its score.
+
+    ``records``: entity_name, concept_id, concept_name, domain, seq, a row an answer; ``scored`` as for
+    ``lookup_scores``, where concepts are written name(id). The score is looked up under the name that the runs have, then under
+    the baseline's. ``baseline`` lacks the columns of the runs' system and the two verdicts.
+    """
+    rows = resolved(baseline, "entity_name", records, "entity_name", "seq")
+    per = records.where(F.col("concept_id").isNotNull()).select(strip(F.col("entity_name")).alias("run_entity"), F.col("concept_id").cast("string").alias("mapomop_concept_id"), F.struct("concept_name", "domain").alias("meta"), "seq")
+    mode = per.groupBy("run_entity", "mapomop_concept_id").agg(F.count("*").alias("mapomop_run_count"), F.min("seq").alias("_first"), F.max_by("meta", "seq").alias("meta"))
+    mode = first_by(mode, ["run_entity"], F.desc("mapomop_run_count"), F.col("_first").asc())
+    mode = mode.select("run_entity", "mapomop_concept_id", "mapomop_run_count", F.col("meta.concept_name").alias("mapomop_concept_name"), F.col("meta.domain").alias("mapomop_domain"))
+    rows = rows.join(mode, "run_entity", "left")
+    label = F.concat("mapomop_concept_name", F.lit("("), "mapomop_concept_id", F.lit(")"))
+    answered = rows.where("mapomop_concept_id is not null")
+    ask = lambda name: answered.select(F.col(name).alias("entity"), label.alias("concept"), F.col("mapomop_concept_id").alias("concept_id"))
+    known = lookup_scores(ask("run_entity").union(ask("entity_name")).distinct(), scored).select(F.col("entity").alias("_e"), F.col("concept_id").alias("_c"), "concept", "score")
+    known = known.groupBy("_e", "_c").agg(F.max_by("score", "concept").alias("score"))
+    for name, out in (("run_entity", "_s1"), ("entity_name", "_s2")):
+        rows = rows.join(known.withColumnRenamed("score", out), (F.col(name) == F.col("_e")) & (F.col("mapomop_concept_id") == F.col("_c")), "left").drop("_e", "_c")
+    ids = [F.col(f"{x}_concept_id").cast("string") for x in ("omophub", "usagi", "mapomop")]
+    rows = rows.withColumn("mapomop_score", F.coalesce("_s1", "_s2")).withColumn("is_same_omophub_usagi", compare_three(ids[0], ids[1], F.lit(None).cast("string"))).withColumn("is_same_3models", compare_three(*ids))
+    return rows.select(*COMPARISON)
+
+
 def alias_fan_out(df: DataFrame, name: str, seq: str) -> DataFrame:
     """Each row under its name and its alias; of a key the last row in ``seq`` holds."""
     out = df.withColumn("key", F.explode(F.array_distinct(F.array(F.col(name), entity_alias(F.col(name))))))

@@ -74,11 +74,11 @@ def search(queries: DataFrame, docs: DataFrame, size: int = 10) -> DataFrame:
     """
     terms = _terms(spread(docs.select("concept_id", "concept_name")), "concept_id", "concept_name")
     postings = staged(terms.groupBy("field", "term", "concept_id", "len").agg(F.count("*").cast("double").alias("tf")), "fuzzy")
-    dictionary = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    dictionary = staged(postings.groupBy("field", "term").agg(F.count("*").alias("df")), "dictionary")
     # Statistics over documents that have a term in the field; two rows.
     stats = postings.groupBy("field", "concept_id", "len").agg(F.sum("tf")).groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     asked = staged(_terms(queries, "query_id", "query").groupBy("query_id", "field", F.col("term").alias("asked")).agg(F.count("*").alias("times")), "asked")
-    close = close_terms(asked, dictionary, ("field",)).join(dictionary, ["field", "term"])
+    close = staged(close_terms(asked, dictionary, ("field",)).join(dictionary, ["field", "term"]), "close")  # used twice below
     blended = close.groupBy("field", "asked").agg(F.max("df").alias("most"))
     share = 1.0 - F.col("edits") / F.least(F.length("asked"), F.length("term"))
     boost = F.create_map(*(F.lit(x) for name, (_, b) in FIELDS.items() for x in (name, b)))

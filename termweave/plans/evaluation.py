@@ -257,6 +257,35 @@ def guarded_run_grid(spark, d):
     return evaluate.guarded_grid(cells, scored, fallback, open_)
 
 
+@query("""
+WITH r AS (SELECT 'Brand#' || o_custkey % 30 || CASE WHEN o_orderkey % 5 = 0 THEN ' (y)' ELSE '' END AS name, 'Brand#' || o_custkey % 30 AS short, CAST(o_orderkey % 7 AS VARCHAR) AS cid, o_orderstatus AS dom, o_orderkey AS seq FROM orders WHERE o_custkey % 30 <> 11 AND (o_custkey % 30 <> 12 OR o_orderkey % 5 = 0)),
+k AS (SELECT key, arg_min(name, (turn, seq)) AS name FROM (SELECT name AS key, name, 0 AS turn, seq FROM r UNION ALL SELECT short, name, 1, seq FROM r) GROUP BY key),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, first) AS p FROM (SELECT name, cid, count(*) AS n, min(seq) AS first, arg_max(dom, seq) AS dom FROM r GROUP BY ALL)) WHERE p = 1),
+s AS (SELECT 'Brand#' || p_partkey % 30 AS entity, CAST(p_partkey % 7 AS VARCHAR) AS cid, arg_max(p_size % 3, p_partkey) AS score FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 2 = 0 GROUP BY ALL),
+b AS (SELECT p_partkey, p_type, p_brand || CASE WHEN p_partkey % 3 = 0 THEN ' (x)' ELSE '' END AS entity, p_brand AS short, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size % 4 AS VARCHAR) END AS oid, CASE WHEN p_partkey % 6 <> 0 THEN CAST(p_partkey % 4 AS VARCHAR) END AS uid, p_size FROM part),
+u AS (SELECT entity, min(score) AS alone FROM s GROUP BY entity HAVING count(*) = 1),
+j AS (SELECT b.*, m.cid, m.n, m.dom, coalesce(s.score, alone) AS score FROM b LEFT JOIN k k1 ON k1.key = entity LEFT JOIN k k2 ON k2.key = short LEFT JOIN m ON m.name = coalesce(k1.name, k2.name) LEFT JOIN s ON s.entity = replace(m.name, ' (y)', '') AND s.cid = m.cid LEFT JOIN u ON u.entity = replace(m.name, ' (y)', ''))
+SELECT p_partkey AS source_id, p_type AS domain_id, entity AS entity_name, CAST(p_size AS VARCHAR) AS gt_concept_id, 'name ' || p_size AS gt_concept_name, cid AS mapomop_concept_id, 'c' || cid AS mapomop_concept_name, dom AS mapomop_domain, n AS mapomop_run_count, score AS mapomop_score,
+  oid AS omophub_concept_id, 'o' || oid AS omophub_concept_name, 'D' AS omophub_domain, CAST(0.5 AS DOUBLE) AS omophub_match_score, 2 AS omophub_score, uid AS usagi_concept_id, 'u' || uid AS usagi_concept_name, 'D' AS usagi_domain, CAST(0.25 AS DOUBLE) AS usagi_match_score, 1 AS usagi_score,
+  CASE WHEN oid IS NOT NULL AND uid IS NOT NULL THEN CASE WHEN oid = uid THEN 'Same' ELSE 'Different' END END AS is_same_omophub_usagi,
+  CASE WHEN (oid IS NULL)::INT + (uid IS NULL)::INT + (cid IS NULL)::INT >= 2 THEN NULL WHEN len(list_distinct(list_filter([oid, uid, cid], lambda x: x IS NOT NULL))) = 1 THEN 'Same' ELSE 'Different' END AS is_same_3models, 5 AS baseline FROM j""")
+def baseline_comparison(spark, d):
+    """Three systems side by side; the runs' names are found by name and alias, their most frequent answers scored."""
+    k, size, part, orders, o = F.col("p_partkey"), F.col("p_size"), table(spark, d, "part"), table(spark, d, "orders"), F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    oid, uid = F.when(k % 5 != 0, text(size % 4)), F.when(k % 6 != 0, text(k % 4))
+    baseline = part.select(
+        k.alias("source_id"), F.col("p_type").alias("domain_id"), F.concat("p_brand", F.when(k % 3 == 0, " (x)").otherwise("")).alias("entity_name"), text(size).alias("gt_concept_id"), F.concat(F.lit("name "), text(size)).alias("gt_concept_name"),
+        oid.alias("omophub_concept_id"), F.concat(F.lit("o"), oid).alias("omophub_concept_name"), F.lit("D").alias("omophub_domain"), F.lit(0.5).alias("omophub_match_score"), F.lit(2).alias("omophub_score"),
+        uid.alias("usagi_concept_id"), F.concat(F.lit("u"), uid).alias("usagi_concept_name"), F.lit("D").alias("usagi_domain"), F.lit(0.25).alias("usagi_match_score"), F.lit(1).alias("usagi_score"), F.lit(5).alias("baseline"),
+    )
+    brand = F.col("o_custkey") % 30
+    kept = orders.where((brand != 11) & ((brand != 12) | (o % 5 == 0)))
+    records = kept.select(F.concat(F.lit("Brand#"), text(brand), F.when(o % 5 == 0, " (y)").otherwise("")).alias("entity_name"), (o % 7).alias("concept_id"), F.concat(F.lit("c"), text(o % 7)).alias("concept_name"), F.col("o_orderstatus").alias("domain"), o.alias("seq"))
+    scored = part.where((k % 4 != 0) & (k % 2 == 0)).select(F.concat(F.lit("Brand#"), text(k % 30)).alias("entity"), F.concat(F.lit("c"), text(k % 7), F.lit("("), text(k % 7), F.lit(")")).alias("concept"), (size % 3).alias("score"), k.alias("seq"))
+    return evaluate.comparison(baseline, records, scored)
+
+
 @query("SELECT measure, l_returnflag, round(sum(value), 2) AS total, count(*) AS n FROM (UNPIVOT (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME measure VALUE value) GROUP BY ALL")
 def unpivot_scores(spark, d):
     long = evaluate.unpivot_runs(table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "measure", "value")

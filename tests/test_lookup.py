@@ -27,3 +27,10 @@ def test_synonyms_of_a_hot_concept_are_never_gathered_whole(spark):
     assert "WindowGroupLimit" in plan and plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit")  # once before the shuffle
     lists = {r.c: r.synonyms for r in got.collect()}
     assert lists == {"hot": [f"n{i}" for i in range(700)], "few": ["a", "b"], "none": []}
+
+
+def test_names_resolve_by_name_then_first_alias(spark):
+    records = spark.createDataFrame([("b (2)", 1), ("b (1)", 2), (" a ", 3), ("a (x)", 4)], "entity string, seq long")
+    asked = spark.createDataFrame([("a",), ("b",), ("b (9)",), ("a (x)",), ("c",), (None,)], "name string")
+    got = {r.name: r.run_entity for r in evaluate.resolved(asked, "name", records, "entity", "seq").collect()}
+    assert got == {"a": "a", "b": "b (2)", "b (9)": "b (2)", "a (x)": "a (x)", "c": None, None: None}
