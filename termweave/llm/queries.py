@@ -176,7 +176,7 @@ SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_stri
 def oracle_sql() -> dict[str, str]:
     mask = lambda m, at: ", ".join(f"w[{at} + {i + 1}]" for i, bit in enumerate(m) if bit == "1")
     seeds = lambda src, key: " UNION ALL ".join(f"SELECT {key}, p, '{m}' AS mask, {len(m)} AS span, [{mask(m, 'p')}] AS seed FROM (SELECT *, unnest(range(0, n - {len(m)} + 1)) AS p FROM {src} WHERE n >= {len(m)})" for m in decontaminate.MASKS)
-    equal = lambda start: " + ".join(f"CASE WHEN off + {start} + {k} >= 0 AND d.w[off + {start} + {k + 1}] = i.w[{start} + {k + 1}] THEN 1 ELSE 0 END" for k in range(13))
+    equal = lambda start: " + ".join(f"CASE WHEN {k} < wide AND off + {start} + {k} >= 0 AND d.w[off + {start} + {k + 1}] = i.w[{start} + {k + 1}] THEN 1 ELSE 0 END" for k in range(13))
     canonical = r"regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
     return {
         "op1_url_filter": rf"""
@@ -212,8 +212,9 @@ WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, list_filter(regexp
 i AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark)),
 ds AS ({seeds("d", "doc_id")}), si AS ({seeds("i", "item_id")}),
 h AS (SELECT DISTINCT doc_id, item_id, ds.p AS p, si.p AS j, si.span AS span FROM ds JOIN si USING (mask, seed)),
-s AS (SELECT h.doc_id, h.item_id, h.p, h.p - h.j AS off, least(13, i.n) AS wide, least(h.j, i.n - least(13, i.n)) AS ahead, greatest(0, h.j + h.span - least(13, i.n)) AS behind FROM h JOIN i USING (item_id)),
-v AS (SELECT doc_id, item_id, p, wide, greatest({equal("ahead")}, {equal("behind")}) AS best FROM s JOIN d USING (doc_id) JOIN i USING (item_id))
+s AS (SELECT h.doc_id, h.item_id, h.p, h.p - h.j AS off, least(13, i.n) AS wide, unnest(range(greatest(0, h.j + h.span - least(13, i.n)), least(h.j, i.n - least(13, i.n)) + 1)) AS start FROM h JOIN i USING (item_id)),
+short AS (SELECT d.doc_id, i.item_id, d.p, d.p AS off, i.n AS wide, 0 AS start FROM (SELECT *, unnest(range(n)) AS p FROM d) d JOIN (SELECT * FROM i WHERE n BETWEEN {decontaminate.FEWEST} AND 13) i ON d.p + i.n <= d.n),
+v AS (SELECT doc_id, item_id, p, wide, {equal("start")} AS best FROM (SELECT * FROM s UNION ALL SELECT * FROM short) JOIN d USING (doc_id) JOIN i USING (item_id))
 SELECT doc_id, item_id, CAST(max(best) AS INTEGER) AS best, CAST(max(wide) AS INTEGER) AS "of", CAST(min(p) AS INTEGER) AS first_word FROM v WHERE best + 1e-9 >= 0.8 * wide GROUP BY doc_id, item_id""",
         "op5_jaccard": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -128,3 +128,35 @@ def test_clean_judges_repeated_ids_by_text(spark):
     docs = spark.createDataFrame([(1, "nothing of it"), (1, f"before {item} after"), (2, item), (None, item)], "doc_id long, text string")
     kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted((tuple(r) for r in kept), key=repr) == [(1, "nothing of it"), (None, item)]
+
+
+def test_masks_miss_no_pattern_of_substitutions():
+    fits = lambda mask, at, bad: not any(bit == "1" and at + i in bad for i, bit in enumerate(mask))
+    for bad in itertools.combinations(range(13), 2):
+        assert any(fits(m, at, bad) for m in decontaminate.MASKS for at in range(13 - len(m) + 1)), bad
+    for n in range(decontaminate.FEWEST, 14):
+        few = int(0.2 * n + 1e-9)
+        masks = [*decontaminate.whole_masks(n, few)] or ["1" * n]
+        for bad in itertools.combinations(range(n), few):
+            assert any(fits(m, 0, bad) for m in masks) or any(fits(m, at, bad) for m in decontaminate.MASKS for at in range(n - len(m) + 1)), (n, bad)
+
+
+def test_sql_has_the_same_criterion(spark):
+    from oracle import same
+
+    import duckdb
+
+    item = [f"w{i}" for i in range(20)]
+    inside = item[4:17]
+    inside[5], inside[6] = "x", "y"
+    short = ["one", "two", "three", "four", "five", "six"]
+    docs = [(1, " ".join(["a", "b", *inside, "c"])), (2, "zero one two odd four five six seven"), (3, " ".join(inside)), (4, "two three four five six"), (5, None), (6, " ".join(item[:11])), (7, "one two three four odd odd")]
+    bench = [(1, " ".join(item)), (2, " ".join(short)), (3, "just four words here"), (4, " ".join(item[:13]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", d.toPandas()), ("benchmark", b.toPandas())):
+        con.register(f"{name}_df", df)
+        con.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_df")
+    got = decontaminate.matches(d, b)
+    same(got, con, queries.oracle_sql()["op4_decontaminate"])
+    assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(1, 1), (2, 2), (3, 1)}
