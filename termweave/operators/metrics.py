@@ -15,6 +15,17 @@ PRICES = (("gpt-5-mini", 0.25, 2.00), ("gpt-5", 1.25, 10.00), ("gpt-4o-mini", 0.
 PROVIDERS = {"openai": "openai", "openai_api": "openai", "openai-open": "openai", "openai_open": "openai", "together": "together", "together_ai": "together", "together-ai": "together"}
 
 
+#: Short names of models at one provider. Fixed values.
+MODEL_ALIASES = {
+    "mistral_small_24b": "mistralai/Mistral-Small-24B-Instruct-2501",
+    "gpt_oss_20b": "openai/gpt-oss-20b",
+    "llama4_maverick": "meta-llama/Llama-4-Maverick-17B-128E-Instruct-FP8",
+}
+ALIASED = "together"
+#: Output tokens that a model may give, by the beginning of its name, and for all others. Fixed values.
+CAPS, CAP = (("gpt-5", 128_000),), 2048
+
+
 def provider(c: Column, default: str = "openai") -> Column:
     table = F.create_map(*(F.lit(x) for pair in PROVIDERS.items() for x in pair))
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(c))), F.lit(default))
@@ -29,8 +40,25 @@ def price(model: Column) -> tuple[Column, Column]:
     return paid[0].otherwise(0.0), paid[1].otherwise(0.0)
 
 
-def cost(tokens_in: Column, tokens_out: Column, model: Column) -> Column:
-    per_in, per_out = price(model)
+def model_name(provider_name: Column, model: Column) -> Column:
+    """The stripped name, spelled out where the provider has short ones; null for an empty one."""
+    table = F.create_map(*(F.lit(x) for pair in MODEL_ALIASES.items() for x in pair))
+    name = F.nullif(F.trim(model), F.lit(""))
+    return F.when(provider_name == ALIASED, F.coalesce(F.try_element_at(table, F.lower(name)), name)).otherwise(name)
+
+
+def token_cap(model: Column) -> Column:
+    """Output tokens that the model may give."""
+    name = F.lower(F.trim(F.coalesce(model, F.lit(""))))
+    return F.coalesce(*(F.when(F.startswith(name, F.lit(p)), n) for p, n in CAPS), F.lit(CAP))
+
+
+def cost(tokens_in: Column, tokens_out: Column, model: Column, provider_name: Column | None = None, prices: tuple[float, float] | None = None) -> Column:
+    """USD of a call: by ``prices`` for a million tokens in and out if they are given, else by the model; other providers than the default one cost nothing."""
+    per_in, per_out = map(F.lit, prices) if prices else price(model)
+    if provider_name is not None and not prices:
+        paid = provider(provider_name) == "openai"
+        per_in, per_out = F.when(paid, per_in).otherwise(0.0), F.when(paid, per_out).otherwise(0.0)
     return tokens_in / 1e6 * per_in + tokens_out / 1e6 * per_out
 
 
@@ -43,6 +71,20 @@ def token_usage(c: Column) -> tuple[Column, Column, Column]:
     return i, o, F.coalesce(F.nullif(t, F.lit(0)), i + o)
 
 
+def call_records(answers: DataFrame, tag: str, model: str, provider_name: str = "openai", prices: tuple[float, float] | None = None) -> DataFrame:
+    """A record for each of ``answers`` (usage, latency_ms, error, as ``score.asked`` gives them): what a call took and cost. One that failed has no tokens."""
+    name = provider(F.lit(provider_name))
+    called = F.lit(model) if model else F.lit(None).cast("string")
+    tokens = [F.when(F.col("error").isNull(), c).otherwise(0).cast("long") for c in token_usage(F.col("usage"))]
+    rows = answers.select(F.lit(tag).alias("tag"), "latency_ms", tokens[0].alias("tokens_in"), tokens[1].alias("tokens_out"), tokens[2].alias("tokens"), model_name(name, called).alias("model"), name.alias("provider"), F.col("error").isNull().alias("success"), "error")
+    return rows.withColumn("cost_usd", cost(F.col("tokens_in"), F.col("tokens_out"), F.col("model"), F.col("provider"), prices))
+
+
+def append_calls(records: DataFrame, path: str) -> None:
+    """Add ``records`` to the log at ``path``; ``summary`` reads it."""
+    records.write.mode("append").parquet(path)
+
+
 def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], ranges: int = RANGES) -> DataFrame:
     """by and, for each of ``shares`` (name: share from 0 to 1), the exact percentile of ``value``, interpolated; nulls and NaN don't count.
 

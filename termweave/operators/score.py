@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -64,6 +65,29 @@ def judged(prompts: DataFrame, judge: Callable[[str], str]) -> DataFrame:
     return prompts.select("entity_id", "prompt").mapInPandas(run, f"entity_id {dict(prompts.dtypes)['entity_id']}, answer string")
 
 
+def asked(prompts: DataFrame, judge: Callable[[str], str | tuple[str, str]]) -> DataFrame:
+    """entity_id, answer, usage, latency_ms, error of each prompt, for a log of the calls.
+
+    ``judge`` gives an answer, or an answer and its usage as JSON. Of one that fails the error's
+    text is kept. Write the result before it is used twice, or the judge is asked twice.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for prompt in batch["prompt"]:
+                began, answer, usage, error = time.perf_counter(), None, None, None
+                try:
+                    found = judge(prompt)
+                    answer, usage = found if isinstance(found, tuple) else (found, None)
+                except Exception as e:  # a failed call is a record, not a failed job
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((answer, usage, 1000 * (time.perf_counter() - began), error))
+            yield pd.DataFrame(rows, columns=["answer", "usage", "latency_ms", "error"]).assign(entity_id=batch["entity_id"].to_numpy())[["entity_id", "answer", "usage", "latency_ms", "error"]]
+
+    return prompts.select("entity_id", "prompt").mapInPandas(run, f"entity_id {dict(prompts.dtypes)['entity_id']}, answer string, usage string, latency_ms double, error string")
+
+
 def parse_rankings(answers: DataFrame, key: str = "entity_id", answer: str = "answer") -> DataFrame:
     """A row for each ranking: key, concept_id, reasoning, llm_score, llm_rank. Malformed answers give none.
 

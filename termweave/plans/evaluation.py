@@ -286,6 +286,42 @@ def baseline_comparison(spark, d):
     return evaluate.comparison(baseline, records, scored)
 
 
+def _counting(prompt: str) -> tuple[str, str]:
+    """A judge for the query below: it counts letters, and fails where five divide them."""
+    if len(prompt) % 5 == 0:
+        raise ValueError("no answer")
+    return prompt[:3], f'{{"usage": {{"prompt_tokens": {len(prompt)}, "completion_tokens": 3}}}}'
+
+
+@query("""
+WITH c AS (SELECT length(text) AS n, length(text) % 5 <> 0 AS ok, t.tag FROM conversations, (VALUES ('first'), ('second')) t(tag) WHERE text IS NOT NULL)
+SELECT tag, ok AS success, CASE WHEN ok THEN NULL ELSE 'ValueError: no answer' END AS error, count(*) AS calls, CAST(sum(CASE WHEN ok THEN n + 3 ELSE 0 END) AS BIGINT) AS tokens, round(sum(CASE WHEN ok THEN n / 1e6 * 0.25 + 3 / 1e6 * 2 ELSE 0 END), 9) AS cost_usd, true AS timed FROM c GROUP BY ALL""")
+def llm_call_log(spark, d):
+    """Two batches of calls added to one log, failures among them."""
+    from termweave.operators import score
+    from termweave.sources.sinks import shared_folder
+
+    path = f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}"
+    prompts = table(spark, d, "conversations").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("entity_id"), F.col("text").alias("prompt"))
+    for tag in ("first", "second"):
+        metrics.append_calls(metrics.call_records(score.asked(prompts, _counting), tag, " gpt-5-mini", "OpenAI_API"), path)
+    log = spark.read.parquet(path)
+    return log.groupBy("tag", "success", "error").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost_usd"), 9).alias("cost_usd"), F.bool_and(F.col("latency_ms") >= 0).alias("timed"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 AND p_partkey % 4 = 0 THEN 'openai/gpt-oss-20b' ELSE 'GPT_oss_20b' END WHEN 1 THEN 'GPT-5-mini' WHEN 3 THEN 'llama4_maverick' WHEN 4 THEN CASE WHEN p_partkey % 4 = 0 THEN 'meta-llama/Llama-4-Maverick-17B-128E-Instruct-FP8' ELSE 'llama4_maverick' END END AS model,
+  CASE WHEN p_partkey % 6 = 1 THEN 128000 ELSE 2048 END AS cap, CAST(CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 6 = 1 THEN 2.25 ELSE 0 END AS DOUBLE) AS cost, 3 AS fixed FROM part""")
+def model_names_and_caps(spark, d):
+    """Short names spelled out at one provider, caps by name, and prices by provider or as given."""
+    k = F.col("p_partkey")
+    name = F.when(k % 6 == 0, " GPT_oss_20b").when(k % 6 == 1, "GPT-5-mini ").when(k % 6 == 2, "  ").when(k % 6 == 3, "llama4_maverick").when(k % 6 == 4, "llama4_maverick")
+    by = F.when(k % 4 == 0, " Together-AI").otherwise("somewhere")
+    million = F.lit(1_000_000)
+    model = metrics.model_name(metrics.provider(by), name)
+    return table(spark, d, "part").select("p_partkey", model.alias("model"), metrics.token_cap(name).alias("cap"), metrics.cost(million, million, model, by).alias("cost"), metrics.cost(million, million, model, by, (1.0, 2.0)).cast("int").alias("fixed"))
+
+
 @query("SELECT measure, l_returnflag, round(sum(value), 2) AS total, count(*) AS n FROM (UNPIVOT (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME measure VALUE value) GROUP BY ALL")
 def unpivot_scores(spark, d):
     long = evaluate.unpivot_runs(table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "measure", "value")
