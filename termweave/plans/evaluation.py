@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from termweave.operators import batch, bootstrap, evaluate, metrics
+from termweave.operators import batch, bootstrap, evaluate, metrics, report
 from termweave.operators.dedup import first_by
 from termweave.operators.score import ranked
 from termweave.plans.tables import CALLS, RUNS, calls, query, r6, runs, table
@@ -286,6 +286,20 @@ def baseline_comparison(spark, d):
     return evaluate.comparison(baseline, records, scored)
 
 
+@query("""
+SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS concept_id, coalesce(CASE WHEN p_partkey % 9 <> 0 THEN p_name END, '') AS concept_name, p_type AS domain_id, p_brand AS vocabulary_id, '' AS standard_concept,
+  CASE WHEN p_partkey % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE p_retailprice END AS final_score, p_partkey % 3 <> 0 AS is_original_standard, 'unknown' AS search_type, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) END AS from_id, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size / 2.0 AS DOUBLE) ELSE p_retailprice END AS first_score FROM part""")
+def stage_report_rows(spark, d):
+    """Report rows of the first and the third stage from nested candidates."""
+    k = F.col("p_partkey")
+    concept = F.struct(k.alias("concept_id"), F.when(k % 9 != 0, F.col("p_name")).alias("concept_name"), F.col("p_type").alias("domain_id"), F.col("p_brand").alias("vocabulary_id"))
+    nested = table(spark, d, "part").select("p_partkey", concept.alias("concept"), F.when(k % 4 != 0, F.col("p_retailprice")).alias("final_score"), (k % 3 != 0).alias("is_original_standard"), F.struct(F.col("p_size").alias("concept_id"), F.lit("x").alias("concept_name")).alias("original"),
+                                              F.when(k % 5 == 0, F.when(k % 10 == 0, 0.0)).otherwise(F.col("p_retailprice")).alias("score_normalized"), (F.col("p_size") / 2.0).alias("score"))
+    first = report.rows(nested, 1, ["p_partkey"]).select("p_partkey", F.col("elasticsearch_score").alias("first_score"))
+    third = report.rows(nested, 3, ["p_partkey"]).select("p_partkey", *report.SHORT, "final_score", "is_original_standard", "search_type", F.col("original_non_standard.concept_id").alias("from_id"))
+    return third.join(first, "p_partkey")
+
+
 def _counting(prompt: str) -> tuple[str, str]:
     """A judge for the query below: it counts letters, and fails where five divide them."""
     if len(prompt) % 5 == 0:

@@ -63,6 +63,18 @@ class DelimitedSource:
             return self.spark.createDataFrame([], ", ".join(f"{c} string" for c in COLUMNS[name]))
         return read_delimited(self.spark, path, COLUMNS[name], self.delimiters[name]).transform(CLEANERS[name])
 
+    def sizes(self) -> dict[str, int]:
+        """Bytes of each file that is there; one that is missing or empty is warned of."""
+        found = {}
+        for name, file in FILES.items():
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{file}")
+            fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if fs.exists(p):
+                found[name] = fs.getContentSummary(p).getLength()
+            if not found.get(name):
+                log.warning("missing or empty file: %s", file)
+        return found
+
     def count(self, name: str) -> int:
         return self.read(name).count()
 

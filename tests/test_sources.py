@@ -143,3 +143,18 @@ def test_scope_deletes_what_was_staged_in_it(spark):
     assert stays.count() == 4 and not files.exists(spark, gone._scratch) and files.exists(spark, stays._scratch)
     scratch.drop(stays)
     assert not files.exists(spark, stays._scratch)
+
+
+def test_sizes_of_files(spark, tmp_path):
+    (tmp_path / "CONCEPT.csv").write_text("concept_id\tconcept_name\n1\ta\n")
+    (tmp_path / "CONCEPT_SYNONYM.csv").write_text("")
+    assert files.create("csv", spark, folder=f"file://{tmp_path}").sizes() == {"concept": 28, "synonym": 0}
+
+
+def test_report_rows_of_bare_candidates(spark):
+    from termweave.operators import report
+
+    bare = spark.createDataFrame([(1, (7,))], "k int, concept struct<concept_id:int>")
+    second, third = (report.rows(bare, n, ["k"]).first() for n in (2, 3))
+    assert second.asDict() == {"k": 1, "concept_id": "7", "concept_name": "", "domain_id": "", "vocabulary_id": "", "standard_concept": "", "is_original_standard": True, "search_type": "unknown", "relation_type": "original", "elasticsearch_score": 0.0, "original_non_standard": None}
+    assert third.valid_start_date is None and third.llm_score is None and third.llm_reasoning == "" and third.final_score == 0.0
