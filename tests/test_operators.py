@@ -163,3 +163,10 @@ def test_fuzzy_pairs_equal_all_pairs(spark):
     got = sorted((r.k, r.query, r.distance) for r in found.collect())
     most = lambda q: 0 if len(q) < 3 else 1 if len(q) <= 5 else 2
     assert got == sorted((k, q, distance(n, q)) for k, n in names if n is not None for q in asked if distance(n, q) <= most(q))
+
+
+def test_rank_999_of_a_long_ranking_is_not_left_out(spark):
+    ranked = spark.range(1, 1002).select(F.lit("e").alias("entity_id"), F.col("id").cast("string").alias("concept_id"), F.lit(1.0).alias("llm_score"), F.col("id").cast("int").alias("llm_rank"))
+    asked = ranked.select("entity_id", "concept_id").union(spark.createDataFrame([("e", "none")], "entity_id string, concept_id string"))
+    got = {r.concept_id: (r.llm_rank, r.left_out) for r in score.backfilled(asked, ranked).collect()}
+    assert got["999"] == (999, False) and got["none"] == (score.UNRANKED, True) and sum(x for _, x in got.values()) == 1
