@@ -64,7 +64,7 @@ WITH q(query) AS (VALUES ('red widgt'), ('smal ring'), ('blue bolt'), ('small ri
 s AS (SELECT query, name, levenshtein(name, query) AS distance FROM q CROSS JOIN n) SELECT query, name, CAST(distance AS INTEGER) AS distance FROM s WHERE distance <= CASE WHEN length(query) < 3 THEN 0 WHEN length(query) <= 5 THEN 1 ELSE 2 END""")
 def fuzzy_name_search(spark, d):
     asked = spark.createDataFrame([("red widgt",), ("smal ring",), ("blue bolt",), ("small ring",), ("xy",)], "query string")
-    return lexical.fuzzy_scores(asked, table(spark, d, "part"), "p_partkey", "p_name").select("query", "name", "distance").distinct()
+    return lexical.fuzzy_names(asked, table(spark, d, "part").select(F.lower("p_name").alias("name"))).select("query", "name", "distance")
 
 
 #: Names of parts, and every fortieth of them with two letters wrong.
