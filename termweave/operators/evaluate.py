@@ -140,6 +140,34 @@ def cascade_scores(asked: DataFrame, scored: DataFrame) -> DataFrame:
     return joined.select("entity", "concept", F.coalesce("s1", "s2", "s3").alias("score"), found.alias("found"))
 
 
+#: Different characters of ids by which ``id_pieces`` cuts texts; with more, texts stay whole.
+MOST_LETTERS = 1000
+
+
+def id_pieces(texts: DataFrame, ids: DataFrame, text: str = "other", idcol: str = "id") -> DataFrame:
+    """``texts`` with a row for each distinct piece of the text that may be an id: of an id's length, and of letters that ids have.
+
+    So ids are found in texts by an equality of pieces. There are at most as many rows
+    for a text as it has letters times the ids' lengths; of ids of digits only its digits count.
+    """
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(idcol), F.lit(1))), lambda i: F.substr(idcol, i, F.lit(1)))
+    # A number a length and a row a letter come to the driver, however many ids there are.
+    sizes = sorted(r[0] for r in ids.where(F.col(idcol).isNotNull()).select(F.length(idcol)).distinct().collect())
+    used = [r[0] for r in ids.select(F.explode(letters).alias("l")).where("l <> ''").distinct().limit(MOST_LETTERS + 1).collect()]
+    runs = F.array(text)
+    if 0 < len(used) <= MOST_LETTERS:
+        runs = F.split(text, "[^" + "".join(f"\\x{{{ord(x):x}}}" for x in used) + "]+")
+    none = F.array().cast("array<string>")
+
+    def of_size(n: int) -> Column:
+        cut = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substr(run, i, F.lit(n)))
+        return F.flatten(F.transform(runs, lambda run: F.when(F.length(run) >= n, cut(run)).otherwise(none)))
+
+    found = [F.when(F.col(text) != "", F.array(F.lit(""))).otherwise(none)] if 0 in sizes else []
+    found += [of_size(n) for n in sizes if n]
+    return texts.withColumn("piece", F.explode(F.array_distinct(F.concat(*found)) if found else none))
+
+
 def lookup_scores(asked: DataFrame, scored: DataFrame) -> DataFrame:
     """``asked`` (entity, concept, concept_id) with score and found, the step that gave it; both null if none did.
 
@@ -152,11 +180,14 @@ def lookup_scores(asked: DataFrame, scored: DataFrame) -> DataFrame:
     pairs = asked.select("entity", "concept", F.col("concept_id").cast("string").alias("id")).distinct()
     said = pairs.withColumn("names", F.array_distinct(F.array("entity", entity_alias(F.col("entity"))))).select("entity", "concept", "id", F.posexplode("names").alias("turn", "name"))
     keys = ["entity", "concept", "id"]
-    near = said.join(held, "name").where((F.col("concept") == F.col("other")) | F.coalesce(F.contains("other", "id") & (F.col("other") != ""), F.lit(False)))
-    near = near.select(*keys, (F.col("turn") * 2 + (~F.coalesce(F.col("concept") == F.col("other"), F.lit(False))).cast("int")).alias("step"), "seq", "score")
+    hit = F.struct(F.col("seq").cast("long").alias("seq"), "score")
+    exact = said.join(held.withColumnRenamed("other", "concept"), ["name", "concept"]).select(*keys, (F.col("turn") * 2).alias("step"), hit.alias("hit"))
+    # The first concept that holds a piece is the only one that its id can lead to.
+    first = id_pieces(held, pairs).groupBy("name", F.col("piece").alias("id")).agg(F.min(hit).alias("hit"))
+    by_id = said.join(first, ["name", "id"]).select(*keys, (F.col("turn") * 2 + 1).alias("step"), "hit")
     single = held.groupBy("name").agg(F.count("*").alias("n"), F.first("score").alias("score")).where("n = 1")
-    alone = said.join(single, "name").select(*keys, (F.col("turn") + 4).alias("step"), F.lit(0).cast("long").alias("seq"), "score")
-    best = first_by(near.select(*keys, "step", F.col("seq").cast("long").alias("seq"), "score").unionByName(alone), keys, F.col("step").asc(), F.col("seq").asc())
+    alone = said.join(single, "name").select(*keys, (F.col("turn") + 4).alias("step"), F.struct(F.lit(0).cast("long").alias("seq"), "score").alias("hit"))
+    best = exact.unionByName(by_id).unionByName(alone).groupBy(*keys).agg(F.min(F.struct("step", "hit")).alias("b")).select(*keys, "b.step", "b.hit.score")
     steps = F.array(*map(F.lit, ("exact", "id", "alias exact", "alias id", "only", "alias only")))
     best = best.select(F.col("entity").alias("_e"), F.col("concept").alias("_c"), F.col("id").alias("_i"), "score", F.get(steps, F.col("step")).alias("found"))
     same = F.col("entity").eqNullSafe(F.col("_e")) & F.col("concept").eqNullSafe(F.col("_c")) & F.col("concept_id").cast("string").eqNullSafe(F.col("_i"))

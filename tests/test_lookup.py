@@ -34,3 +34,23 @@ def test_names_resolve_by_name_then_first_alias(spark):
     asked = spark.createDataFrame([("a",), ("b",), ("b (9)",), ("a (x)",), ("c",), (None,)], "name string")
     got = {r.name: r.run_entity for r in evaluate.resolved(asked, "name", records, "entity", "seq").collect()}
     assert got == {"a": "a", "b": "b (2)", "b (9)": "b (2)", "a (x)": "a (x)", "c": None, None: None}
+
+
+def test_lookup_meets_no_pairs_of_one_entity(spark):
+    scored = spark.range(40000).select(F.lit("e").alias("entity"), F.concat(F.lit("n("), F.col("id").cast("string"), F.lit(")")).alias("concept"), F.col("id").cast("int").alias("score"), F.col("id").alias("seq"))
+    asked = spark.range(40000).select(F.lit("e (x)").alias("entity"), F.lit("no").alias("concept"), F.col("id").cast("string").alias("concept_id"))
+    got = evaluate.lookup_scores(asked, scored)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and "contains(" not in plan
+    assert got.where("found = 'alias id' and score <= cast(concept_id as int)").count() == 40000
+
+
+def test_ids_of_any_letters_are_found_as_by_contains(spark):
+    texts = ["a-1(12)", "x^y]z\\", "é日本語(7)", "", "aa", None, "12 12", "\U0001f600b1"]
+    ids = ["1", "12", "^y]", "\\", "日本", "", "a", "é", None, "b1", "\U0001f600", "aaaa", " "]
+    t, i = spark.createDataFrame([(x,) for x in texts], "other string"), spark.createDataFrame([(x,) for x in ids], "id string")
+    want = {(x, y) for x in texts for y in ids if x and y is not None and y in x}
+    got = evaluate.id_pieces(t, i)
+    assert {tuple(r) for r in got.join(i, F.col("piece") == F.col("id")).select("other", "id").collect()} == want
+    assert got.where("other = 'é日本語(7)' and piece like '%本語%'").count() == 0  # no id has that last letter
+    assert evaluate.id_pieces(t, i.limit(0)).count() == 0
