@@ -84,9 +84,14 @@ def intervals(df: DataFrame, key: Column, levels: Column, ratios: dict[str, tupl
     whose denominators sum to 0 don't count; a ratio over nothing is null. Counts are exact, so results
     do not depend on how rows are dealt.
     """
+    count = len(ratios)
     number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    rows = df.select(key.cast("string").alias("key"), levels.alias("levels"), F.array(*(number(n) for n, _ in ratios.values())).alias("nums"), F.array(*(number(d) for _, d in ratios.values())).alias("dens"))
-    some = _sums(rows, len(ratios), replicates, seed).withColumn("task", F.pmod(F.spark_partition_id(), F.lit(SALT)))
+    sides = [c for i in (0, 1) for c in (number(pair[i]) for pair in ratios.values())]
+    rows = df.select(key.cast("string").alias("key"), levels.alias("levels"), *(c.alias(f"s{i}") for i, c in enumerate(sides)))
+    # Rows of one key have the same draws: added up, they are drawn for once.
+    rows = rows.groupBy("key", "levels").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(2 * count)))
+    rows = rows.select("key", "levels", F.array(*(f"s{i}" for i in range(count))).alias("nums"), F.array(*(f"s{i}" for i in range(count, 2 * count))).alias("dens"))
+    some = _sums(rows, count, replicates, seed).withColumn("task", F.pmod(F.spark_partition_id(), F.lit(SALT)))
     done = _added(_added(some, "level", "ratio", "task"), "level", "ratio")
     pairs = F.zip_with(F.slice("nums", 2, replicates), F.slice("dens", 2, replicates), lambda n, d: F.try_divide(n, d))
     drawn = F.filter(pairs, lambda x: x.isNotNull())

@@ -81,3 +81,11 @@ def test_performance_counts_an_entity_once_above_its_domain(spark):
     assert got["All", "pool", "r1_E"].point == 0.5 and got["All", "pool", "r1_A"].point == 1
     assert got["All", "ext", "r1_A"].point == 1 and got["All", "ext", "r1_E"].point == 0 and got["All", "ext", "r1_A"].coverage == pytest.approx(2 / 3)
     assert got["g-d2", "ext", "r1_A"].point is None and got["g-d2", "ext", "r1_A"].coverage == 0
+
+
+def test_rows_of_a_key_are_added_up_before_they_are_drawn_for(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("key"), (F.col("id") % 2).alias("hit"))
+    got = bootstrap.intervals(df, F.col("key"), F.array(F.lit("All")), {"r": (F.col("hit"), F.lit(1))}, 20)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [key" in plan[plan.index("MapInArrow") :]
+    assert got.first().point == 0.5
