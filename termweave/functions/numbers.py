@@ -43,7 +43,12 @@ def unit_score(cos: Column) -> Column:
 
 def length_similarity(stored: Column, asked: Column) -> Column:
     """1 to 2: how near the stored name's length is to the query's."""
-    off = (F.length(stored) - F.length(asked)) / F.greatest(F.lit(8.0), 0.8 * F.length(asked))
+    return nearness(F.length(stored), F.length(asked))
+
+
+def nearness(stored: Column, asked: Column) -> Column:
+    """``length_similarity`` of two lengths."""
+    off = (stored - asked) / F.greatest(F.lit(8.0), 0.8 * asked)
     return 1.0 + F.exp(-0.5 * off * off)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.functions.numbers import length_similarity, or_else, sigmoid, unit_score
+from termweave.functions.numbers import nearness, or_else, sigmoid, unit_score
 from termweave.functions.text import normalize_query
 from termweave.operators import lexical, vector
 from termweave.operators.dedup import dedup_by_concept, top_by
@@ -56,8 +56,8 @@ def hybrid_scores(entities: DataFrame, docs: DataFrame, cosines: DataFrame, knn_
     near = top_by(cosines, ["entity_id"], neighbours, F.round("cosine", 9).desc(), F.col("concept_id").asc())
     near = near.select("entity_id", "concept_id", (unit_score(F.col("cosine")) * knn_share).alias("near"))
     text = lexical.text_scores(entities, docs, with_phrase=False, match_boost=2.5, index=index)
-    text = text.join(entities.select("entity_id", normalize_query(F.col("entity_name")).alias("asked")), "entity_id").join(docs.select("concept_id", "concept_name"), "concept_id")
-    text = text.select("entity_id", "concept_id", (F.col("score") * text_share * length_similarity(F.col("concept_name"), F.col("asked"))).alias("text"))
+    text = text.join(entities.select("entity_id", normalize_query(F.col("entity_name")).alias("asked")), "entity_id").join(docs.select("concept_id", F.length("concept_name").alias("chars")), "concept_id")  # of the text no more than its length moves
+    text = text.select("entity_id", "concept_id", (F.col("score") * text_share * nearness(F.col("chars"), F.length("asked"))).alias("text"))
     both = near.join(text, ["entity_id", "concept_id"], "full")
     return both.select("entity_id", "concept_id", (F.coalesce("near", F.lit(0.0)) + F.coalesce("text", F.lit(0.0))).alias("score"))
 

@@ -33,6 +33,8 @@ from termweave.sources.sinks import spread, staged
 CELLS, CENTRE_BYTES, BLOCK_BYTES, SCORE_BYTES = 1024, 16_000_000, 16_000_000, 32_000_000
 #: Domains share so many separate sets of cells; cosines are ranked to 1e-9; what doubles may be off by, in an angle.
 PARTS, TIE, SLACK = 64, 1e-9, 1e-7
+#: Vectors whose angles to the centres are held at once, and copies of queries that are passed on at once.
+ROWS, COPIES = 512, 8192
 WIDEST = 4.0  # more than any angle
 
 
@@ -59,11 +61,13 @@ def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _by_part(batch: pa.RecordBatch, part: int, vector: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Part, rows and unit vectors of each part of a batch."""
+    """Part, rows and unit vectors of each part of a batch, ``ROWS`` at most at a time: each meets every centre."""
     parts = batch.column(part).to_numpy()
     for p in np.unique(parts).tolist():
-        at = np.flatnonzero(parts == p)
-        yield p, at, _units(batch.column(vector).take(pa.array(at)))
+        whole = np.flatnonzero(parts == p)
+        for low in range(0, len(whole), ROWS):
+            at = whole[low : low + ROWS]
+            yield p, at, _units(batch.column(vector).take(pa.array(at)))
 
 
 @dataclass(frozen=True)
@@ -145,9 +149,12 @@ class CellIndex:
                     block.append(np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
                 r, c = np.concatenate(rows), np.concatenate(cell)
                 split = np.array([blocks.get(x, 1) for x in c.tolist()], np.int64)
-                kept = batch.take(pa.array(r, pa.int64()))
-                qblock = kept.column(4).to_numpy() % split if len(r) else split
-                yield pa.record_batch([*kept.columns[:3], pa.array(c, pa.int64()), pa.array(np.concatenate(block), pa.int64()), pa.array(qblock, pa.int64()), kept.column(5)], names=["query", "domain", "vector", "cell", "block", "qblock", "angle"])
+                b = np.concatenate(block)
+                for low in range(0, max(1, len(r)), COPIES):
+                    some = slice(low, low + COPIES)
+                    kept = batch.take(pa.array(r[some], pa.int64()))
+                    qblock = kept.column(4).to_numpy() % split[some] if len(r) else split
+                    yield pa.record_batch([*kept.columns[:3], pa.array(c[some], pa.int64()), pa.array(b[some], pa.int64()), pa.array(qblock, pa.int64()), kept.column(5)], names=["query", "domain", "vector", "cell", "block", "qblock", "angle"])
 
         key = dict(asked.dtypes)["query"]
         return asked.mapInArrow(plan, f"query {key}, domain string, vector array<double>, cell long, block long, qblock long, angle double")

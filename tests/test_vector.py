@@ -76,3 +76,14 @@ def test_centres_are_bounded_by_bytes(spark):
     _, c = frames(spark, [], clustered(300, 5, 8, 2))
     index = vector.CellIndex.build(c, centre_bytes=8 * 8 * 10)
     assert sum(len(part[0]) for part in index.cells.values()) <= 10 + len(index.cells)
+
+
+def test_rows_that_meet_all_centres_at_once_are_bounded():
+    import pyarrow as pa
+
+    n = 3 * vector.ROWS + 5
+    batch = pa.record_batch([pa.array([i % 2 for i in range(n)]), pa.array([[1.0, float(i)] for i in range(n)])], names=["part", "vector"])
+    found = list(vector._by_part(batch, 0, 1))
+    assert max(len(at) for _, at, _ in found) <= vector.ROWS
+    assert sorted(i for _, at, _ in found for i in at.tolist()) == list(range(n))
+    assert all(units.shape == (len(at), 2) for _, at, units in found)
