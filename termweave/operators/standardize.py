@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.operators.clean import STANDARD, is_standard
-from termweave.operators.dedup import dedup_by_concept, top_by
+from termweave.operators.dedup import dedup_by_concept
 
 #: Relationships that transform a candidate. Fixed values.
 TRANSFORM = ("Concept alt_to to", "Concept poss_eq to", "Concept same_as to", "Marketed form of", "Tradename of", "Box of", "Has quantified form", "Is a")
@@ -18,14 +18,19 @@ CONCEPT = ("concept_id", "concept_name", "standard_concept")
 def related(candidates: DataFrame, edges: DataFrame, concepts: DataFrame, relationships: tuple[str, ...] = TRANSFORM, most: int = MOST_RELATED) -> DataFrame:
     """For each candidate (concept_id) its neighbours: from_id, relation and the neighbour's columns.
 
-    At most ``most`` edges in the order of neighbour and relationship; a neighbour
-    counts once, by its first edge.
+    At most ``most`` edges in the order of neighbour and relationship, an edge that
+    is repeated as one; a neighbour counts once, by its first edge.
+
+    Edges are shuffled once, and the only thing that a task holds of them is one sort,
+    which repeats, places and first edges are read off.
     """
     ids = candidates.select(F.col("concept_id").alias("from_id")).distinct()
     found = edges.where(F.col("relationship_id").isin(*relationships)).select(F.col("concept_id_1").alias("from_id"), F.col("concept_id_2").alias("concept_id"), F.col("relationship_id").alias("relation"))
-    found = top_by(found.join(ids, "from_id", "left_semi"), ["from_id"], most, F.col("concept_id").asc(), F.col("relation").asc())
-    found = top_by(found, ["from_id", "concept_id"], 1, F.col("relation").asc())
-    return found.join(concepts, "concept_id")
+    found = found.join(ids.hint("shuffle_hash"), "from_id", "left_semi")
+    order = Window.partitionBy("from_id").orderBy(F.col("concept_id").asc(), F.col("relation").asc())
+    found = found.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= most)
+    found = found.withColumn("_last", F.lag("concept_id").over(order)).where("_last is null or _last <> concept_id")
+    return found.drop("_rank", "_last").join(concepts, "concept_id")
 
 
 def mapped(candidates: DataFrame, edges: DataFrame, concepts: DataFrame, most: int = MOST_MAPPED) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from termweave.functions.numbers import confidence
 from termweave.operators import mapping, score, standardize
 from termweave.operators.batch import cell_text
-from termweave.plans.tables import CONCEPT, EDGE, concept, edge, query, r6, table
+from termweave.plans.tables import CONCEPT, EDGE, concept, edge_rows, query, r6, table
 
 STD = "('S', 'C')"
 NEAR = """near_{n} AS (SELECT from_id, r.concept_id, relation, concept_name, standard_concept FROM (
@@ -19,12 +19,12 @@ MAPPED = NEAR.format(n="map", rel="= 'Maps to'", most=10)
 
 @query(f"WITH {CONCEPT}, {EDGE}, {RELATED} SELECT from_id, concept_id, relation, concept_name FROM near_rel")
 def relation_expand(spark, d):
-    return standardize.related(concept(spark, d), edge(spark, d), concept(spark, d)).select("from_id", "concept_id", "relation", "concept_name")
+    return standardize.related(concept(spark, d), edge_rows(spark, d), concept(spark, d)).select("from_id", "concept_id", "relation", "concept_name")
 
 
 @query(f"WITH {CONCEPT}, {EDGE}, {MAPPED} SELECT from_id, concept_id, concept_name, standard_concept FROM near_map WHERE standard_concept IN {STD}")
 def maps_to_standard(spark, d):
-    return standardize.mapped(concept(spark, d), edge(spark, d), concept(spark, d)).select("from_id", "concept_id", "concept_name", "standard_concept")
+    return standardize.mapped(concept(spark, d), edge_rows(spark, d), concept(spark, d)).select("from_id", "concept_id", "concept_name", "standard_concept")
 
 
 def _round(src: str, out: str) -> str:
@@ -50,7 +50,7 @@ def standardize_two_rounds(spark, d):
         F.col("p_brand").alias("entity_id"), F.lpad(k.cast("string"), 9, "0").alias("seq"), k.cast("string").alias("concept_id"), F.col("p_name").alias("concept_name"),
         F.when(k % 3 == 0, "S").when(k % 3 == 1, "C").alias("standard_concept"), F.lit(None).cast("string").alias("from_name"), F.col("p_retailprice").alias("score"),
     )
-    return standardize.two_rounds(seed, edge(spark, d), concept(spark, d)).select("entity_id", "concept_id", "relation", "from_name", "score")
+    return standardize.two_rounds(seed, edge_rows(spark, d), concept(spark, d)).select("entity_id", "concept_id", "relation", "from_name", "score")
 
 
 @query("""

@@ -35,9 +35,14 @@ def concept(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edge(spark: SparkSession, d: str) -> DataFrame:
+def edge_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Relationships with their repeats."""
     rel = F.when(F.col("l_returnflag") == "R", "Maps to").when(F.col("l_returnflag") == "A", "Is a").otherwise("Marketed form of")
-    return table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("concept_id_1"), F.col("l_suppkey").cast("string").alias("concept_id_2"), rel.alias("relationship_id")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("concept_id_1"), F.col("l_suppkey").cast("string").alias("concept_id_2"), rel.alias("relationship_id"))
+
+
+def edge(spark: SparkSession, d: str) -> DataFrame:
+    return edge_rows(spark, d).distinct()
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:

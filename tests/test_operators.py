@@ -65,6 +65,11 @@ def test_edge_cap(spark):
     edges = spark.createDataFrame([("000", f"{i:03d}", "Is a") for i in range(80)], "concept_id_1 string, concept_id_2 string, relationship_id string")
     got = standardize.related(concepts.where("concept_id = '000'"), edges, concepts).collect()
     assert sorted(r.concept_id for r in got) == [f"{i:03d}" for i in range(50)]
+    repeated = spark.createDataFrame(edges.collect() * 2, edges.schema)
+    again = standardize.related(concepts.where("concept_id = '000'"), repeated, concepts)  # a repeated edge takes one place
+    assert sorted(r.concept_id for r in again.collect()) == [f"{i:03d}" for i in range(50)]
+    plan = again._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Sort [from_id") == 1  # all that a task holds of its edges
 
 
 def test_lexical_thresholds_and_ties(spark):
