@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.operators.clean import STANDARD, is_standard
-from termweave.operators.dedup import dedup_by_concept
+from termweave.operators.dedup import dedup_by_concept, first_by
 
 #: Relationships that transform a candidate. Fixed values.
 TRANSFORM = ("Concept alt_to to", "Concept poss_eq to", "Concept same_as to", "Marketed form of", "Tradename of", "Box of", "Has quantified form", "Is a")
 MAPS_TO = "Maps to"
 MOST_RELATED, MOST_MAPPED = 50, 10
+ENTITY_CONCEPT = ("entity_id", "concept_id", "concept_name")
 CONCEPT = ("concept_id", "concept_name", "standard_concept")
 
 
@@ -44,7 +45,8 @@ def one_round(candidates: DataFrame, edges: DataFrame, concepts: DataFrame) -> D
 
     ``candidates``: entity_id, seq, concept columns, from_name, score. The result has
     relation and a new seq: the candidate's, then 0 for itself or the neighbour's
-    place, then the place of the mapped concept.
+    place, then the place of the mapped concept. A concept counts once for an entity,
+    by its best score and first place.
     """
     here = candidates.select("entity_id", "seq", *CONCEPT, "from_name", F.lit("original").alias("relation"), "score", F.lit("").alias("via"))
     near = related(candidates, edges, concepts).select("from_id", *CONCEPT, "relation")
@@ -53,18 +55,21 @@ def one_round(candidates: DataFrame, edges: DataFrame, concepts: DataFrame) -> D
     both = here.unionByName(hop)
     kept = both.where(is_standard(F.col("standard_concept"))).withColumn("target", F.lit(""))
     rest = both.where(~is_standard(F.col("standard_concept")))
+    # An entity's ways to one concept lead on to the same ones, with a score of 0 and in the order of their places (of equal length), so the first stands for them.
+    way = F.concat_ws("/", "seq", F.rpad("via", 12, " "))
+    rest = first_by(rest.withColumn("_long", F.length(way)), ["entity_id", "concept_id", "_long"], way.asc()).drop("_long")
     to = mapped(rest, edges, concepts).select("from_id", *(F.col(c).alias(f"to_{c}") for c in CONCEPT))
     led = rest.join(to, rest["concept_id"] == to["from_id"]).select(
         "entity_id", "seq", *(F.col(f"to_{c}").alias(c) for c in CONCEPT), F.col("concept_name").alias("from_name"), F.lit(MAPS_TO).alias("relation"), F.lit(0.0).alias("score"), "via", F.col("to_concept_id").alias("target")
     )
     out = kept.unionByName(led)
-    return out.withColumn("seq", F.concat_ws("/", "seq", F.rpad("via", 12, " "), F.rpad("target", 12, " "))).drop("via", "target")
+    out = out.withColumn("seq", F.concat_ws("/", "seq", F.rpad("via", 12, " "), F.rpad("target", 12, " "))).drop("via", "target")
+    return dedup_by_concept(out, F.col("score"), F.col("seq"), ENTITY_CONCEPT)
 
 
 def two_rounds(candidates: DataFrame, edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """Standard candidates of each entity: round one, round two on its result, the best score and first place of each concept."""
-    keys = ("entity_id", "concept_id", "concept_name")
-    first = dedup_by_concept(one_round(candidates, edges, concepts), F.col("score"), F.col("seq"), keys)
-    second = dedup_by_concept(one_round(first.drop("relation"), edges, concepts), F.col("score"), F.col("seq"), keys)
+    first = one_round(candidates, edges, concepts)
+    second = one_round(first.drop("relation"), edges, concepts)
     both = first.withColumn("seq", F.concat(F.lit("1/"), "seq")).unionByName(second.withColumn("seq", F.concat(F.lit("2/"), "seq")))
-    return dedup_by_concept(both, F.col("score"), F.col("seq"), keys)
+    return dedup_by_concept(both, F.col("score"), F.col("seq"), ENTITY_CONCEPT)

@@ -60,6 +60,17 @@ def test_standardise(spark, graph):
     assert [(r.concept_id, r.relation) for r in standardize.related(concepts.where("concept_id = 's'"), edges, concepts).orderBy("concept_id").collect()] == [("m", "Box of"), ("s", "Is a")]
 
 
+def test_ways_to_a_concept(spark, graph):
+    """Two seeds and a neighbour lead to one concept, which maps on: only their first way does; places of another length are their own."""
+    concepts, edges = graph
+    rows = [("m", "one", None, None, 1.0), ("s", "standard", "S", None, 2.0), ("m", "two", None, None, 3.0)]
+    got = standardize.one_round(seeds(spark, *rows), edges, concepts).orderBy("seq").collect()
+    assert [(r.concept_id, r.from_name, r.seq.split("/")[0]) for r in got] == [("t1", "one", "000"), ("s", None, "001")]
+    odd = [("e", "0", "m", "one", None, None, 1.0), ("e", "0/", "m", "two", None, None, 3.0)]
+    mixed = spark.createDataFrame(odd, seeds(spark, rows[0]).schema)
+    assert [r.from_name for r in standardize.one_round(mixed, edges, concepts).collect()] == ["one"]
+
+
 def test_edge_cap(spark):
     concepts = spark.createDataFrame([(f"{i:03d}", "c", "S") for i in range(80)], CONCEPT)
     edges = spark.createDataFrame([("000", f"{i:03d}", "Is a") for i in range(80)], "concept_id_1 string, concept_id_2 string, relationship_id string")
