@@ -68,39 +68,52 @@ class ImpactIndex:
             possible = own[:, None] != self.ids[None, :]  # beyond what longs can add up
             yield from self._rescored(self.rows.astype(object), queries.astype(object), possible, k)
             return
-        small = float(weight.max(initial=0)) * self.largest * max(1, queries.shape[1]) < 2.0**31
-        q, value = (x.astype(np.int32 if small else np.int64) for x in (queries, self.value))
+        most = float(weight.max(initial=0)) * self.largest * max(1, queries.shape[1])
+        # Whole numbers of which every sum is exact: in floats, whose products are fast, where those hold them.
+        exact = np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
+        q = queries.astype(exact)
         norm = np.sqrt((weight**2).sum(1))
-        score = np.zeros((len(self.rows), len(queries)), q.dtype)  # a posting's row of it lies together
+        score = np.zeros((len(queries), len(self.rows)), exact)
         rest = (self.rows**2).sum(1)  # exact: below 2^62
-        skip = self.ids[:, None] == own[None, :]
+        skip = own[:, None] == self.ids[None, :]
         possible, at = ~skip, min(k, len(self.rows)) - 1
         height = self.impact / 2 + np.log2(np.maximum(weight.max(0), 1e-300))[self.dim]
         order = np.argsort(-height, kind="stable")
         size = self.end - self.start
-        done, of, tried = 0, int(size.sum()), 0.5
+        done, of, tried, first = 0, int(size.sum()), 0.5, 0
         for n, s in enumerate(order.tolist()):
-            r, v = self.row[self.start[s] : self.end[s]], value[self.start[s] : self.end[s]]
-            score[r] += v[:, None] * q[None, :, self.dim[s]]
-            rest[r] -= v.astype(np.int64) ** 2
-            done += len(r)
+            done += int(size[s])
             if done >= tried * of or n + 1 == len(order):
                 tried += 0.1
+                part = self._taken(order[first : n + 1])
+                score += q @ part.astype(exact).T
+                rest -= (part**2).sum(1)
+                first = n + 1
                 # A double is off by less than 1e-15 of its value; wider bounds can only keep more rows.
-                bound = np.sqrt(rest.astype(np.float64))[:, None] * norm[None, :] * (1 + 1e-9) + np.abs(score.astype(np.float64)) * 1e-12
+                bound = norm[:, None] * np.sqrt(rest.astype(np.float64))[None, :] * (1 + 1e-9) + np.abs(score.astype(np.float64)) * 1e-12
                 low = np.where(skip, -np.inf, score - bound)
-                least = -np.partition(-low, at, axis=0)[at]  # k rows are proven to score as much
-                possible = (score + bound >= least[None, :]) & ~skip
+                least = np.partition(low, low.shape[1] - 1 - at, axis=1)[:, low.shape[1] - 1 - at]  # k rows are proven to score as much
+                possible = (score + bound >= least[:, None]) & ~skip
                 if possible.sum() * queries.shape[1] <= (of - done) * len(queries):
                     break  # exact scores of these cost less than the postings that are left
         self.taken = [self.taken[0] + done * len(queries), self.taken[1] + of * len(queries)]
-        yield from self._rescored(self.rows, queries, possible.T, k)
+        yield from self._rescored(self.rows, queries, possible, k)
+
+    def _taken(self, segments: np.ndarray) -> np.ndarray:
+        """The postings of ``segments`` as a matrix that is 0 elsewhere, so that one product adds their parts of all scores."""
+        part = np.zeros_like(self.rows)
+        at = np.concatenate([np.arange(self.start[s], self.end[s]) for s in segments])
+        part[self.row[at], np.repeat(self.dim[segments], self.end[segments] - self.start[segments])] = self.value[at]
+        return part
 
     def _rescored(self, rows: np.ndarray, queries: np.ndarray, possible: np.ndarray, k: int):
         for i, q in enumerate(queries):
             found = np.flatnonzero(possible[i])
             exact = rows[found] @ q
-            order = sorted(range(len(found)), key=lambda j: (-exact[j], self.ids[found[j]]))[:k]
+            if exact.dtype == object:
+                order = sorted(range(len(found)), key=lambda j: (-exact[j], self.ids[found[j]]))[:k]
+            else:
+                order = np.lexsort((self.ids[found], -exact))[:k]
             yield found[order], exact[order]
 
 

@@ -59,6 +59,18 @@ def test_search_stops_on_proof():
     assert index.taken[0] < 0.8 * index.taken[1]
 
 
+def test_segments_are_added_by_few_products(monkeypatch):
+    draw, taken = np.random.RandomState(4), []
+    rows = draw.randint(-40, 41, (500, 32)).astype(np.int64)
+    one = topk_search.ImpactIndex._taken
+    monkeypatch.setattr(topk_search.ImpactIndex, "_taken", lambda self, segments: taken.append(len(segments)) or one(self, segments))
+    index = topk_search.ImpactIndex(np.arange(500), rows)
+    for q, (at, scores) in zip(range(30), index.search(rows[:30], np.arange(30), 5)):
+        want = [i for i in np.lexsort((np.arange(500), -(rows @ rows[q]))) if i != q][:5]
+        assert at.tolist() == want and scores.tolist() == (rows @ rows[q])[want].tolist()
+    assert len(taken) <= 6 and sum(taken) > 100
+
+
 def test_repeated_ids_and_large_components(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, -2.0]), (4, [2.0, 1.0]), (5, [1e8, -1e8]), (7, [0.0, 0.0])]
     assert found(spark, rows) == brute([rows[1], *rows[2:]], 5, 4)
