@@ -207,7 +207,10 @@ def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> D
 def _posted(postings: DataFrame, most: int) -> DataFrame:
     """``postings`` (class, n_shingles, posted, key) with the number of members of each key and its pivot; lone keys are left out."""
     stats = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("pivot")).where("members > 1")
-    return store.materialize(postings.join(_small(store.materialize(stats, "keys")), "key"), "posted")
+    keys = store.materialize(stats, "keys")
+    posted = store.materialize(postings.join(_small(keys), "key"), "posted")
+    store.drop(keys)
+    return posted
 
 
 def _cool_pairs(posted: DataFrame, most: int, percent: int) -> DataFrame:
@@ -225,8 +228,12 @@ def _with_cool(posted: DataFrame, most: int) -> DataFrame:
     return joined.withColumn("cool", F.col("posted") - F.coalesce("hot", F.lit(0))).drop("hot")
 
 
+def _written(pairs: DataFrame) -> DataFrame:
+    """A table of the names (a, b) of ``pairs``."""
+    return store.materialize(pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), "pairs")
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    pairs = store.materialize(pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), "pairs")
     return compared(pairs, classes, docs, n).where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
 
 
@@ -244,26 +251,32 @@ def _links(classes: DataFrame, docs: DataFrame, n: int, percent: int, most: int,
     size = F.col("n_shingles")
     sure = F.floor(size * (100 - percent) / 100) + 1  # so many shingles of a class can't all be missing from a linked one
     found, busy = None, classes.select("class")
+    spark = classes.sparkSession
+    # Each step's postings are deleted before texts are read for the comparison, and the sets compared before the next step.
     if not exact and (least := least_shared(percent)):
-        first = _with_cool(_posted(classes.select("class", "n_shingles", F.size("keys").alias("posted"), F.explode("keys").alias("key")), most), most)
-        hot = lambda x: F.least(F.col(f"{x}.n_shingles"), F.lit(KEYS)) - F.col(f"{x}.cool")
-        # The keys that a pair shares are cool ones, which are counted, or hot in both. Where both post all they have, the keys are the sets.
-        whole = F.greatest("x.n_shingles", "y.n_shingles") <= KEYS
-        need = F.when(whole, F.ceil((F.col("x.n_shingles") + F.col("y.n_shingles")) * percent / (100 + percent) - 1e-9)).otherwise(least)
-        pairs = _cool_pairs(first, most, percent).where(F.col("shared") + F.least(hot("x"), hot("y")) >= need)
-        found = _similar(pairs, classes, docs, n, percent)
-        enough = F.when(size <= KEYS, sure).otherwise(KEYS - least + 1)
-        busy = store.materialize(first.where(F.col("cool") < enough).select("class").distinct(), "busy")
+        with store.scope(spark) as s:
+            first = _with_cool(_posted(classes.select("class", "n_shingles", F.size("keys").alias("posted"), F.explode("keys").alias("key")), most), most)
+            hot = lambda x: F.least(F.col(f"{x}.n_shingles"), F.lit(KEYS)) - F.col(f"{x}.cool")
+            # The keys that a pair shares are cool ones, which are counted, or hot in both. Where both post all they have, the keys are the sets.
+            whole = F.greatest("x.n_shingles", "y.n_shingles") <= KEYS
+            need = F.when(whole, F.ceil((F.col("x.n_shingles") + F.col("y.n_shingles")) * percent / (100 + percent) - 1e-9)).otherwise(least)
+            pairs = s.keep(_written(_cool_pairs(first, most, percent).where(F.col("shared") + F.least(hot("x"), hot("y")) >= need)))
+            enough = F.when(size <= KEYS, sure).otherwise(KEYS - least + 1)
+            busy = s.keep(store.materialize(first.where(F.col("cool") < enough).select("class").distinct(), "busy"))
+        with store.scope(spark) as s:
+            found = s.keep(store.materialize(_similar(pairs, classes, docs, n, percent), "links"))
         if not busy.count():
-            return store.materialize(found, "links")
+            return found
 
-    everything = _hash_rows(_sets(busy, classes, docs, n))
-    second = _with_cool(_posted(everything, most), most)
-    slack = lambda x: F.col(f"{x}.cool") - F.floor(F.col(f"{x}.n_shingles") * (100 - percent) / 100)
-    pairs = _cool_pairs(second, most, percent).where(F.col("shared") >= F.greatest(slack("x"), slack("y")))
-    more = _similar(pairs, classes, docs, n, percent)
+    with store.scope(spark) as s:
+        everything = _hash_rows(_sets(busy, classes, docs, n))
+        second = _with_cool(_posted(everything, most), most)
+        slack = lambda x: F.col(f"{x}.cool") - F.floor(F.col(f"{x}.n_shingles") * (100 - percent) / 100)
+        pairs = s.keep(_written(_cool_pairs(second, most, percent).where(F.col("shared") >= F.greatest(slack("x"), slack("y")))))
+        core = s.keep(store.materialize(second.where(F.col("cool") < sure), "core"))
+    with store.scope(spark) as s:
+        more = s.keep(store.materialize(_similar(pairs, classes, docs, n, percent), "links"))
     found = more if found is None else found.union(more)
-    core = store.materialize(second.where(F.col("cool") < sure), "core")
     if core.limit(1).count():
         found = found.union(_regions(core, classes, docs, n, percent, most))
     return store.materialize(found.distinct(), "links")
@@ -402,16 +415,18 @@ def _grouped(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("row_id", _row("doc_id", "text"))
     with store.scope(spark) as s:
-        all_rows = s.keep(store.materialize(shingled(docs, n), "shingled"))
+        wide = store.materialize(shingled(docs, n), "shingled")
         # One text stands for each class.
-        classes = all_rows.where("class is not null").groupBy("class").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("name"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+        classes = wide.where("class is not null").groupBy("class").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("name"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
         classes = store.materialize(classes, "classes")
+        all_rows = s.keep(store.materialize(wide.select("doc_id", "row_id", "n_shingles", "class"), "rows"))
+        store.drop(wide)  # only the classes' keys are asked for again
         joined = components(links(classes, docs, n, percent, most, exact))
         root = classes.select("class", "name", "copies").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         root = store.materialize(root.join(_small(store.materialize(joined.select("root").distinct(), "roots")).withColumn("many", F.lit(True)), "root", "left").where("many or copies > 1"), "grouped")
         names = store.materialize(root.groupBy("root").agg(F.min("name").alias("component_id")), "names")
         named = s.keep(store.materialize(root.select("class", "root").join(_small(names), "root").select("class", "root", "component_id"), "named"))
-    return all_rows.select("doc_id", "row_id", "n_shingles", "class").join(_small(named), "class", "left").drop("class")
+    return all_rows.join(_small(named), "class", "left").drop("class")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -149,3 +149,19 @@ def test_components(spark):
         parent[max(ra, rb)] = min(ra, rb)
     got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(x, x) == root(x) for x in range(500))
+
+
+def test_postings_are_gone_before_texts_are_compared(spark, monkeypatch):
+    """Of the tables that hold a row's keys, only the classes' own is on disk while sets are made and compared."""
+    from pathlib import Path
+
+    from termweave.llm import store
+
+    here = lambda: {p.name for p in Path(store.shared_dir(spark).removeprefix("file:")).iterdir()}
+    before, seen, compared = here(), [], jaccard_join.compared
+    monkeypatch.setattr(jaccard_join, "compared", lambda *a: seen.append({x.split("-")[0] for x in here() - before}) or compared(*a))
+    docs = [(i, " ".join(f"w{i // 2}x{k}" for k in range(60))) for i in range(20)]
+    docs += [(100 + i, " ".join(f"c{k}" for k in range(80)) + f" own{i}") for i in range(40)]  # more than a cool key may have
+    assert grouped(spark, docs, 4, 80) == brute(docs, 4, 80)
+    assert len(seen) == 2 and all("classes" in x and "pairs" in x and not x & {"shingled", "keys", "posted", "hot"} for x in seen)
+    assert "sets" not in seen[0] | seen[1]
