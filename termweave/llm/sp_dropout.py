@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.workers import fresh, memory, slices
+from termweave.llm.workers import fresh, memory, slices, with_text
 
 MARK = "▁"
 ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -374,17 +374,17 @@ def _with(df: DataFrame, names: list[str], name: str, kind: T.DataType) -> T.Str
     return T.StructType([*(df.schema[c] for c in names), T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids as little-endian integers of 16 bits (32 for over 65,536 pieces) in ``out_col``."""
-    names = _names(docs, out_col)
-    rows = docs.select(*(f"`{c}`" for c in names), F.xxhash64(F.col(id_col), F.lit(seed)).alias(fresh("key", names)), F.col(text_col).cast("string").alias(fresh("units", names)))
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with the ids as little-endian integers of 16 bits (32 for over 65,536 pieces) in ``out_col``."""
+    names = [c for c in keep or docs.columns if c.lower() != out_col.lower()]
+    key = fresh("key", docs.columns)
+    rows, at = with_text(docs.withColumn(key, F.xxhash64(F.col(id_col), F.lit(seed))), [*names, key], text_col, "units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path, dropout, seed)
         for batch in slices(batches):
-            *kept, keys, texts = batch.columns
-            ids = enc.encode_all(texts.to_pylist(), keys.to_pylist())
-            yield pa.record_batch([*kept, pa.array(ids, pa.binary())], names=[*names, out_col])
+            ids = enc.encode_all(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())
+            yield pa.record_batch([*batch.columns[: len(names)], pa.array(ids, pa.binary())], names=[*names, out_col])
 
     return rows.mapInArrow(run, _with(docs, names, out_col, T.BinaryType()))
 

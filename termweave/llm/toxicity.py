@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.workers import fresh, memory, slices
+from termweave.llm.workers import memory, slices, with_text
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Identity terms, in sets of terms of a language that may stand for one another; none is in two. Fixed values.
@@ -194,8 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, **options) -> tuple[dict[str, floa
 def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", out_col: str = "score") -> DataFrame:
     """The columns ``keep`` and ``out_col`` (0 to 1) of every document, in one pass without a shuffle."""
     kept = [k for k in keep if k.lower() != out_col.lower()]
-    rows = docs.select(*(F.col(k) for k in kept), F.col(text_col).cast("string").alias(fresh("scored", kept)))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out_col, T.DoubleType())])
+    rows, at = with_text(docs, kept, text_col, "scored")
+    schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField(out_col, T.DoubleType())])
 
     name = hashlib.sha256(repr((sorted(model[0].items()), model[1])).encode()).hexdigest()
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[st
         known = memory(f"toxicity/{name}")  # the weighted parts of words seen
         for batch in slices(batches):
             out = []
-            for text in batch.column(len(kept)).to_pylist():
+            for text in batch.column(at).to_pylist():
                 bag = words_of(text)
                 for w in bag.difference(known):
                     known[w] = tuple(p for p in parts(w) if p in weights or p + "*" in weights)

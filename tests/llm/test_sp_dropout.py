@@ -3,7 +3,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from termweave.llm import sp_dropout
+from termweave.llm import sp_dropout, toxicity
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 PLAIN = sp_dropout.DropoutEncoder(PATH, dropout=0.0)
@@ -90,3 +90,15 @@ def test_clashing_columns_and_foreign_ids(spark):
     rows = sp_dropout.decode(sp_dropout.encode(docs, PATH), PATH).orderBy("_key").collect()
     assert [(r._key, r.text, r.decoded) for r in rows] == [(5, "some words", "some words"), (6, None, None)]
     assert PLAIN.decode(b"\xff\xff\x05") == "\ufffd\ufffd"
+
+
+def test_a_text_goes_to_python_once_and_comes_back_only_if_kept(spark):
+    docs = spark.createDataFrame([(1, "some words", "en"), (2, None, "de")], "doc_id long, text string, lang string")
+    every, few = sp_dropout.encode(docs, PATH, seed=3), sp_dropout.encode(docs, PATH, seed=3, keep=("lang", "doc_id"))
+    assert every.columns == ["doc_id", "text", "lang", "ids"] and few.columns == ["lang", "doc_id", "ids"]
+    assert {r.doc_id: r.ids for r in every.collect()} == {r.doc_id: r.ids for r in few.collect()}
+    scored = toxicity.score(docs, ({}, 0.0), keep=tuple(docs.columns))
+    for df, n in ((every, 4), (few, 4), (scored, 3)):
+        assert len(df._jdf.queryExecution().optimizedPlan().children().head().output().mkString(" ").split()) == n
+    numbers = sp_dropout.encode(docs.select("doc_id", (docs.doc_id * 11).alias("text")), PATH).collect()  # kept as it is, read as a string
+    assert [(r.text, PLAIN.decode(r.ids)) for r in numbers] == [(11, "11"), (22, "22")]
